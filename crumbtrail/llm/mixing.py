@@ -26,7 +26,7 @@ PATTERN = r"""'(?:[sdmt]|ll|ve|re)| ?\p{L}+| ?\p{N}+| ?[^\s\p{L}\p{N}]+|\s+(?!\S
 #: Blocks that the whole mixture is cut into: the grain of the shares.
 BLOCKS = 2048
 #: Texts that a shard holds on average; a shard is ordered in one task.
-SHARD_TEXTS = 200_000
+SHARD_TEXTS = 20_000
 
 
 @lru_cache
@@ -76,9 +76,10 @@ def mixture(counted: DataFrame, targets: DataFrame, total_tokens: int | None = N
     texts = stage(counted.where(F.col("n_tokens") > 0).join(goals, "source").select("doc_id", "source", "n_tokens", "repeats", "share"), "texts")
     size = texts.agg(F.sum("n_tokens"), F.count("*")).first()
     wish = total_tokens if total_tokens is not None else (size[0] or 0)
-    block = max(1, -(-wish // blocks))
+    # A block holds some texts at least, or blocks could not be of one size.
+    block = max(1, -(-wish // blocks), 2 * -(-(size[0] or 0) // max(1, size[1])))
     seats = -(-wish // block)
-    shards = max(8, (size[1] or 0) // SHARD_TEXTS)
+    shards = max(1, size[1] // SHARD_TEXTS)
     # Blocks: the seeded order within a shard of a source, cut every ``block`` tokens.
     key = F.xxhash64(F.lit(seed), "doc_id")
     texts = texts.withColumn("_key", key).withColumn("shard", F.pmod(F.xxhash64("_key"), F.lit(shards)))
