@@ -7,6 +7,7 @@ from pyspark.sql import functions as F
 
 from crumbtrail.llm.leakage import build_index, passage_terms, phrase_matches, proximity_matches
 from crumbtrail.llm.mixing import count_tokens, mixture, reachable_total, reached_shares
+from crumbtrail.llm.spam_pages import page_scores, spam_pages
 from crumbtrail.session import stage
 from crumbtrail.sources.tables import table
 
@@ -50,7 +51,15 @@ def p9_exact_shares(spark: SparkSession, folder: str) -> DataFrame:
     return reached_shares(counted, targets, mixture(counted, targets, reachable_total(counted, targets)))
 
 
-QUERIES = {"p8_found": p8_found, "p8_runs": p8_runs, "p8_proximity": p8_proximity, "p9_mixture": p9_mixture, "p9_shares": p9_shares, "p9_exact_shares": p9_exact_shares}
+def p10_scores(spark: SparkSession, folder: str) -> DataFrame:
+    return page_scores(table(spark, folder, "documents"), "doc_id", "text")
+
+
+def p10_found(spark: SparkSession, folder: str) -> DataFrame:
+    return spam_pages(p10_scores(spark, folder))
+
+
+QUERIES = {"p8_found": p8_found, "p8_runs": p8_runs, "p8_proximity": p8_proximity, "p9_mixture": p9_mixture, "p9_shares": p9_shares, "p9_exact_shares": p9_exact_shares, "p10_found": p10_found, "p10_scores": p10_scores}
 
 _WORDS = r"regexp_extract_all(lower({}), '[\p{{L}}\p{{N}}]+')"
 
