@@ -8,6 +8,7 @@ from pyspark.sql import functions as F
 from crumbtrail.llm.grid_components import matched_names
 from crumbtrail.llm.score_bands import top_by_bands
 from crumbtrail.llm.term_counts import marked, merge_counts, signed_changes
+from crumbtrail.llm.variant_names import name_groups, name_pairs
 from crumbtrail.sources.tables import table
 
 SPACE = r"[\s\x{A0}\x{1c}-\x{1f}\x{85}\x{1680}\x{2000}-\x{200a}\x{2028}\x{2029}\x{202f}\x{205f}\x{3000}\x{0b}]+"
@@ -26,6 +27,15 @@ def p4_found(spark: SparkSession, folder: str) -> DataFrame:
     return top.select("business_id", F.col("id").alias("dish_id"), "rank_no")
 
 
+def p5_groups(spark: SparkSession, folder: str) -> DataFrame:
+    there = table(spark, folder, "businesses").select(F.col("id").alias("business_id")).distinct()
+    return name_groups(table(spark, folder, "dish_extractions").join(there, "business_id", "left_semi"), "business_id", "dish_name")
+
+
+def p5_found(spark: SparkSession, folder: str) -> DataFrame:
+    return name_pairs(p5_groups(spark, folder), "business_id")
+
+
 def _tag_counts(spark: SparkSession, folder: str) -> DataFrame:
     """The counts after a first delivery and a correction.
 
@@ -48,7 +58,7 @@ def p6_found(spark: SparkSession, folder: str) -> DataFrame:
     return p6_counts(spark, folder).where(F.col("mark").isNotNull()).select("tag", "mark")
 
 
-QUERIES = {"p3_found": p3_found, "p4_found": p4_found, "p6_found": p6_found, "p6_counts": p6_counts}
+QUERIES = {"p3_found": p3_found, "p4_found": p4_found, "p5_found": p5_found, "p5_groups": p5_groups, "p6_found": p6_found, "p6_counts": p6_counts}
 
 _TAGS = f"""
     WITH m AS (SELECT id, any_value(tags) AS tags FROM dish_extractions GROUP BY id),
