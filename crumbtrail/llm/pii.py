@@ -1,0 +1,434 @@
+"""Personal information in free text by a semi-Markov conditional random field.
+
+Candidate segments (spans of characters with a type) are proposed by form; whole-span features, such as the
+form, the pattern of a name's words and the words around the span, give each a weight. The best set of
+segments that don't overlap is found by dynamic programming over their ends, with segments of bounded
+length, so that boundaries and types are chosen together. The weights are fitted by maximum
+likelihood, with the forward and backward sums over the same segments, on sentences made from the
+templates below (``TRAINING`` of them, no text of the collection).
+
+Only stretches around something that can begin a segment are decoded; these cover the whole text.
+"""
+
+from __future__ import annotations
+
+import json
+import math
+import random
+import re
+from collections.abc import Iterator
+from functools import lru_cache
+
+import pyarrow as pa
+from pyspark.sql import DataFrame
+from pyspark.sql import functions as F
+
+TYPES = ("email", "phone", "id_number", "street_address", "person_name")
+VOCABULARY = "/opt/tokenizers/byte_bpe_50k.json"
+TRAINING, PASSES, SEED = 2500, 4, 7
+#: Characters around a trigger that are decoded with it.
+AROUND = 70
+
+# Given names of many languages.
+GIVEN = frozenset(
+    """aaron abigail adam adele agnes ahmed aisha alan albert alejandro alexander alice amina amir ana andrea andrew
+    anita anna anneke anton antonio arthur astrid bartek beatriz benjamin bianca boris brigitte callum camila carlos
+    catherine cecilia chandra charles charlotte chiara chloe christopher claire clara claudia daniel david deborah
+    desmond diana diego dmitri dorothy edith eduardo edward elena elias elizabeth emily emma enrique erik esther
+    eugene eva farid fatima felix fernando fiona francesca frederick gabriel george giovanni greta gunnar gustav
+    hannah hassan heather heidi helena henrike henry hiroshi hugo ibrahim ignatius ines ingrid irina isaac isabella
+    isolde ivan jacob james javier jennifer jessica jomar jonathan joseph juan julia kaito karen karl
+    katarzyna kavita kenji kevin khalid laura leila leopold liam linda lucas lucia lucinda ludmila luis magnus manuel
+    margaret maria maribel marta martin mary matteo mei michael miguel mireille mohammed monika nadia natalia nathan
+    nikolai nina noor odalys oksana olga oliver omar oskar pablo patricia paul percival peter priyanka rachel rajesh
+    renée richard robert rosalind samuel sarah sofia søren stephen svetlana tamsin tariq thaddeus thomas tobias
+    torvald ulises verity victoria vikram wilhelmina william ximena yasmin yesenia yuki zoltan""".split()
+)
+# Types of streets and units.
+STREETS = "street st avenue ave road rd lane ln drive dr terrace ter court ct place pl boulevard blvd way circle cir square sq parkway pkwy highway hwy row crescent close alley trail".split()
+UNITS = "unit apt apartment suite ste flat room rm".split()
+
+_AT = r"(?:\s*@\s*|\s*[\[(]\s*at\s*[\])]\s*|\s+at\s+)"
+_DOT = r"(?:\.|\s*[\[(]\s*dot\s*[\])]\s*|\s+dot\s+)"
+_STREET = "|".join(STREETS)
+_UNIT = rf"(?:(?:{'|'.join(UNITS)})\.?\s*#?\s*|#\s*)\d{{1,5}}[a-z]?"
+_ROAD = rf"\d{{1,5}}[a-z]?\s+(?:[^\W\d_][\w'’.-]*\s+){{1,3}}(?:{_STREET})\b"
+#: Forms of the segments: type, name of the form, pattern. Each is tried at every place.
+FORMS = [
+    (kind, name, re.compile(rf"(?<![\w])(?=({pattern}))", re.IGNORECASE))
+    for kind, name, pattern in (
+        ("email", "plain", r"[\w.+-]+@[\w-]+(?:\.[\w-]*\w)+"),
+        ("email", "written", rf"[\w.+-]*\w{_AT}[\w-]+(?:{_DOT}[\w-]*\w)+"),
+        ("phone", "area", r"\(\d{3}\)[-. ]?\d{3}[-. ]?\d{4}(?!\d)"),
+        ("phone", "ten", r"\d{3}[-./ ]?\d{3}[-. ]?\d{4}(?![\d-])"),
+        ("phone", "seven", r"\d{3}[-. ]\d{4}(?![\d-])"),
+        ("phone", "abroad", r"\+\d{1,3}(?:[-. ]?\(?\d{2,4}\)?){2,4}(?![\d-])"),
+        ("phone", "trunk", r"0\d{2,4}[-. ]\d{3,4}[-. ]\d{3,4}(?![\d-])"),
+        ("id_number", "parts", r"\d{3}[- ]\d{2}[- ]\d{4}(?![\d-])"),
+        ("id_number", "short", r"\d{2}-\d{7}(?![\d-])"),
+        ("id_number", "plain", r"\d{8,10}(?![\d-])"),
+        ("id_number", "letters", r"[a-z]{1,3}\d{6,9}(?![\w-])"),
+        ("id_number", "groups", r"[a-z]?\d{3}-\d{4}-\d{4}(?![\w-])"),
+        ("id_number", "mixed", r"(?=[a-z-]*\d)[a-z0-9]+(?:-[a-z0-9]+)*(?=\W|\Z)(?<=\d)"),
+        ("street_address", "road", _ROAD),
+        ("street_address", "unit first", rf"{_UNIT},?\s+{_ROAD}"),
+        ("street_address", "unit last", rf"{_ROAD}\.?,?\s+{_UNIT}"),
+    )
+]
+_TOKEN = re.compile(r"\w+|[^\w\s]")
+_NAME_TOKEN = re.compile(r"(?<!\w)[^\W\d_]+(?:-[^\W\d_]+)*(?!\w)")
+_NUMBER = re.compile(r"\d[\d\-. ()/]*")
+_ROAD_AFTER = re.compile(rf"[a-z]?\s+(?:[^\W\d_][\w'’.-]*\s+){{1,3}}(?:{_STREET})\b", re.IGNORECASE)
+_WRITTEN = re.compile(r"[\[(]\s*at\s*[\])]|[\[(]\s*dot\s*[\])]|\sdot\s", re.IGNORECASE)
+_INITIAL = re.compile(r"[A-Z]\. [A-Z]")
+
+
+@lru_cache
+def common_words(path: str) -> frozenset[str]:
+    """Whole words of a public tokenizer's vocabulary that are not given names."""
+    with open(path, encoding="utf-8") as f:
+        vocabulary = json.load(f)["model"]["vocab"]
+    return frozenset(w[1:] for w in vocabulary if w[0] == "Ġ" and w[1:].isalpha() and w[1:].islower() and len(w) > 2) - GIVEN
+
+
+def _word_class(word: str, common: frozenset[str]) -> str:
+    low = word.lower()
+    if len(word) == 1:
+        return "i"
+    kind = "g" if low in GIVEN or any(p in GIVEN for p in low.split("-")) else "k" if all(p in common for p in low.split("-")) else "u"
+    return kind + ("A" if word.isupper() else "T" if word[0].isupper() else "l")
+
+
+def proposals(text: str, common: frozenset[str]) -> list[tuple[int, int, str, str]]:
+    """(start, end, type, form) of all candidate segments of a stretch of text."""
+    found = {(m.start(1), m.end(1), kind, name) for kind, name, form in FORMS for m in form.finditer(text) if m.end(1) > m.start(1)}
+    found = {x for x in found if x[3] != "mixed" or sum(c.isdigit() for c in text[x[0] : x[1]]) >= 7}
+    words = [(m.start(), m.end(), _word_class(m.group(), common)) for m in _NAME_TOKEN.finditer(text)]
+    for k, (start, end, kind) in enumerate(words):
+        if kind == "i" and text[end : end + 1] != ".":
+            continue
+        pattern, stop = kind, end
+        if kind[0] == "g":
+            found.add((start, end, "person_name", kind))
+        for n, (s, e, c) in enumerate(words[k + 1 : k + 3]):
+            gap = text[stop:s]
+            if gap not in (" ", ", ", ". ") or (gap == ". " and pattern[-1] != "i"):
+                break
+            pattern += ("," if gap == ", " else " ") + c
+            stop = e
+            if c == "i":
+                if text[e : e + 1] != ".":
+                    break
+                if n == 0 and pattern[0] != "i":
+                    found.add((start, e + 1, "person_name", pattern + "."))
+            elif "g" in pattern or pattern[0] == "i":
+                found.add((start, e, "person_name", pattern))
+            if gap == ", ":
+                break
+    return sorted(found)
+
+
+def _shape(token: str) -> str:
+    return "9" if token[0].isdigit() else "@" if not token[0].isalnum() else "A" if token.isupper() else "T" if token[0].isupper() else "l"
+
+
+def features(text: str, spans: list[tuple[int, int, str, str]]) -> list[list[str]]:
+    """The features of each candidate: of the whole span, and of the words before and after it."""
+    tokens = [(m.start(), m.end(), m.group()) for m in _TOKEN.finditer(text)]
+    starts = {s: k for k, (s, _, _) in enumerate(tokens)}
+    out = []
+    for start, end, kind, form in spans:
+        k = starts[start]
+        j = next((n for n in range(k, len(tokens)) if tokens[n][0] >= end), len(tokens))
+        before = [t[2].lower() for t in tokens[max(0, k - 3) : k]][::-1] + ["<"] * 3
+        after = [t[2].lower() for t in tokens[j : j + 2]] + [">"] * 2
+        touching = text[end : end + 1] if end < len(text) and not text[end].isspace() else ""
+        glued = text[start - 1 : start] if start and not text[start - 1].isspace() else ""
+        f = f"{kind}|{form}"
+        lead = f"{kind}|lead {tokens[k][2].lower()}" if "," in form else f
+        out.append(
+            [
+                f, lead, f"{f}|{min(j - k, 8)}", f"{kind}|touch {touching}", f"{kind}|glue {glued}",
+                f"{kind}|-1 {before[0]}", f"{kind}|-2 {before[1]}", f"{kind}|-3 {before[2]}", f"{kind}|+1 {after[0]}", f"{kind}|{touching}+2 {after[1]}",
+                f"{kind}|shape {_shape(after[0])}", f"{f}|{touching}{after[0] if touching else ''}",
+            ]
+        )
+    return out
+
+
+def _lattice(spans: list[tuple[int, int, str, str]]) -> tuple[list[int], list[tuple[int, int, int]]]:
+    """All ends and starts in order, and the segments between them, by end: (start, end, number)."""
+    places = sorted({p for s in spans for p in s[:2]})
+    at = {p: k for k, p in enumerate(places)}
+    return places, sorted(((at[s[0]], at[s[1]], n) for n, s in enumerate(spans)), key=lambda x: x[1])
+
+
+def decode(spans: list[tuple[int, int, str, str]], scores: list[float]) -> list[int]:
+    """Numbers of the segments of the best set without overlaps; text outside of segments weighs 0."""
+    places, arcs = _lattice(spans)
+    best: list[float] = [0.0] * len(places)
+    back: list[tuple[int, int] | None] = [None] * len(places)
+    by_end: dict[int, list[tuple[int, int]]] = {}
+    for s, e, n in arcs:
+        by_end.setdefault(e, []).append((s, n))
+    for e in range(len(places)):
+        if e:
+            best[e] = best[e - 1]
+        for s, n in by_end.get(e, ()):
+            if best[s] + scores[n] > best[e]:
+                best[e], back[e] = best[s] + scores[n], (s, n)
+    chosen, e = [], len(places) - 1
+    while e >= 0:
+        if back[e] is not None and (e == 0 or best[e] > best[e - 1]):
+            s, n = back[e]
+            chosen.append(n)
+            e = s
+        else:
+            e -= 1
+    return chosen[::-1]
+
+
+def _log_add(a: float, b: float) -> float:
+    a, b = max(a, b), min(a, b)
+    return a + math.log1p(math.exp(b - a))
+
+
+def marginals(spans: list[tuple[int, int, str, str]], scores: list[float]) -> list[float]:
+    """The probability of each segment, by forward and backward sums."""
+    places, arcs = _lattice(spans)
+    ahead, behind = [0.0] * len(places), [0.0] * len(places)
+    ends: dict[int, list[tuple[int, int]]] = {}
+    begins: dict[int, list[tuple[int, int]]] = {}
+    for s, e, n in arcs:
+        ends.setdefault(e, []).append((s, n))
+        begins.setdefault(s, []).append((e, n))
+    for e in range(1, len(places)):
+        ahead[e] = ahead[e - 1]
+        for s, n in ends.get(e, ()):
+            ahead[e] = _log_add(ahead[e], ahead[s] + scores[n])
+    for s in range(len(places) - 2, -1, -1):
+        behind[s] = behind[s + 1]
+        for e, n in begins.get(s, ()):
+            behind[s] = _log_add(behind[s], behind[e] + scores[n])
+    total = ahead[-1] if places else 0.0
+    return [math.exp(min(0.0, ahead[at_s] + scores[n] + behind[at_e] - total)) for at_s, at_e, n in sorted(arcs, key=lambda x: x[2])]
+
+
+# ---- training sentences -------------------------------------------------------------------------
+
+# Templates: {x} is a case of type x; {word} a common word, {title} a made-up proper noun.
+_POSITIVE = [
+    "Write to {email} for the {word}.", "my address is {email} if you find the {word}", "cc {email}; send the {word} to {street_address} please", "{person_name}, {phone}, {email}",
+    "Reach me at {phone} before the {word}.", "call or text {phone}, thanks", "Her cell is {phone}.", "They rang {phone} four times about the {word}.", "or {phone}, thanks",
+    "My licence {id_number} was on the {word}.", "passport {id_number} is still at the {word}", "Permit no. {id_number} is on the wall.", "They wrote down {id_number} from my card.", "ID number {id_number}, contact {email}.", "{id_number} hangs by the {word}",
+    "We live at {street_address} near the {word}.", "Please mail the {word} to {street_address} and call {phone}.", "It was left at {street_address} instead of our {word}.", "registered to {person_name}, {street_address}.",
+    "Ask for {person_name}, who {word} our {word}.", "Thanks to {person_name} for the {word}!", "our waiter {person_name} {word} the {word}", "My cousin {person_name} {word} the {word}.", "{person_name} here, about the {word}: {email}", "- {person_name}, {phone}",
+    "We waited for {person_name} on the {word}.", "promised by {person_name} but never came; my phone is {phone}", "Shout out to {person_name} and {person_name} for the {word}!", "under a photo of {person_name}.", "The form wanted it all: {person_name}, {phone}, {id_number}.", "Well done, {person_name}!", "Kudos, {person_name}!", "Bravo, {person_name}!", "Cheers, {person_name}!", "Thanks, {person_name}, for the {word}", "Props, {person_name}!", "Yes, {person_name}!", "{person_name} was our server and {word} the {word}.", "I spoke with {person_name} about the {word}.", "{person_name} again. The {word} was {word}.",
+]
+_NEGATIVE = [
+    "Better than {given}'s {title} on the {word}.", "{given}’s {title} has a nicer {word}.", "We drove over from {title} {title} during the {title} {word}.", "the {title} {word} at {title} is {word}", "order #{number}-{two} took {two} minutes", "Order {number}-{two} came late.", "batch {three}-{two} of the {word}", "Batch {three}-{two} rates {five} on the scale.", "ticket {six}, table {two}, seat {two}", "Booking code {code} did not scan.",
+    "reservation {six} was lost", "The bill came to ${number} plus {two}%.", "open 11:30-2:30 and 5-10:00, closed on 0{one}/1{one}/2019", "Between 2015 and 2019 the {word} got better.", "They quote {number} calories for the {word}.", "Two for $9 @ happy hour, and the {word} is half off.", "{number} of the {word} on the way to the {word}", "We paid {two} dollars at the {word} dot.", "I looked at {title}. The {word} was {word}.", "We sat at the {word} and {word} the {word}.",
+    "The {word} {word} was {word}, though the {word} {word}.", "{title} {word} with {word} {word} is {word}.", "It took {two} visits to find the {word} way.", "rated {two}.{one} out of {two} by {number} people", "Invoice {six}-{two} for the {word}.", "SKU {number} {word} pan", "{given} {title} Cafe and the {title} Grill are {word}.", "confirmation {code}, table for {one}",
+]
+
+
+def _case(kind: str, r: random.Random) -> str:
+    def digits(n: int) -> str:
+        return "".join(r.choice("0123456789") for _ in range(n))
+
+    def coined() -> str:
+        return "".join(r.choice(["bra", "cor", "den", "fal", "gri", "hel", "kor", "lum", "mar", "nol", "pel", "quin", "rav", "sto", "tal", "vel", "wex", "zan"]) for _ in range(r.choice([1, 2]))) + r.choice(
+            ["berg", "cott", "dale", "escu", "ford", "ham", "ini", "ley", "mann", "nik", "ov", "rup", "sen", "sky", "ton", "worth", "wood", "ez"]
+        )
+
+    def surname() -> str:
+        return coined().capitalize() + (f"-{coined().capitalize()}" if r.random() < 0.15 else "")
+
+    if kind == "given":
+        return r.choice(sorted(GIVEN)).capitalize()
+    if kind == "title":
+        return coined().capitalize()
+    if kind == "person_name":
+        given = r.choice(sorted(GIVEN)).capitalize()
+        return r.choice([given, f"{given} {surname()}", f"{given} {surname()}", f"{given} {surname()}", f"{given} {r.choice('ABCDEHJKLMRST')}. {surname()}", f"{surname()}, {given}", f"{given[0]}. {surname()}", f"{given} {surname()[0]}."])
+    if kind == "email":
+        local = r.choice([coined(), f"{r.choice(sorted(GIVEN))}.{coined()}", r.choice(sorted(GIVEN)), coined() + digits(2), f"{coined()}_{coined()}", f"{coined()}+{coined()}"])
+        place = r.choice([coined(), f"{coined()}.{coined()}"]) + "." + r.choice(["example", "test", "invalid", "com", "org"])
+        at, dot = r.choice([("@", "."), ("@", "."), (" at ", " dot "), (" [at] ", "."), (" (at) ", " (dot) ")])
+        return local + at + place.replace(".", dot)
+    if kind == "phone":
+        a, b, c = digits(3), digits(3), digits(4)
+        return r.choice([f"{a}-{b}-{c}", f"({a}) {b}-{c}", f"{a}.{b}.{c}", f"{a} {b} {c}", f"{a}/{b}-{c}", f"{b}-{c}", f"+1 {a} {b} {c}", f"+1-{a}-{b}-{c}", f"+44 20 {c} {digits(4)}", f"020 {c} {digits(4)}", f"{a}{b}{c}"])
+    if kind == "id_number":
+        return r.choice([f"{digits(3)}-{digits(2)}-{digits(4)}", f"{digits(3)} {digits(2)} {digits(4)}", digits(9), f"{digits(2)}-{digits(7)}", r.choice("ABCDXYZ") + f"{digits(3)}-{digits(4)}-{digits(4)}", r.choice("ABCDXYZ") + r.choice("KLMNPV") + digits(7)])
+    if kind == "street_address":
+        road = f"{r.randint(1, 9999)}{r.choice(['', '', '', 'A', 'B'])} {r.choice([coined().capitalize(), coined().capitalize(), 'Old ' + coined().capitalize(), 'Maple Gate', 'Mill Race'])} {r.choice(STREETS[:18]).capitalize()}"
+        unit = f"{r.choice(['Unit', 'Apt', 'Suite'])} {r.randint(1, 40)}"
+        return r.choice([road, road, f"{unit}, {road}", f"{road}, {unit}"])
+    sizes = {"one": 1, "two": 2, "three": 3, "number": 4, "five": 5, "six": 6}
+    if kind in sizes:
+        return str(r.randint(10 ** (sizes[kind] - 1), 10 ** sizes[kind] - 1))
+    return r.choice("TRQZ") + r.choice("XYZ") + str(r.randint(1000, 9999))
+
+
+def training_sentence(r: random.Random, words: list[str]) -> tuple[str, list[tuple[int, int, str]]]:
+    """A made-up stretch of text and its cases."""
+    out, cases = "", []
+    for template in r.choices(_POSITIVE + _NEGATIVE, k=r.choice([1, 2, 3])):
+        out += (" " if out else "") + (r.choice(words) + " " if r.random() < 0.2 else "")
+        for part in re.split(r"(\{\w+\})", template):
+            if part.startswith("{"):
+                kind = part[1:-1]
+                value = r.choice(words) if kind == "word" else _case(kind, r)
+                if kind in TYPES:
+                    cases.append((len(out), len(out) + len(value), kind))
+                part = value
+            out += part
+    how = r.random()
+    return (out.lower() if how < 0.15 else out.upper() if how < 0.25 else out), cases
+
+
+@lru_cache
+def train(vocabulary: str = VOCABULARY, sentences: int = TRAINING, passes: int = PASSES, seed: int = SEED) -> dict[str, float]:
+    """Feature weights by adaptive gradient steps on the conditional likelihood."""
+    r, common = random.Random(seed), common_words(vocabulary)
+    words = sorted(w for w in common if 3 <= len(w) <= 9)
+    data = []
+    for _ in range(sentences):
+        text, cases = training_sentence(r, words)
+        spans = proposals(text, common)
+        if spans:
+            gold = set(cases)
+            data.append((spans, features(text, spans), [s[:3] in gold for s in spans]))
+    weights: dict[str, float] = {}
+    squares: dict[str, float] = {}
+    for _ in range(passes):
+        r.shuffle(data)
+        for spans, feats, gold in data:
+            scores = [sum(weights.get(f, 0.0) for f in fs) for fs in feats]
+            seen: set[tuple[int, int, str]] = set()
+            for p, fs, y, s in zip(marginals(spans, scores), feats, gold, spans):
+                # A case that two forms propose is one.
+                target = float(y and s[:3] not in seen)
+                seen.add(s[:3])
+                g = target - p
+                if abs(g) < 0.01:
+                    continue
+                for f in fs:
+                    squares[f] = squares.get(f, 0.1) + g * g
+                    weights[f] = weights.get(f, 0.0) * 0.9995 + 0.3 * g / math.sqrt(squares[f])
+    return {f: w for f, w in weights.items() if abs(w) > 0.01}
+
+
+# ---- decoding ---------------------------------------------------------------------------------
+
+
+@lru_cache
+def _names():
+    import ahocorasick
+
+    a = ahocorasick.Automaton()
+    for n in GIVEN:
+        a.add_word(n, len(n))
+    a.make_automaton()
+    return a
+
+
+def stretches(text: str) -> list[tuple[int, int]]:
+    """The parts of a text that are decoded: around each thing that can begin a segment, merged."""
+    low = text.lower()
+    # Lower case can change lengths in a few scripts; then the places are looked up in the text as it is.
+    hay = low if len(low) == len(text) else text
+    spots = []
+    for m in _NUMBER.finditer(text):
+        first, end = m.span()
+        if end - first >= 7 or _ROAD_AFTER.match(text, end - (text[end - 1] == " ")):
+            spots.append((first, end))
+    if "@" in text:
+        spots += [(k, k + 1) for k, c in enumerate(text) if c == "@"]
+    if "dot" in low or "at)" in low or "at]" in low:
+        spots += [m.span() for m in _WRITTEN.finditer(text)]
+    spots += [m.span() for m in _INITIAL.finditer(text) if m.start() == 0 or not text[m.start() - 1].isalnum()]
+    for last, n in _names().iter(hay):
+        s, e = last - n + 1, last + 1
+        if (s == 0 or not hay[s - 1].isalpha()) and (e == len(hay) or not hay[e].isalpha()):
+            spots.append((s, e))
+    merged: list[list[int]] = []
+    for s, e in sorted(spots):
+        s, e = max(0, s - AROUND), min(len(text), e + AROUND)
+        if merged and s <= merged[-1][1]:
+            merged[-1][1] = max(merged[-1][1], e)
+        else:
+            merged.append([s, e])
+    out = []
+    for s, e in merged:
+        while s > 0 and not text[s - 1].isspace():
+            s -= 1
+        while e < len(text) and not text[e].isspace():
+            e += 1
+        out.append((s, e))
+    return out
+
+
+def find(text: str, weights: dict[str, float], common: frozenset[str]) -> list[tuple[int, int, str]]:
+    """(start, end, type) of the personal information in a text, in order."""
+    found, done = [], 0
+    for s, e in stretches(text):
+        s = max(s, done)
+        part = text[s:e]
+        spans = proposals(part, common)
+        if spans:
+            scores = [sum(weights.get(f, 0.0) for f in fs) for fs in features(part, spans)]
+            found += [(s + spans[n][0], s + spans[n][1], spans[n][2]) for n in decode(spans, scores)]
+        done = e
+    return found
+
+
+def _prepared(df: DataFrame, vocabulary: str):
+    """Weights and words, sent to the tasks once (some 30,000 words and weights, whatever the data)."""
+    return df.sparkSession.sparkContext.broadcast((train(vocabulary), common_words(vocabulary)))
+
+
+def find_pii(df: DataFrame, record_id: str, text: str, vocabulary: str = VOCABULARY) -> DataFrame:
+    """record id, pii_type, pii_text, once each.
+
+    Null ids, null and empty texts have none. Equal strings in one record are one row. The whole of each text is
+    read. Other columns are not.
+    """
+    model = _prepared(df, vocabulary)
+    kind = df.schema[record_id].dataType.simpleString()
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        weights, common = model.value
+        for batch in batches:
+            rows = [(i, k, t[s:e]) for i, t in zip(batch.column(0).to_pylist(), batch.column(1).to_pylist()) if i is not None and t for s, e, k in find(t, weights, common)]
+            yield pa.RecordBatch.from_arrays(
+                [pa.array([r[0] for r in rows], batch.column(0).type), pa.array([r[1] for r in rows], pa.string()), pa.array([r[2] for r in rows], pa.string())], names=[record_id, "pii_type", "pii_text"]
+            )
+
+    return df.select(record_id, text).mapInArrow(run, f"`{record_id}` {kind}, pii_type string, pii_text string").distinct()
+
+
+def mask_pii(df: DataFrame, record_id: str, text: str, vocabulary: str = VOCABULARY) -> DataFrame:
+    """record id, masked: each text with ``[EMAIL]``, ``[PHONE]``, ``[ID_NUMBER]``, ``[STREET_ADDRESS]`` and
+    ``[PERSON_NAME]`` in place of its cases, all else as it was; null stays null. One row per record id."""
+    model = _prepared(df, vocabulary)
+    kind = df.schema[record_id].dataType.simpleString()
+
+    def masked(t: str | None, weights: dict, common: frozenset) -> str | None:
+        if not t:
+            return t
+        out, at = [], 0
+        for s, e, k in find(t, weights, common):
+            out += [t[at:s], f"[{k.upper()}]"]
+            at = e
+        return "".join([*out, t[at:]])
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        weights, common = model.value
+        for batch in batches:
+            texts = [masked(t, weights, common) for t in batch.column(1).to_pylist()]
+            yield pa.RecordBatch.from_arrays([batch.column(0), pa.array(texts, pa.string())], names=[record_id, "masked"])
+
+    out = df.where(F.col(record_id).isNotNull()).select(record_id, text).mapInArrow(run, f"`{record_id}` {kind}, masked string")
+    return out.dropDuplicates([record_id])

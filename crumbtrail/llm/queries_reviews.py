@@ -5,6 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 
 from crumbtrail.llm.near_duplicates import all_pairs, near_duplicates
+from crumbtrail.llm.pii import find_pii, mask_pii
 from crumbtrail.sources.tables import table
 
 
@@ -16,7 +17,15 @@ def p1_links(spark: SparkSession, folder: str) -> DataFrame:
     return near_duplicates(table(spark, folder, "reviews"), "id", "review_text")[1]
 
 
-QUERIES = {"p1_found": p1_found, "p1_links": p1_links}
+def p2_found(spark: SparkSession, folder: str) -> DataFrame:
+    return find_pii(table(spark, folder, "reviews"), "id", "review_text").withColumnRenamed("id", "review_id")
+
+
+def p2_masked(spark: SparkSession, folder: str) -> DataFrame:
+    return mask_pii(table(spark, folder, "reviews"), "id", "review_text").withColumnRenamed("id", "review_id")
+
+
+QUERIES = {"p1_found": p1_found, "p1_links": p1_links, "p2_found": p2_found, "p2_masked": p2_masked}
 
 SQL = {
     "p1_found": r"""

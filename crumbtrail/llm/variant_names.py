@@ -45,6 +45,8 @@ def canonical(name: str) -> tuple[list[str], int]:
     s = "".join(c for c in unicodedata.normalize("NFKD", name) if not unicodedata.combining(c))
     s = re.sub(r"\bw/\s*", " with ", s).replace("&", " with ")
     s = re.sub(r"\s[-–—]\s", " with ", s)
+    # A joining word is still one with a letter wrong.
+    s = " ".join("with" if 3 <= len(w) <= 5 and w != "with" and distance(w, "with", 1) == 1 else w for w in s.split())
     parts = re.split(r"\s(?:with|and)\s", s, maxsplit=1)
     head, tail = parts[0], parts[1] if len(parts) > 1 else ""
     if m := re.match(r"(.*?)\(([^)]*)\)\s*(.*)$", head):
@@ -59,6 +61,8 @@ def canonical(name: str) -> tuple[list[str], int]:
         found = re.findall(r"[^\W_]+", x)
         while len(found) > 1 and found[0] in ARTICLES:
             found = found[1:]
+        if len(found) == 1 and not tail:
+            return found
         return [w[:-1] if len(w) > 3 and w.endswith("s") and not w.endswith("ss") else w for w in found if w not in JOINS]
 
     before, after = words(head), words(tail)
@@ -92,10 +96,10 @@ def distance(a: str, b: str, k: int) -> int:
 
 
 def shortens(short: str, word: str) -> bool:
-    """Whether ``short`` may abbreviate ``word``: its start, its end, or its letters in order."""
+    """Whether ``short`` may abbreviate ``word``: its start (but for a last letter), its end, or its letters in order."""
     if len(short) < 3 or len(short) > 0.8 * len(word):
         return False
-    if word.startswith(short) or (len(short) >= 5 and word.endswith(short)):
+    if word.startswith(short) or (len(short) >= 5 and word.startswith(short[:-1])) or (len(short) >= 5 and word.endswith(short)):
         return True
     letters = iter(word)
     return short[0] == word[0] and all(c in letters for c in short)
