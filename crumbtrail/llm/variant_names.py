@@ -120,7 +120,19 @@ def word_cost(x: str, fx: int, y: str, fy: int) -> float | None:
 
 def name_cost(a: list[str], fa: list[int], b: list[str], fb: list[int]) -> float | None:
     """The least cost of pairing all words of two names in order, where two may stand for one."""
-    if abs(len(a) - len(b)) > 2:
+    if len(a) == len(b):
+        total = 0.0
+        for x, fx, y, fy in zip(a, fa, b, fb):
+            if x != y:
+                if (c := word_cost(x, fx, y, fy)) is None:
+                    break
+                total += c
+        else:
+            return total
+    # Words can only be joined or cut differently where the letters stay.
+    one, other = "".join(a), "".join(b)
+    k = _k(max(len(one), len(other)))
+    if abs(len(a) - len(b)) > 2 or distance(one, other, k) > k:
         return None
     best: dict[tuple[int, int], float | None] = {(len(a), len(b)): 0}
 
@@ -201,10 +213,6 @@ def _verify(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
     for batch in batches:
         probe, item, cost = [], [], []
         for p, wa, fa, i, wb, fb in zip(*(c.to_pylist() for c in batch.columns)):
-            a, b = "".join(wa), "".join(wb)
-            near = distance(a, b, _k(max(len(a), len(b))) + 1)
-            if near > _k(max(len(a), len(b))) + 1 and len(wa) != len(wb):
-                continue
             c = name_cost(wa, fa, wb, fb)
             if c is not None:
                 probe.append(p)
@@ -237,14 +245,17 @@ def name_groups(df: DataFrame, scope: str, name: str) -> DataFrame:
     long = items.select("item", F.posexplode("words").alias("pos", "word")).join(terms, "word")
     freqs = long.groupBy("item").agg(F.transform(F.sort_array(F.collect_list(F.struct("pos", "df"))), lambda x: x["df"]).alias("freqs"))
     items = items.join(freqs, "item").withColumn("rare", F.filter(F.transform("freqs", lambda f, i: F.when(f < floor, i)), lambda i: i.isNotNull()))
+    items = items.withColumn("common", F.array_compact(F.zip_with("words", "freqs", lambda w, f: F.when(f >= floor, w))))
     items = stage(items, "items")
 
     index = items.select("scope", "item", "words").mapInArrow(_index_rows, "key long, item long")
     probes = items.where(F.size("rare") > 0).select("scope", "item", "words", "rare").mapInArrow(_probe_rows, "key long, probe long")
     met = probes.join(index, "key").where("probe != item").select("probe", "item").distinct()
-    a = items.select(F.col("item").alias("probe"), F.col("words").alias("wa"), F.col("freqs").alias("fa"))
+    a = items.select(F.col("item").alias("probe"), F.col("words").alias("wa"), F.col("freqs").alias("fa"), F.col("common").alias("ca"))
     b = items.select("item", F.col("words").alias("wb"), F.col("freqs").alias("fb"))
-    near = met.join(a, "probe").join(b, "item").select("probe", "wa", "fa", "item", "wb", "fb").mapInArrow(_verify, "probe long, item long, cost double")
+    # Common words don't stand for other words, so but for one (a piece of a cut word) all must be met.
+    alike = (F.size(F.array_except("ca", "wb")) <= 1) & (F.size(F.array_except("wb", "wa")) <= F.size("wa") - F.size("ca") + 1)
+    near = met.join(a, "probe").join(b, "item").where(alike).select("probe", "wa", "fa", "item", "wb", "fb").mapInArrow(_verify, "probe long, item long, cost double")
     # A rare spelling means the nearest item; of items with rare words themselves, only a more common one.
     side = items.select("item", F.size("rare").alias("n_rare"), "mentions")
     own = items.select(F.col("item").alias("probe"), F.size("rare").alias("own_rare"), F.col("mentions").alias("own"))
