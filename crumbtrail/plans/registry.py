@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from crumbtrail.plans import heavy
+from crumbtrail.plans import heavy, mining
 
-QUERIES = {**heavy.QUERIES}
-SQL = {**heavy.SQL}
+QUERIES = {**mining.QUERIES, **heavy.QUERIES}
+SQL = {**mining.SQL, **heavy.SQL}
