@@ -28,9 +28,9 @@ def _clusters(groups: DataFrame, clusters: DataFrame | None) -> DataFrame:
     """business_id, key, cluster: the key of the member that was seen first. Without clusters each name is its own."""
     if clusters is None:
         return groups.select("business_id", "key", "first_id", F.col("key").alias("cluster"), F.col("first_id").alias("cluster_first"))
-    w = Window.partitionBy("business_id", "component")
     named = groups.join(clusters, ["business_id", "key"], "left").withColumn("component", F.coalesce("component", "key"))
-    return named.select("business_id", "key", "first_id", F.min_by("key", "first_id").over(w).alias("cluster"), F.min("first_id").over(w).alias("cluster_first"))
+    first = named.groupBy("business_id", "component").agg(F.min_by("key", "first_id").alias("cluster"), F.min("first_id").alias("cluster_first"))
+    return named.join(first, ["business_id", "component"]).select("business_id", "key", "first_id", "cluster", "cluster_first")
 
 
 def cluster_names(groups: DataFrame, vectors: DataFrame, threshold: float = 0.87) -> DataFrame:

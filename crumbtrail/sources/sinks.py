@@ -11,8 +11,8 @@ from crumbtrail.functions.text import counted, tags_text
 
 
 def overwrite_partitions(df: DataFrame, path: str, key: str = "business_id") -> None:
-    """Replaces the key's partitions that ``df`` has, and leaves all others."""
-    df.repartition(key).write.mode("overwrite").option("partitionOverwriteMode", "dynamic").partitionBy(key).parquet(path)
+    """Replaces the key's partitions that ``df`` has, and leaves all others. A large partition is written by several tasks."""
+    df.hint("rebalance", key).write.mode("overwrite").option("partitionOverwriteMode", "dynamic").partitionBy(key).parquet(path)
 
 
 def append(df: DataFrame, path: str) -> None:
