@@ -2,27 +2,73 @@
 
 from __future__ import annotations
 
+from collections.abc import Callable, Iterator
+
+import numpy as np
+import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from crumbtrail.functions.vectors import dot, norm
 from crumbtrail.session import stage
 
 
+def _cell_pairs(threshold: float, scope_type: pa.DataType, key_type: pa.DataType) -> Callable[[Iterator[pa.RecordBatch]], Iterator[pa.RecordBatch]]:
+    """Matrix products of the cells of a partition; its rows come sorted by cell, and one cell is held at a time."""
+
+    def pairs(scope: object, cell: list[tuple]) -> Iterator[pa.RecordBatch]:
+        _, low, high, *_ = cell[0]
+        by_length: dict[int, list[tuple]] = {}
+        for row in cell:
+            by_length.setdefault(len(row[5]), []).append(row)
+        for rows in by_length.values():
+            m = np.array([r[5] for r in rows], dtype=np.float64)
+            with np.errstate(invalid="ignore", divide="ignore"):
+                m /= np.sqrt((m * m).sum(axis=1, keepdims=True))
+            own = np.array([r[3] for r in rows])
+            left = np.flatnonzero(own == low)
+            right = left if low == high else np.flatnonzero(own == high)
+            with np.errstate(invalid="ignore"):
+                similar = m[left] @ m[right].T
+                i, j = np.nonzero(similar >= threshold)
+            if low == high:
+                i, j = i[i < j], j[i < j]
+            ends = [sorted((rows[x][4], rows[y][4])) for x, y in zip(left[i], right[j])]
+            yield pa.RecordBatch.from_arrays(
+                [pa.array([scope] * len(ends), scope_type), pa.array([e[0] for e in ends], key_type), pa.array([e[1] for e in ends], key_type), pa.array(similar[i, j])], names=["s", "a", "b", "similarity"]
+            )
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        cell: list[tuple] = []
+        for batch in batches:
+            for row in zip(*(c.to_pylist() for c in batch.columns)):
+                if cell and row[:3] != cell[0][:3]:
+                    yield from pairs(cell[0][0], cell)
+                    cell = []
+                cell.append(row)
+        if cell:
+            yield from pairs(cell[0][0], cell)
+
+    return run
+
+
 def similar_pairs(df: DataFrame, scope: str, key: str, vector: str, threshold: float, block: int = 500) -> DataFrame:
     """scope, a, b (a < b), similarity: all pairs of a scope with a cosine of at least ``threshold``.
 
-    Exact. Zero and null vectors are similar to none. A large scope is cut into blocks of about
-    ``block`` vectors, joined block pair by block pair, so that its pairs spread over many tasks.
+    Exact, in doubles. Zero and null vectors are similar to none, nor are vectors of different lengths. A large scope
+    is cut into blocks of about ``block`` vectors; each pair of blocks is a cell, one matrix product, so that a scope's
+    pairs spread over many tasks.
     """
-    unit = df.where(F.col(vector).isNotNull()).select(F.col(scope).alias("s"), F.col(key).alias("k"), F.transform(vector, lambda x: x.cast("double")).alias("v"))
-    unit = unit.withColumn("n", norm(F.col("v"))).where("n > 0 AND NOT isnan(n)").withColumn("v", F.transform("v", lambda x: x / F.col("n"))).drop("n")
-    sizes = unit.groupBy("s").agg(F.ceil(F.count("*") / block).cast("int").alias("blocks"))
-    cut = unit.join(sizes, "s").withColumn("i", F.pmod(F.xxhash64("k"), F.col("blocks")).cast("int"))
-    left = cut.select("s", F.col("k").alias("a"), F.col("v").alias("va"), F.col("i").alias("ia"), F.explode(F.sequence(F.lit(0), F.col("blocks") - 1)).alias("ib"))
-    right = cut.select("s", F.col("k").alias("b"), F.col("v").alias("vb"), F.col("i").alias("ib"), F.explode(F.sequence(F.lit(0), F.col("blocks") - 1)).alias("ia"))
-    met = left.join(right, ["s", "ia", "ib"]).where("a < b").select("s", "a", "b", dot(F.col("va"), F.col("vb")).alias("similarity"))
-    return met.where(~F.isnan("similarity") & (F.col("similarity") >= threshold)).select(F.col("s").alias(scope), "a", "b", "similarity")
+    from pyspark.sql.pandas.types import to_arrow_type
+
+    kinds = [df.schema[c].dataType for c in (scope, key)]
+    given = df.where(F.col(vector).isNotNull() & F.col(scope).isNotNull() & (F.size(vector) > 0)).select(F.col(scope).alias("s"), F.col(key).alias("k"), F.col(vector).cast("array<double>").alias("v"))
+    sizes = given.groupBy("s").agg(F.ceil(F.count("*") / block).cast("int").alias("blocks"))
+    cut = given.join(sizes, "s").withColumn("own", F.pmod(F.xxhash64("k"), F.col("blocks")).cast("int"))
+    cells = cut.select("s", "own", "k", "v", F.explode(F.sequence(F.lit(0), F.col("blocks") - 1)).alias("other"))
+    cells = cells.select("s", F.least("own", "other").alias("low"), F.greatest("own", "other").alias("high"), "own", "k", "v")
+    sorted_cells = cells.repartition("s", "low", "high").sortWithinPartitions("s", "low", "high")
+    met = sorted_cells.mapInArrow(_cell_pairs(threshold, *[to_arrow_type(k) for k in kinds]), f"s {kinds[0].simpleString()}, a {kinds[1].simpleString()}, b {kinds[1].simpleString()}, similarity double")
+    return met.select(F.col("s").alias(scope), "a", "b", "similarity")
 
 
 def components(vertices: DataFrame, edges: DataFrame, scope: str, key: str) -> DataFrame:
@@ -33,13 +79,19 @@ def components(vertices: DataFrame, edges: DataFrame, scope: str, key: str) -> D
     """
     both = edges.select(scope, "a", "b").union(edges.select(scope, F.col("b"), F.col("a"))).distinct()
     both = stage(both.toDF("s", "a", "b"), "edges")
-    labels = stage(both.select("s", F.col("a").alias("k")).distinct().withColumn("c", F.col("k")), "labels")
-    changed = labels.isEmpty() is False
-    while changed:
+    labels = both.select("s", F.col("a").alias("k"), F.col("a").alias("c")).distinct()
+
+    def spread(labels: DataFrame) -> DataFrame:
         near = both.join(labels.select("s", F.col("k").alias("b"), "c"), ["s", "b"]).groupBy("s", F.col("a").alias("k")).agg(F.min("c").alias("m"))
-        low = labels.join(near, ["s", "k"]).select("s", "k", "c", F.least("c", "m").alias("m"))
+        low = labels.join(near, ["s", "k"]).select("s", "k", F.least("c", "m").alias("m"))
         jump = low.select("s", F.col("k").alias("m"), F.col("m").alias("far"))
-        new = stage(low.join(jump, ["s", "m"]).select("s", "k", F.col("c").alias("old"), F.least("m", "far").alias("c")), "labels")
+        return low.join(jump, ["s", "m"]).select("s", "k", F.least("m", "far").alias("c"))
+
+    changed = True
+    while changed:
+        # Two rounds to a stage.
+        new = spread(spread(labels)).join(labels.select("s", "k", F.col("c").alias("old")), ["s", "k"])
+        new = stage(new, "labels")
         changed = not new.where("old != c").isEmpty()
         labels = new.select("s", "k", "c")
     named = labels.select(F.col("s").alias(scope), F.col("k").alias(key), "c")
