@@ -15,7 +15,7 @@ from __future__ import annotations
 from collections.abc import Iterator
 
 import pandas as pd
-from pyspark.sql import DataFrame
+from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from crumbtrail.session import stage
@@ -71,22 +71,19 @@ def components(pairs: DataFrame, scope: str, a: str, b: str, cell_edges: int = C
     besides the three are not read.
     """
     kind = pairs.schema[scope].dataType.simpleString()
-    edges = (
-        pairs.select(F.col(scope).alias("scope"), F.least(a, b).alias("a"), F.greatest(a, b).alias("b"))
-        .where(F.col("scope").isNotNull() & F.col(a).isNotNull() & F.col(b).isNotNull() & (F.col("a") != F.col("b")))
-        .distinct()
-    )
+    given = pairs.where(F.col(scope).isNotNull() & F.col(a).isNotNull() & F.col(b).isNotNull() & (F.col(a) != F.col(b)))
+    edges = stage(given.select(F.col(scope).alias("scope"), F.least(a, b).alias("a"), F.greatest(a, b).alias("b")).distinct(), "edges")
     rounds: list[DataFrame] = []
-    edges = stage(edges, "edges-0")
     n = edges.count()
     while n or not rounds:
         blocks = max(LEAST_BLOCKS, int((n / cell_edges) ** 0.5) + 1)
         local = _cells(edges, blocks).repartition(blocks * blocks, "cell").mapInPandas(_join_cell, f"scope {kind}, v string, rep string")
-        reps = stage(local.distinct(), "representatives")
-        parents = reps.groupBy("scope", "v").agg(F.min("rep").alias("parent"))
-        rounds.append(stage(parents, "parents"))
-        left = reps.join(rounds[-1], ["scope", "v"]).where(F.col("rep") != F.col("parent"))
-        edges = stage(left.select("scope", F.col("parent").alias("a"), F.col("rep").alias("b")).distinct(), "edges")
+        # A vertex has at most one representative from each cell of its row and its column.
+        parent = F.min("rep").over(Window.partitionBy("scope", "v"))
+        named = stage(local.distinct().withColumn("parent", parent), "representatives")
+        rounds.append(named.where("rep = parent").select("scope", "v", "parent"))
+        edges = named.where("rep != parent").select("scope", F.col("parent").alias("a"), F.col("rep").alias("b")).distinct()
+        edges = stage(edges, "edges")
         n = edges.count()
     # Each round's parents are vertices of the next, unless they are already the last.
     found = rounds.pop()
