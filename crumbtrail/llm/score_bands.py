@@ -31,7 +31,8 @@ def top_by_bands(df: DataFrame, group: str, item: str, scores: list[str], n: int
         F.col(group).alias("_g"), F.col(item).alias("_i"), *[F.coalesce(F.col(s), F.lit(0)).cast("long").alias(k) for s, k in zip(scores, keys)]
     )
     # A few bounds over all scores, at a fixed relative error.
-    bounds = sorted({float(x) for x in rows.approxQuantile(keys[0], list(band_shares), 0.001)}, reverse=True)
+    found = rows.agg(F.percentile_approx(keys[0], list(band_shares), 1000)).first()[0] if band_shares else None
+    bounds = sorted(set(found or []), reverse=True)
     band = reduce(lambda when, k: when.when(F.col(keys[0]) >= bounds[k], k), range(1, len(bounds)), F.when(F.col(keys[0]) >= bounds[0], 0)).otherwise(len(bounds)) if bounds else F.lit(0)
     banded = stage(rows.dropDuplicates(["_i"]).withColumn("_band", band), "bands", "_band")
     order = [F.col(k).desc() for k in keys] + [F.col("_i").asc()]

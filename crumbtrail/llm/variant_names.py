@@ -46,7 +46,10 @@ def canonical(name: str) -> tuple[list[str], int]:
     s = re.sub(r"\bw/\s*", " with ", s).replace("&", " with ")
     s = re.sub(r"\s[-–—]\s", " with ", s)
     # A joining word is still one with a letter wrong.
-    s = " ".join("with" if 3 <= len(w) <= 5 and w != "with" and distance(w, "with", 1) == 1 else w for w in s.split())
+    written = ["with" if 3 <= len(w) <= 5 and w != "with" and distance(w, "with", 1) == 1 else w for w in s.split()]
+    while len(written) > 1 and written[0] in ARTICLES:
+        written = written[1:]
+    s = " ".join(written)
     parts = re.split(r"\s(?:with|and)\s", s, maxsplit=1)
     head, tail = parts[0], parts[1] if len(parts) > 1 else ""
     if m := re.match(r"(.*?)\(([^)]*)\)\s*(.*)$", head):
@@ -237,8 +240,8 @@ def name_groups(df: DataFrame, scope: str, name: str) -> DataFrame:
     forms = stage(forms.withColumn("compact", F.array_join("words", "")).withColumn("item", F.xxhash64("scope", "compact")), "names")
 
     terms = stage(forms.select(F.explode(F.array_distinct("words")).alias("word")).groupBy("word").agg(F.count("*").alias("df")), "words")
-    middle = forms.select(F.explode("words").alias("word")).join(terms, "word").approxQuantile("df", [0.5], 0.01)
-    floor = max(RARE_LEAST, int(RARE_SHARE * middle[0])) if middle else RARE_LEAST
+    middle = forms.select(F.explode("words").alias("word")).join(terms, "word").agg(F.percentile_approx("df", 0.5, 1000)).first()[0]
+    floor = max(RARE_LEAST, int(RARE_SHARE * (middle or 0)))
     # An item's words: those of its most mentioned name.
     best = F.max_by(F.struct("words", "n_head"), F.struct("mentions", F.size("words"), "name"))
     items = forms.groupBy("scope", "item").agg(best.alias("b"), F.sum("mentions").alias("mentions")).select("scope", "item", "b.*", "mentions")
