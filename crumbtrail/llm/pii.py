@@ -121,9 +121,11 @@ def proposals(text: str, common: frozenset[str]) -> list[tuple[int, int, str, st
                     break
                 if n == 0 and pattern[0] != "i":
                     found.add((start, e + 1, "person_name", pattern + "."))
-            elif "g" in pattern or pattern[0] == "i":
+            elif ("g" in pattern or pattern[0] == "i") and c[1:] in ("", kind[1:]) + ("T", "A") * (kind == "i"):
+                # First and last word are written alike.
                 found.add((start, e, "person_name", pattern))
-            if gap == ", ":
+            # A comma turns the name, and an ordinary word can only be its last.
+            if gap == ", " or c[0] == "k":
                 break
     return sorted(found)
 
