@@ -25,7 +25,7 @@ from pyspark.sql import functions as F
 
 TYPES = ("email", "phone", "id_number", "street_address", "person_name")
 VOCABULARY = "/opt/tokenizers/byte_bpe_50k.json"
-TRAINING, PASSES, SEED = 2500, 4, 7
+TRAINING, PASSES, SEED = 3000, 5, 7
 #: Characters around a trigger that are decoded with it.
 AROUND = 70
 
@@ -225,7 +225,7 @@ _POSITIVE = [
     "My licence {id_number} was on the {word}.", "passport {id_number} is still at the {word}", "Permit no. {id_number} is on the wall.", "They wrote down {id_number} from my card.", "ID number {id_number}, contact {email}.", "{id_number} hangs by the {word}",
     "We live at {street_address} near the {word}.", "Please mail the {word} to {street_address} and call {phone}.", "It was left at {street_address} instead of our {word}.", "registered to {person_name}, {street_address}.",
     "Ask for {person_name}, who {word} our {word}.", "Thanks to {person_name} for the {word}!", "our waiter {person_name} {word} the {word}", "My cousin {person_name} {word} the {word}.", "{person_name} here, about the {word}: {email}", "- {person_name}, {phone}",
-    "We waited for {person_name} on the {word}.", "promised by {person_name} but never came; my phone is {phone}", "Shout out to {person_name} and {person_name} for the {word}!", "under a photo of {person_name}.", "The form wanted it all: {person_name}, {phone}, {id_number}.", "Well done, {person_name}!", "Kudos, {person_name}!", "Bravo, {person_name}!", "Cheers, {person_name}!", "Thanks, {person_name}, for the {word}", "Props, {person_name}!", "Yes, {person_name}!", "{person_name} was our server and {word} the {word}.", "I spoke with {person_name} about the {word}.", "{person_name} again. The {word} was {word}.",
+    "We waited for {person_name} on the {word}.", "promised by {person_name} but never came; my phone is {phone}", "Shout out to {person_name} and {person_name} for the {word}!", "under a photo of {person_name}.", "The form wanted it all: {person_name}, {phone}, {id_number}.", "Well done, {person_name}!", "Kudos, {person_name}!", "Bravo, {person_name}!", "Cheers, {person_name}!", "Thanks, {person_name}, for the {word}", "Props, {person_name}!", "Yes, {person_name}!", "{person_name} was our server and {word} the {word}.", "I spoke with {person_name} about the {word}.", "We met {person_name} the {word} after.", "I saw {person_name} the {word} before the {word}.", "They sent {person_name} a {word}.", "{person_name} again. The {word} was {word}.",
 ]
 _NEGATIVE = [
     "Better than {given}'s {title} on the {word}.", "{given}’s {title} has a nicer {word}.", "We drove over from {title} {title} during the {title} {word}.", "the {title} {word} at {title} is {word}", "order #{number}-{two} took {two} minutes", "Order {number}-{two} came late.", "batch {three}-{two} of the {word}", "Batch {three}-{two} rates {five} on the scale.", "ticket {six}, table {two}, seat {two}", "Booking code {code} did not scan.",
