@@ -224,6 +224,23 @@ def _verify(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         yield pa.RecordBatch.from_arrays([pa.array(probe, pa.int64()), pa.array(item, pa.int64()), pa.array(cost, pa.float64())], names=["probe", "item", "cost"])
 
 
+def near_items(items: DataFrame) -> DataFrame:
+    """probe, item, cost: the items of the same scope that an item with rare words may be a spelling of.
+
+    ``items`` has scope, item, words, freqs, rare (places of the rare words) and common (the other words). Found are all
+    pairs within the edits that their letters allow, and all whose words pair up with at most two rare ones.
+    """
+    index = items.select("scope", "item", "words").mapInArrow(_index_rows, "key long, item long")
+    probes = items.where(F.size("rare") > 0).select("scope", "item", "words", "rare").mapInArrow(_probe_rows, "key long, probe long")
+    met = probes.join(index, "key").where("probe != item").select("probe", "item").distinct()
+    a = items.select(F.col("item").alias("probe"), F.col("words").alias("wa"), F.col("freqs").alias("fa"), F.col("common").alias("ca"))
+    b = items.select("item", F.col("words").alias("wb"), F.col("freqs").alias("fb"), F.size("rare").alias("rb"))
+    # A common word only stands for a rare one of the item, or is a piece of a cut word; so most must be met.
+    lacks, more = F.size(F.array_except("ca", "wb")), F.size(F.array_except("wb", "wa"))
+    alike = (lacks <= F.greatest(F.lit(1), "rb")) & (more <= F.size("wa") - F.size("ca") + lacks + 1)
+    return met.join(a, "probe").join(b, "item").where(alike).select("probe", "wa", "fa", "item", "wb", "fb").mapInArrow(_verify, "probe long, item long, cost double")
+
+
 def name_groups(df: DataFrame, scope: str, name: str) -> DataFrame:
     """scope, name (normalised), item: each distinct name with the canonical form of what it means.
 
@@ -251,14 +268,7 @@ def name_groups(df: DataFrame, scope: str, name: str) -> DataFrame:
     items = items.withColumn("common", F.array_compact(F.zip_with("words", "freqs", lambda w, f: F.when(f >= floor, w))))
     items = stage(items, "items")
 
-    index = items.select("scope", "item", "words").mapInArrow(_index_rows, "key long, item long")
-    probes = items.where(F.size("rare") > 0).select("scope", "item", "words", "rare").mapInArrow(_probe_rows, "key long, probe long")
-    met = probes.join(index, "key").where("probe != item").select("probe", "item").distinct()
-    a = items.select(F.col("item").alias("probe"), F.col("words").alias("wa"), F.col("freqs").alias("fa"), F.col("common").alias("ca"))
-    b = items.select("item", F.col("words").alias("wb"), F.col("freqs").alias("fb"))
-    # Common words don't stand for other words, so but for one (a piece of a cut word) all must be met.
-    alike = (F.size(F.array_except("ca", "wb")) <= 1) & (F.size(F.array_except("wb", "wa")) <= F.size("wa") - F.size("ca") + 1)
-    near = met.join(a, "probe").join(b, "item").where(alike).select("probe", "wa", "fa", "item", "wb", "fb").mapInArrow(_verify, "probe long, item long, cost double")
+    near = near_items(items)
     # A rare spelling means the nearest item; of items with rare words themselves, only a more common one.
     side = items.select("item", F.size("rare").alias("n_rare"), "mentions")
     own = items.select(F.col("item").alias("probe"), F.size("rare").alias("own_rare"), F.col("mentions").alias("own"))

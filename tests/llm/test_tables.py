@@ -21,7 +21,7 @@ def groups(pairs):
     return {(s, n, root((s, n))[1]) for s, n in up}
 
 
-@pytest.mark.parametrize("cell_edges", [3, 200_000])
+@pytest.mark.parametrize("cell_edges", [12, 200_000])
 def test_components(spark, cell_edges):
     r = random.Random(1)
     chain = [(1, f"c{i:03d}", f"c{i + 1:03d}") for i in range(60)]
@@ -155,6 +155,48 @@ def test_variants(spark):
     assert pairs == {(a, b) for g in want for a in g for b in g if a < b}
 
 
+def test_join_finds_what_comparing_all_pairs_finds(spark):
+    r = random.Random(6)
+    vocabulary = ["smoked", "golden", "lobster", "chicken", "pumpkin", "noodle", "risotto", "casserole", "truffle", "saffron", "butter", "pickled"]
+    rows = {}
+
+    def misspelt(w):
+        at = r.randrange(1, len(w))
+        return r.choice([w[:at] + r.choice("aeiouxyz") + w[at:], w[: at - 1] + w[at:], w[: at - 1] + w[at] + w[at - 1] + w[at + 1 :], w[:3], w[0] + "".join(c for c in w[1:] if c not in "aeiou")])
+
+    for _ in range(140):
+        words = [r.choice(vocabulary) for _ in range(r.randint(2, 5))]
+        rows[tuple(words)] = [500] * len(words)
+        for n in (1, 2, 3):
+            wrong, at = list(words), r.sample(range(len(words)), min(n, len(words)))
+            for k in at:
+                wrong[k] = misspelt(wrong[k])
+            rows[tuple(wrong)] = [2 if w not in vocabulary else 500 for w in wrong]
+    table = [(1, k, list(w), f, [i for i, x in enumerate(f) if x < 50], [x for x, y in zip(w, f) if y >= 50]) for k, (w, f) in enumerate(rows.items())]
+    df = spark.createDataFrame(table, "scope long, item long, words array<string>, freqs array<long>, rare array<int>, common array<string>")
+    got = {(x["probe"], x["item"]): x["cost"] for x in variant_names.near_items(df).collect()}
+    want = {}
+    for _, p, wa, fa, rare, _ in table:
+        for _, i, wb, fb, _, _ in table:
+            if rare and p != i and (c := variant_names.name_cost(wa, fa, wb, fb)) is not None:
+                a, b = "".join(wa), "".join(wb)
+                k = variant_names._k(len(b))
+                # What the operator states: few edits (a swap counts twice here), or at most two rare words.
+                if len(rare) <= 2 and len(wa) == len(wb) and sum(x != y for x, y in zip(wa, wb)) <= len(rare) and all(wa[n] == wb[n] for n in range(len(wa)) if n not in rare) or levenshtein(a, b) <= k:
+                    want[p, i] = c
+    assert len(want) > 200 and want.items() <= got.items()
+    assert all(variant_names.name_cost(*[x for p, i in [pair] for x in (table[p][2], table[p][3], table[i][2], table[i][3])]) == c for pair, c in got.items())
+
+
+def levenshtein(a, b):
+    row = list(range(len(b) + 1))
+    for i, x in enumerate(a, 1):
+        row, last = [i], row
+        for j, y in enumerate(b, 1):
+            row.append(min(last[j - 1] + (x != y), last[j] + 1, row[j - 1] + 1))
+    return row[-1]
+
+
 def test_no_names(spark):
     assert variant_names.name_groups(spark.createDataFrame([], NAMES), "business_id", "dish_name").count() == 0
     assert re.fullmatch(r"[a-z]+", "".join(variant_names.canonical("x" * 5000)[0]))
