@@ -7,8 +7,9 @@ from pyspark.sql import functions as F
 
 from crumbtrail.llm.grid_components import matched_names
 from crumbtrail.llm.score_bands import top_by_bands
-from crumbtrail.llm.term_counts import marked, merge_counts, signed_changes
+from crumbtrail.llm.term_counts import marked, merge_counts, read_counts, signed_changes
 from crumbtrail.llm.variant_names import name_groups, name_pairs
+from crumbtrail.session import stage_path
 from crumbtrail.sources.tables import table
 
 SPACE = r"[\s\x{A0}\x{1c}-\x{1f}\x{85}\x{1680}\x{2000}-\x{200a}\x{2028}\x{2029}\x{202f}\x{205f}\x{3000}\x{0b}]+"
@@ -45,8 +46,11 @@ def _tag_counts(spark: SparkSession, folder: str) -> DataFrame:
     records = table(spark, folder, "dish_extractions").select("id", "tags", "sentiment")
     odd = ~F.coalesce(F.col("sentiment").isin("positive", "negative", "neutral"), F.lit(False))
     first = records.select("id", F.when(~odd, F.col("tags")).alias("tags"))
-    counts = merge_counts(None, signed_changes(None, first, "id", "tags"))
-    return merge_counts(counts, signed_changes(first.join(records.where(odd).select("id").distinct(), "id", "left_semi"), records.where(odd), "id", "tags"))
+    path = stage_path(spark, "tag-counts")
+    merge_counts(spark, path, signed_changes(None, first, "id", "tags"))
+    again = records.where(odd)
+    merge_counts(spark, path, signed_changes(first.join(again.select("id").distinct(), "id", "left_semi"), again, "id", "tags"))
+    return read_counts(spark, path)
 
 
 def p6_counts(spark: SparkSession, folder: str) -> DataFrame:

@@ -2,12 +2,13 @@
 
 A record that is added, changed or deleted is turned into signed counts per term: plus its new
 terms, minus its old ones. Only these are aggregated; the sums are merged into the stored counts,
-which lie partitioned by a hash of the term, so that a merge is a join partition by partition.
+which lie partitioned by a hash of the term. A merge reads and rewrites only the partitions that a changed
+term falls in.
 """
 
 from __future__ import annotations
 
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from crumbtrail.functions.text import normalize
@@ -44,11 +45,30 @@ def signed_changes(old: DataFrame | None, new: DataFrame, record_id: str, tags:
     return long.groupBy("term").agg(F.sum("s").alias("occurrences"), F.sum("r").alias("records")).where("occurrences != 0 OR records != 0")
 
 
-def merge_counts(counts: DataFrame | None, changes: DataFrame) -> DataFrame:
-    """The stored counts with the changes added; terms that fall to nothing are dropped."""
-    both = changes if counts is None else counts.select("term", "occurrences", "records").unionByName(changes)
-    merged = both.groupBy("term").agg(F.sum("occurrences").alias("occurrences"), F.sum("records").alias("records")).where("records > 0")
-    return stage(merged, "counts")
+def merge_counts(spark: SparkSession, path: str, changes: DataFrame, buckets: int = 32) -> None:
+    """Adds the changes to the counts stored at ``path``, which is made if it isn't there.
+
+    A term that falls to nothing stays with 0, so that its partition is rewritten. The merged partitions are written
+    aside before they take their places. ``buckets`` is the number of partitions, the same for each merge.
+    """
+    changes = stage(changes.select("term", "occurrences", "records").withColumn("bucket", F.pmod(F.xxhash64("term"), F.lit(buckets)).cast("int")), "changes")
+    touched = [r["bucket"] for r in changes.select("bucket").distinct().collect()]  # at most ``buckets`` numbers
+    place = spark.sparkContext._jvm.org.apache.hadoop.fs.Path(path)
+    there = place.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration()).exists(place)
+    if there and not touched:
+        return
+    both = changes.unionByName(_stored(spark, path).where(F.col("bucket").isin(touched))) if there else changes
+    merged = stage(both.groupBy("bucket", "term").agg(F.sum("occurrences").alias("occurrences"), F.sum("records").alias("records")), "merged")
+    merged.hint("rebalance", "bucket").write.mode("overwrite").option("partitionOverwriteMode", "dynamic").partitionBy("bucket").parquet(path)
+
+
+def _stored(spark: SparkSession, path: str) -> DataFrame:
+    return spark.read.schema("term string, occurrences long, records long, bucket int").parquet(path)
+
+
+def read_counts(spark: SparkSession, path: str) -> DataFrame:
+    """term, occurrences, records of all terms that any record holds."""
+    return _stored(spark, path).where("records > 0").select("term", "occurrences", "records")
 
 
 def marked(counts: DataFrame, n_records: DataFrame, least: int = 3, most_share: float = 0.1) -> DataFrame:

@@ -77,23 +77,23 @@ def counted(records):
     return {t: (occurrences[t], mentions[t]) for t in occurrences}
 
 
-def test_signed_changes(spark):
+def test_signed_changes(spark, tmp_path):
     r = random.Random(3)
     words = ["Hot", "hot ", " HOT\t", "mild", "rich  sauce", "", None, "  "]
 
     def tags():
         return r.choice([None, [], [r.choice(words) for _ in range(r.randint(1, 6))]])
 
-    schema, state, counts = "id long, tags array<string>, term string, records long", {}, None
+    schema, state, path = "id long, tags array<string>, term string, records long", {}, str(tmp_path / "counts")
     for step in range(4):
         new = {i: tags() for i in r.sample(range(60), 25)}
         gone = [i for i in new if step and r.random() < 0.3]
         old = spark.createDataFrame([(i, t, "x", 1) for i, t in state.items()], schema) if state else None
         rows = [(i, t, "x", 1, i in gone) for i, t in new.items()]
         df = spark.createDataFrame(rows + rows[:3] + [(None, ["hot"], "x", 1, False)], schema + ", _deleted boolean")
-        counts = term_counts.merge_counts(counts, term_counts.signed_changes(old, df, "id", "tags"))
+        term_counts.merge_counts(spark, path, term_counts.signed_changes(old, df, "id", "tags"), buckets=4)
         state = {i: t for i, t in (state | new).items() if i not in gone}
-        assert {x["term"]: (x["occurrences"], x["records"]) for x in counts.collect()} == counted(state)
+        assert {x["term"]: (x["occurrences"], x["records"]) for x in term_counts.read_counts(spark, path).collect()} == counted(state)
 
 
 def test_marks(spark):
@@ -102,9 +102,22 @@ def test_marks(spark):
     assert got == {"a": "rare", "b": None, "c": None, "d": "common"}
 
 
-def test_counts_of_nothing(spark):
+def test_only_touched_partitions_are_rewritten(spark, tmp_path):
+    path = tmp_path / "counts"
+    schema = "term string, occurrences long, records long"
+    term_counts.merge_counts(spark, str(path), spark.createDataFrame([(f"t{i}", 2, 1) for i in range(50)], schema))
+    before = {p: p.stat().st_mtime_ns for p in path.rglob("*.parquet")}
+    term_counts.merge_counts(spark, str(path), spark.createDataFrame([("t3", -2, -1)], schema))
+    after = {p: p.stat().st_mtime_ns for p in path.rglob("*.parquet")}
+    assert len(before.items() - after.items()) == 1
+    assert {x["term"] for x in term_counts.read_counts(spark, str(path)).collect()} == {f"t{i}" for i in range(50)} - {"t3"}
+
+
+def test_counts_of_nothing(spark, tmp_path):
     empty = spark.createDataFrame([], "id long, tags array<string>")
-    assert term_counts.merge_counts(None, term_counts.signed_changes(None, empty, "id", "tags")).count() == 0
+    for _ in range(2):
+        term_counts.merge_counts(spark, str(tmp_path / "c"), term_counts.signed_changes(None, empty, "id", "tags"))
+    assert term_counts.read_counts(spark, str(tmp_path / "c")).count() == 0
 
 
 @pytest.mark.parametrize(("a", "b", "k", "want"), [("kitten", "sitting", 3, 3), ("abcd", "abdc", 2, 1), ("abc", "abc", 1, 0), ("abc", "xyz", 2, 3), ("", "ab", 3, 2), ("a", "abcdef", 2, 3)])
