@@ -2,19 +2,22 @@
 
 Vertices are hashed into blocks; an edge lies in the grid cell (block of its one end, block of
 its other). Each cell joins its own edges with a local union-find and names, for each of its
-vertices, the smallest vertex of its local group. A vertex then takes the smallest name that its
-row and column of cells give it, and whatever else they gave it becomes an edge of the next,
-smaller round. When no such edge is left, the parents are followed back to the first round.
-
-A vertex with very many edges spreads over all cells of its row, so no task holds all of them,
-and nothing but counts of edges comes to the driver.
+vertices, a representative of its local group. A vertex then takes one of the representatives that its
+row and column of cells give it as its parent, and whatever else they gave it becomes an edge to that parent in the
+next, smaller round. When no such edge is left, the parents are followed back to the first round, and each group is
+named by its smallest vertex.
+
+Representatives are chosen by a hash that changes with the round: by name order, a chain in that order would lose
+one edge a round; so every round leaves about two thirds of a chain at most. A vertex with very many edges spreads
+over all cells of its row, so no task holds all of them, and nothing but counts of edges comes to the driver.
 """
 
 from __future__ import annotations
 
-from collections.abc import Iterator
+from collections.abc import Callable, Iterator
 
 import pandas as pd
+import xxhash
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
@@ -25,34 +28,41 @@ CELL_EDGES = 200_000
 LEAST_BLOCKS = 3
 
 
-def _join_cell(frames: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+def _join_cells(seed: int) -> Callable[[Iterator[pd.DataFrame]], Iterator[pd.DataFrame]]:
     """Union-find over the cells of one partition; cells are kept apart by their number."""
-    cells: dict[int, dict] = {}
-    for frame in frames:
-        for cell, a, b in zip(frame["cell"].tolist(), zip(frame["scope"].tolist(), frame["a"].tolist()), zip(frame["scope"].tolist(), frame["b"].tolist())):
-            parent = cells.setdefault(cell, {})
-            roots = []
-            for x in (a, b):
+
+    def run(frames: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        cells: dict[int, dict] = {}
+        order: dict[str, int] = {}
+        for frame in frames:
+            for cell, scope, *ends in zip(frame["cell"].tolist(), frame["scope"].tolist(), frame["a"].tolist(), frame["b"].tolist()):
+                parent = cells.setdefault(cell, {})
+                roots = []
+                for name in ends:
+                    if name not in order:
+                        order[name] = xxhash.xxh3_64_intdigest(name, seed)
+                    x = root = (scope, name)
+                    while (up := parent.setdefault(root, root)) != root:
+                        root = up
+                    while parent[x] != root:
+                        parent[x], x = root, parent[x]
+                    roots.append((order[root[1]], root))
+                low, high = sorted(roots)
+                parent[high[1]] = low[1]
+        for parent in cells.values():
+            rows = []
+            for x in parent:
                 root = x
-                while (up := parent.setdefault(root, root)) != root:
-                    root = up
-                while parent[x] != root:
-                    parent[x], x = root, parent[x]
-                roots.append(root)
-            low, high = (roots[0], roots[1]) if roots[0] <= roots[1] else (roots[1], roots[0])
-            parent[high] = low
-    for parent in cells.values():
-        rows = []
-        for x in parent:
-            root = x
-            while parent[root] != root:
-                root = parent[root]
-            rows.append((x[0], x[1], root[1]))
-            if len(rows) == 50_000:
+                while parent[root] != root:
+                    root = parent[root]
+                rows.append((*x, root[1]))
+                if len(rows) == 50_000:
+                    yield pd.DataFrame(rows, columns=["scope", "v", "rep"])
+                    rows = []
+            if rows:
                 yield pd.DataFrame(rows, columns=["scope", "v", "rep"])
-                rows = []
-        if rows:
-            yield pd.DataFrame(rows, columns=["scope", "v", "rep"])
+
+    return run
 
 
 def _cells(edges: DataFrame, blocks: int) -> DataFrame:
@@ -77,10 +87,10 @@ def components(pairs: DataFrame, scope: str, a: str, b: str, cell_edges: int = C
     n = edges.count()
     while n or not rounds:
         blocks = max(LEAST_BLOCKS, int((n / cell_edges) ** 0.5) + 1)
-        local = _cells(edges, blocks).repartition(blocks * blocks, "cell").mapInPandas(_join_cell, f"scope {kind}, v string, rep string")
+        local = _cells(edges, blocks).repartition(blocks * blocks, "cell").mapInPandas(_join_cells(len(rounds)), f"scope {kind}, v string, rep string")
         # A vertex has at most one representative from each cell of its row and its column.
-        parent = F.min("rep").over(Window.partitionBy("scope", "v"))
-        named = stage(local.distinct().withColumn("parent", parent), "representatives")
+        first = F.min(F.struct(F.xxhash64(F.lit(len(rounds)), "rep"), "rep")).over(Window.partitionBy("scope", "v"))
+        named = stage(local.distinct().withColumn("parent", first["rep"]), "representatives")
         rounds.append(named.where("rep = parent").select("scope", "v", "parent"))
         edges = named.where("rep != parent").select("scope", F.col("parent").alias("a"), F.col("rep").alias("b")).distinct()
         edges = stage(edges, "edges")
@@ -91,7 +101,8 @@ def components(pairs: DataFrame, scope: str, a: str, b: str, cell_edges: int = C
         up = found.select("scope", F.col("v").alias("parent"), F.col("parent").alias("top"))
         found = rounds.pop().join(up, ["scope", "parent"], "left").select("scope", "v", F.coalesce("top", "parent").alias("parent"))
         found = stage(found, "parents")
-    return found.select(F.col("scope").alias(scope), F.col("v").alias("name"), F.col("parent").alias("group_name"))
+    names = found.groupBy("scope", "parent").agg(F.min("v").alias("group_name"))
+    return found.join(names, ["scope", "parent"]).select(F.col("scope").alias(scope), F.col("v").alias("name"), "group_name")
 
 
 def matched_names(matches: DataFrame, bound: float = 0.87) -> DataFrame:
