@@ -2,13 +2,9 @@
 
 from __future__ import annotations
 
-import re
-
 from pyspark.sql import Column
 from pyspark.sql import functions as F
 
-WORD = re.compile(r"[^\W_]+")
-
 
 def words(c: Column) -> Column:
     """The words as an array; none for a null or an empty text."""
