@@ -1,10 +1,11 @@
 """Mixing sources to target shares by Sainte-Laguë apportionment of equal-token blocks.
 
-Texts are counted in tokens and packed, in a seeded order within each shard of their source, into
+Texts are counted in tokens and laid in a seeded order over all of their source, which is cut into
 blocks of equal size. Blocks are handed to the sources by the highest quotients share / (2k + 1);
-a source that has given all its blocks as often as it may gets no more, and the rest goes on to the
-others. Each source's quota is handed to its shards the same way, and each shard takes its blocks
-in the seeded order, whole rounds first.
+a source that has given all its tokens as often as it may gets no more, and the rest goes on to the
+others, until the blocks hold the wished size. Each source gives the tokens of its blocks in the seeded
+order, whole rounds first. The order is that of shards and of keys in them, so that no task sorts a source:
+a text's place is its place in the shard behind the tokens of the shards before.
 """
 
 from __future__ import annotations
@@ -52,13 +53,23 @@ def count_tokens(docs: DataFrame, doc_id: str, text: str, source: str, tokenizer
     return narrow.mapInArrow(run, f"doc_id {kind}, source string, n_tokens long").dropDuplicates(["doc_id"])
 
 
-def _seats(claims: DataFrame, within: list[str], weight: str, cap: str, seats: str) -> DataFrame:
-    """Each claim's number of seats by highest quotients, at most its ``cap``; ties by ``name``."""
+def _seats(claims: DataFrame, within: list[str], weight: str, cap: str, seats: str, held: str | None = None, block: int = 1, wish: int = 0) -> DataFrame:
+    """Each claim's number of seats by highest quotients, at most its ``cap``; ties by ``name``.
+
+    With ``held``, the tokens a claim can give, seats are handed out until they hold ``wish`` tokens: a seat holds
+    ``block`` of them, and a claim's last one what is left.
+    """
     quotients = claims.where((F.col(weight) > 0) & (F.least(cap, seats) > 0)).select(
-        *within, "name", seats, weight, F.explode(F.sequence(F.lit(0).cast("long"), F.least(cap, seats) - 1)).alias("k")
+        *within, "name", seats, weight, *([held] if held else []), F.explode(F.sequence(F.lit(0).cast("long"), F.least(cap, seats) - 1)).alias("k")
     )
     order = Window.partitionBy(*within).orderBy((F.col(weight).cast("double") / (2 * F.col("k") + 1)).desc(), "name", "k")
-    return quotients.withColumn("_r", F.row_number().over(order)).where(F.col("_r") <= F.col(seats)).groupBy(*within, "name").agg(F.count("*").alias("quota"))
+    if held:
+        tokens = F.least(F.lit(block).cast("long"), F.col(held) - F.col("k") * F.lit(block))
+        before = F.sum(tokens).over(order.rowsBetween(Window.unboundedPreceding, -1))
+        taken = quotients.withColumn("_before", F.coalesce(before, F.lit(0))).where(F.col("_before") < F.lit(wish))
+    else:
+        taken = quotients.withColumn("_r", F.row_number().over(order)).where(F.col("_r") <= F.col(seats))
+    return taken.groupBy(*within, "name").agg(F.count("*").alias("quota"))
 
 
 def mixture(counted: DataFrame, targets: DataFrame, total_tokens: int | None = None, blocks: int = BLOCKS, seed: int = 0) -> DataFrame:
@@ -80,19 +91,22 @@ def mixture(counted: DataFrame, targets: DataFrame, total_tokens: int | None = N
     block = max(1, -(-wish // blocks), 2 * -(-(size[0] or 0) // max(1, size[1])))
     seats = -(-wish // block)
     shards = max(1, size[1] // SHARD_TEXTS)
-    # Blocks: the seeded order within a shard of a source, cut every ``block`` tokens.
+    # Places: the seeded order within a shard of a source, behind all tokens of its shards before.
     key = F.xxhash64(F.lit(seed), "doc_id")
     texts = texts.withColumn("_key", key).withColumn("shard", F.pmod(F.xxhash64("_key"), F.lit(shards)))
     before = F.sum("n_tokens").over(Window.partitionBy("source", "shard").orderBy("_key", "doc_id").rowsBetween(Window.unboundedPreceding, -1))
-    laid = stage(texts.withColumn("block", F.floor(F.coalesce(before, F.lit(0)) / F.lit(block))), "laid")
-    rank = F.dense_rank().over(Window.partitionBy("source", "shard").orderBy("block"))
-    stock = laid.groupBy("source", "shard", "share", "repeats").agg(F.count_distinct("block").alias("have")).withColumn("cap", F.col("have") * F.col("repeats"))
-    claims = stock.groupBy("source", "share").agg(F.sum("cap").alias("cap")).select(F.lit(0).alias("_all"), F.col("source").alias("name"), F.col("share").alias("weight"), "cap", F.lit(seats).cast("long").alias("seats"))
-    quotas = _seats(claims, ["_all"], "weight", "cap", "seats").select(F.col("name").alias("source"), F.col("quota").alias("seats"))
-    parts = stock.join(quotas, "source").select("source", F.col("shard").alias("name"), F.col("have").alias("weight"), "cap", "seats")
-    shares = _seats(parts, ["source"], "weight", "cap", "seats").select("source", F.col("name").alias("shard"), "quota")
-    picked = laid.withColumn("_r", rank).join(shares, ["source", "shard"]).join(stock.select("source", "shard", "have"), ["source", "shard"])
-    copies = F.floor(F.col("quota") / F.col("have")) + F.when(F.col("_r") <= F.col("quota") % F.col("have"), 1).otherwise(0)
+    laid = stage(texts.withColumn("place", F.coalesce(before, F.lit(0))), "laid")
+    parts = laid.groupBy("source", "shard", "share", "repeats").agg(F.sum("n_tokens").alias("held"))
+    ahead = F.sum("held").over(Window.partitionBy("source").orderBy("shard").rowsBetween(Window.unboundedPreceding, -1))
+    parts = parts.withColumn("ahead", F.coalesce(ahead, F.lit(0)))  # one row per shard
+    stock = parts.groupBy("source", "share", "repeats").agg(F.sum("held").alias("have")).withColumn("most", F.col("have") * F.col("repeats"))
+    cap = F.ceil(F.col("most").cast("decimal(38,0)") / F.lit(block)).cast("long")
+    claims = stock.select(F.lit(0).alias("_all"), F.col("source").alias("name"), F.col("share").alias("weight"), cap.alias("cap"), F.lit(seats).cast("long").alias("seats"), "most")
+    quotas = _seats(claims, ["_all"], "weight", "cap", "seats", "most", block, wish).select(F.col("name").alias("source"), "quota")
+    takes = stock.join(quotas, "source").select("source", "have", F.least(F.col("quota") * F.lit(block), "most").alias("take"))
+    takes = takes.select("source", F.expr("take div have").alias("rounds"), (F.col("take") % F.col("have")).alias("rest"))
+    picked = laid.join(parts.select("source", "shard", "ahead").join(takes, "source"), ["source", "shard"])
+    copies = F.col("rounds") + F.when(F.col("ahead") + F.col("place") < F.col("rest"), 1).otherwise(0)
     return picked.withColumn("copies", copies.cast("long")).where("copies > 0").select("doc_id", "source", "n_tokens", "copies")
 
 

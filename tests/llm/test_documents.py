@@ -119,6 +119,22 @@ def test_mixture(spark):
     assert 0 < mixing.reachable_total(counted, targets) <= sum(x[2] for x in rows) * 3
 
 
+def test_mixture_is_whole_over_many_shards(spark, monkeypatch):
+    monkeypatch.setattr(mixing, "SHARD_TEXTS", 60)
+    r = random.Random(3)
+    rows = [(i, "small" if i % 20 == 0 else "big", r.randint(50, 150)) for i in range(3000)]
+    have = {s: sum(x[2] for x in rows if x[1] == s) for s in ("big", "small")}
+    counted = spark.createDataFrame(rows, COUNTED)
+    targets = spark.createDataFrame([("big", 0.6, 2), ("small", 0.4, 3)], TARGET)
+    for total, want in ((None, {"small": 3 * have["small"]}), (3 * 2 * have["small"], {"small": 0.4 * 6 * have["small"]})):
+        got = mixing.mixture(counted, targets, total, blocks=200).collect()
+        assert len({x["doc_id"] for x in got}) == len(got) and all(x["copies"] <= {"big": 2, "small": 3}[x["source"]] for x in got)
+        tokens = {s: sum(x["n_tokens"] * x["copies"] for x in got if x["source"] == s) for s in have}
+        wish = total or sum(have.values())
+        assert abs(sum(tokens.values()) / wish - 1) < 0.01
+        assert abs(tokens["small"] / want["small"] - 1) < 0.02
+
+
 def test_tokens(spark):
     rows = [(1, "Hello  World", " Web\tA", 1), (1, "Hello  World", " Web\tA", 1), (2, None, None, 1), (3, "", "b", 1), (None, "x", "b", 1), (4, "a" * 200_000, "b", 1)]
     got = {x["doc_id"]: (x["source"], x["n_tokens"]) for x in mixing.count_tokens(spark.createDataFrame(rows, "doc_id long, text string, source string, n_tokens int"), "doc_id", "text", "source").collect()}
