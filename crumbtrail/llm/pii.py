@@ -7,7 +7,7 @@ length, so that boundaries and types are chosen together. The weights are fitted
 likelihood, with the forward and backward sums over the same segments, on sentences made from the
 templates below (``TRAINING`` of them, no text of the collection).
 
-Only stretches around something that can begin a segment are decoded; these cover the whole text.
+Only stretches around something that can begin a segment are decoded; whatever a form proposes in the whole text lies in one of them.
 """
 
 from __future__ import annotations
@@ -69,7 +69,7 @@ FORMS = [
         ("id_number", "plain", r"\d{8,10}(?![\d-])"),
         ("id_number", "letters", r"[a-z]{1,3}\d{6,9}(?![\w-])"),
         ("id_number", "groups", r"[a-z]?\d{3}-\d{4}-\d{4}(?![\w-])"),
-        ("id_number", "mixed", r"(?=[a-z-]*\d)[a-z0-9]+(?:-[a-z0-9]+)*(?=\W|\Z)(?<=\d)"),
+        ("id_number", "mixed", r"(?=[a-z-]*\d)[a-z0-9]+(?:-[a-z0-9]+)*(?=\W|\Z)"),
         ("street_address", "road", _ROAD),
         ("street_address", "unit first", rf"{_UNIT},?\s+{_ROAD}"),
         ("street_address", "unit last", rf"{_ROAD}\.?,?\s+{_UNIT}"),
@@ -78,9 +78,13 @@ FORMS = [
 _TOKEN = re.compile(r"\w+|[^\w\s]")
 _NAME_TOKEN = re.compile(r"(?<!\w)[^\W\d_]+(?:-[^\W\d_]+)*(?!\w)")
 _NUMBER = re.compile(r"\d[\d\-. ()/]*")
-_ROAD_AFTER = re.compile(rf"[a-z]?\s+(?:[^\W\d_][\w'’.-]*\s+){{1,3}}(?:{_STREET})\b", re.IGNORECASE)
-_WRITTEN = re.compile(r"[\[(]\s*at\s*[\])]|[\[(]\s*dot\s*[\])]|\sdot\s", re.IGNORECASE)
-_INITIAL = re.compile(r"[A-Z]\. [A-Z]")
+# What begins a segment of some form, at least: "+12345" is the shortest number, others are road numbers or mixed.
+_LEAST_NUMBER, _LEAST_MIXED = 5, 7
+_ROAD_AFTER = re.compile(rf"[a-z]?\s+(?:[^\W\d_][\w'’.-]*\s+){{1,3}}(?:{_STREET})\b(?:\.?,?\s+{_UNIT})?", re.IGNORECASE)
+_MIXED = re.compile(r"\d[a-z0-9-]*", re.IGNORECASE)
+_AT_WORD = re.compile(r"@|at(?!\w)", re.IGNORECASE)
+_PLACE_AFTER = re.compile(rf"\s*[\])]?\s*[\w-]+(?:{_DOT}[\w-]*\w)+", re.IGNORECASE)
+_INITIAL = re.compile(r"(?<!\w)[^\W\d_]\. (?=[^\W\d_])")
 
 
 @lru_cache
@@ -338,19 +342,23 @@ def _names():
 
 def stretches(text: str) -> list[tuple[int, int]]:
     """The parts of a text that are decoded: around each thing that can begin a segment, merged."""
-    low = text.lower()
-    # Lower case can change lengths in a few scripts; then the places are looked up in the text as it is.
-    hay = low if len(low) == len(text) else text
+    hay = text.lower()
+    if len(hay) != len(text):
+        # Lower case changes the length of a few letters; these stay, so that places are the same.
+        hay = "".join(c.lower() if len(c.lower()) == 1 else c for c in text)
     spots = []
     for m in _NUMBER.finditer(text):
         first, end = m.span()
-        if end - first >= 7 or _ROAD_AFTER.match(text, end - (text[end - 1] == " ")):
+        if road := _ROAD_AFTER.match(text, end - (text[end - 1] == " ")):
+            # A unit may stand before it.
+            spots.append((len(text[:first].rstrip()), road.end()))
+        elif end - first >= _LEAST_NUMBER:
             spots.append((first, end))
-    if "@" in text:
-        spots += [(k, k + 1) for k, c in enumerate(text) if c == "@"]
-    if "dot" in low or "at)" in low or "at]" in low:
-        spots += [m.span() for m in _WRITTEN.finditer(text)]
-    spots += [m.span() for m in _INITIAL.finditer(text) if m.start() == 0 or not text[m.start() - 1].isalnum()]
+    spots += [m.span() for m in _MIXED.finditer(text) if m.end() - m.start() >= _LEAST_MIXED and sum(c.isdigit() for c in m.group()) >= _LEAST_MIXED]
+    for m in _AT_WORD.finditer(text):
+        if place := _PLACE_AFTER.match(text, m.end()):
+            spots.append((len(text[: m.start()].rstrip(" \t\n[(")), place.end()))
+    spots += [m.span() for m in _INITIAL.finditer(text)]
     for last, n in _names().iter(hay):
         s, e = last - n + 1, last + 1
         if (s == 0 or not hay[s - 1].isalpha()) and (e == len(hay) or not hay[e].isalpha()):
@@ -358,31 +366,26 @@ def stretches(text: str) -> list[tuple[int, int]]:
     merged: list[list[int]] = []
     for s, e in sorted(spots):
         s, e = max(0, s - AROUND), min(len(text), e + AROUND)
-        if merged and s <= merged[-1][1]:
-            merged[-1][1] = max(merged[-1][1], e)
-        else:
-            merged.append([s, e])
-    out = []
-    for s, e in merged:
         while s > 0 and not text[s - 1].isspace():
             s -= 1
         while e < len(text) and not text[e].isspace():
             e += 1
-        out.append((s, e))
-    return out
+        if merged and s <= merged[-1][1]:
+            merged[-1][1] = max(merged[-1][1], e)
+        else:
+            merged.append([s, e])
+    return [(s, e) for s, e in merged]
 
 
 def find(text: str, weights: dict[str, float], common: frozenset[str]) -> list[tuple[int, int, str]]:
     """(start, end, type) of the personal information in a text, in order."""
-    found, done = [], 0
+    found = []
     for s, e in stretches(text):
-        s = max(s, done)
         part = text[s:e]
         spans = proposals(part, common)
         if spans:
             scores = [sum(weights.get(f, 0.0) for f in fs) for fs in features(part, spans)]
             found += [(s + spans[n][0], s + spans[n][1], spans[n][2]) for n in decode(spans, scores)]
-        done = e
     return found
 
 

@@ -65,3 +65,28 @@ def test_tables(spark):
     masked = {r["id"]: r["masked"] for r in pii.mask_pii(df, "id", "text").collect()}
     assert masked[1] == "Call [PHONE] or [PHONE] now" and masked[2] is None and masked[3] == "" and masked[4] == long + "my cell is [PHONE]."
     assert pii.find_pii(spark.createDataFrame([], SCHEMA), "id", "text").count() == 0
+
+
+PIECES = ["P123456", "P123456,", "K12L345M67", "AB-1234-C567", "12345678A", "kbrat at velford.test", "kbrat ( at ) velford.test", "KBRAT @ velford dot test", "+12345", "+1 23 45", "555-0143", "22B old mill road", "Unit 6, 22 Mill Road", "9 Mill\nRace Street., Apt 4"]
+PIECES += ["j. Smith", "J. smith Brown", "É. Martin", "Tobias Brandt", "Brandt, Tobias", "İstanbul Oskar", "912-34-5678", "at noon.", "2 tacos", "look at it. Good"]
+
+
+def test_all_that_is_proposed_is_decoded():
+    import random
+
+    common = pii.common_words(pii.VOCABULARY)
+    filler = "we liked the soup and came again with all our friends but never had the bread "
+    r = random.Random(5)
+    texts = [left + x + right for x in PIECES for left in ("", filler * 3) for right in ("", " " + filler * 3)]
+    texts += ["".join(r.choice(PIECES) + " " + filler[: r.randint(0, 60)] * r.choice([0, 1, 4]) + " " for _ in range(6)) for _ in range(300)]
+    for text in texts:
+        parts = pii.stretches(text)
+        assert all(a[1] < b[0] for a, b in zip(parts, parts[1:]))
+        got = {(s + a, s + b, k, form) for s, e in parts for a, b, k, form in pii.proposals(text[s:e], common)}
+        assert set(pii.proposals(text, common)) <= got, text
+
+
+@pytest.mark.parametrize("case", ["P123456", "K12L345M67", "AB-1234-C567", "kbrat at velford.test"])
+def test_cases_that_stand_alone_reach_the_field(case):
+    text = "the soup was warm and the bread was good " * 4 + "it was " + case
+    assert any(s <= text.index(case) and e >= len(text) for s, e in pii.stretches(text))
