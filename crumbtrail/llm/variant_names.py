@@ -7,14 +7,14 @@ cut into k + 1 segments, so that k edits leave one of them whole; the substrings
 at all places that the edits can have shifted them to, are looked up among the segments, and banded edit
 distance verifies what is met. Abbreviated words differ too much for edits; they are looked up with the rare
 words left open. In both, words are compared in pairs, and two words that are both common are different
-words, however alike. Initials and names without their inner words count only where a single item fits.
+words, however alike, unless one is much more common; rare words may be spellings whatever their frequencies. Initials and names without their inner words count only where a single item fits.
 """
 
 from __future__ import annotations
 
 import re
 import unicodedata
-from collections.abc import Iterator
+from collections.abc import Callable, Iterator
 from itertools import combinations
 
 import pyarrow as pa
@@ -108,26 +108,29 @@ def shortens(short: str, word: str) -> bool:
     return short[0] == word[0] and all(c in letters for c in short)
 
 
-def word_cost(x: str, fx: int, y: str, fy: int) -> float | None:
-    """How far apart two words are, or None if they are different words. fx, fy: their frequencies."""
+def word_cost(x: str, fx: int, y: str, fy: int, floor: int = 0) -> float | None:
+    """How far apart two words are, or None if they are different words. fx, fy: their frequencies.
+
+    Frequencies tell words apart only where both reach ``floor``. Of two words below it, only edits make one the other.
+    """
     if x == y:
         return 0
     (rare, fr), (common, fc) = ((x, fx), (y, fy)) if fx <= fy else ((y, fy), (x, fx))
-    if fr * RATIO > fc:
+    if fr * RATIO > fc and fr >= floor:
         return None
     d = distance(rare, common, 2)
     if d <= (1 if len(common) < 5 else 2):
         return d
-    return 1.5 if shortens(rare, common) else None
+    return 1.5 if fr * RATIO <= fc and shortens(rare, common) else None
 
 
-def name_cost(a: list[str], fa: list[int], b: list[str], fb: list[int]) -> float | None:
+def name_cost(a: list[str], fa: list[int], b: list[str], fb: list[int], floor: int = 0) -> float | None:
     """The least cost of pairing all words of two names in order, where two may stand for one."""
     if len(a) == len(b):
         total = 0.0
         for x, fx, y, fy in zip(a, fa, b, fb):
             if x != y:
-                if (c := word_cost(x, fx, y, fy)) is None:
+                if (c := word_cost(x, fx, y, fy, floor)) is None:
                     break
                 total += c
         else:
@@ -149,7 +152,7 @@ def name_cost(a: list[str], fa: list[int], b: list[str], fb: list[int]) -> float
                 continue
             ways = []
             if i < len(a) and j < len(b):
-                ways.append((word_cost(a[i], fa[i], b[j], fb[j]), (i + 1, j + 1)))
+                ways.append((word_cost(a[i], fa[i], b[j], fb[j], floor), (i + 1, j + 1)))
                 if i + 1 < len(a):
                     ways.append((joined(a[i : i + 2], b[j]), (i + 2, j + 1)))
                 if j + 1 < len(b):
@@ -212,23 +215,27 @@ def _probe_rows(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         yield pa.RecordBatch.from_arrays([pa.array(keys, pa.int64()), pa.array(ids, pa.int64())], names=["key", "probe"])
 
 
-def _verify(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    for batch in batches:
-        probe, item, cost = [], [], []
-        for p, wa, fa, i, wb, fb in zip(*(c.to_pylist() for c in batch.columns)):
-            c = name_cost(wa, fa, wb, fb)
-            if c is not None:
-                probe.append(p)
-                item.append(i)
-                cost.append(float(c))
-        yield pa.RecordBatch.from_arrays([pa.array(probe, pa.int64()), pa.array(item, pa.int64()), pa.array(cost, pa.float64())], names=["probe", "item", "cost"])
+def _verify(floor: int) -> Callable:
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            probe, item, cost = [], [], []
+            for p, wa, fa, i, wb, fb in zip(*(c.to_pylist() for c in batch.columns)):
+                c = name_cost(wa, fa, wb, fb, floor)
+                if c is not None:
+                    probe.append(p)
+                    item.append(i)
+                    cost.append(float(c))
+            yield pa.RecordBatch.from_arrays([pa.array(probe, pa.int64()), pa.array(item, pa.int64()), pa.array(cost, pa.float64())], names=["probe", "item", "cost"])
+
+    return run
 
 
-def near_items(items: DataFrame) -> DataFrame:
+def near_items(items: DataFrame, floor: int = 0) -> DataFrame:
     """probe, item, cost: the items of the same scope that an item with rare words may be a spelling of.
 
     ``items`` has scope, item, words, freqs, rare (places of the rare words) and common (the other words). Found are all
-    pairs within the edits that their letters allow, and all whose words pair up with at most two rare ones.
+    pairs within the edits that their letters allow, and all whose words pair up with at most two rare ones. Pairs of
+    words that both occur ``floor`` times or more are spellings of one only if one is RATIO times as common.
     """
     index = items.select("scope", "item", "words").mapInArrow(_index_rows, "key long, item long")
     probes = items.where(F.size("rare") > 0).select("scope", "item", "words", "rare").mapInArrow(_probe_rows, "key long, probe long")
@@ -238,14 +245,15 @@ def near_items(items: DataFrame) -> DataFrame:
     # A common word only stands for a rare one of the item, or is a piece of a cut word; so most must be met.
     lacks, more = F.size(F.array_except("ca", "wb")), F.size(F.array_except("wb", "wa"))
     alike = (lacks <= F.greatest(F.lit(1), "rb")) & (more <= F.size("wa") - F.size("ca") + lacks + 1)
-    return met.join(a, "probe").join(b, "item").where(alike).select("probe", "wa", "fa", "item", "wb", "fb").mapInArrow(_verify, "probe long, item long, cost double")
+    return met.join(a, "probe").join(b, "item").where(alike).select("probe", "wa", "fa", "item", "wb", "fb").mapInArrow(_verify(floor), "probe long, item long, cost double")
 
 
 def name_groups(df: DataFrame, scope: str, name: str) -> DataFrame:
     """scope, name (normalised), item: each distinct name with the canonical form of what it means.
 
     Null scopes and null and blank names are left out; repeated rows count as mentions but give
-    one row. A name that means nothing else is its own item; names without letters or digits are only equal to
+    one row. A rare spelling means the nearest item, by mentions where both have rare words; where two items are equally
+    near it is left as it is. A name that means nothing else is its own item; names without letters or digits are only equal to
     themselves. No rows, no groups. Other columns are not read.
     """
     kind = df.schema[scope].dataType.simpleString()
@@ -268,7 +276,7 @@ def name_groups(df: DataFrame, scope: str, name: str) -> DataFrame:
     items = items.withColumn("common", F.array_compact(F.zip_with("words", "freqs", lambda w, f: F.when(f >= floor, w))))
     items = stage(items, "items")
 
-    near = near_items(items)
+    near = near_items(items, floor)
     # A rare spelling means the nearest item; of items with rare words themselves, only a more common one.
     side = items.select("item", F.size("rare").alias("n_rare"), "mentions")
     own = items.select(F.col("item").alias("probe"), F.size("rare").alias("own_rare"), F.col("mentions").alias("own"))

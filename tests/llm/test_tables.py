@@ -213,3 +213,11 @@ def levenshtein(a, b):
 def test_no_names(spark):
     assert variant_names.name_groups(spark.createDataFrame([], NAMES), "business_id", "dish_name").count() == 0
     assert re.fullmatch(r"[a-z]+", "".join(variant_names.canonical("x" * 5000)[0]))
+
+
+def test_rare_words_are_spellings_whatever_their_frequencies(spark):
+    rows = [(1, "zarzuela"), (1, "zarzuela"), (1, "zarzuela with rice"), (1, "zarzeula"), (2, "old cachupa"), (2, "old cachupa"), (2, "old cachuppa"), (3, "zarzeula")]
+    df = spark.createDataFrame(rows, "business_id long, dish_name string")
+    pairs = {tuple(x) for x in variant_names.name_pairs(variant_names.name_groups(df, "business_id", "dish_name"), "business_id").collect()}
+    assert pairs == {(1, "zarzeula", "zarzuela"), (2, "old cachupa", "old cachuppa")}
+    assert variant_names.word_cost("grilled", 30, "drilled", 40, 20) is None and variant_names.word_cost("zarzuela", 2, "zarzeula", 1, 3) == 1
