@@ -3,7 +3,6 @@
 from __future__ import annotations
 
 from pyspark.sql import DataFrame, SparkSession
-from pyspark.sql import functions as F
 
 from crumbtrail.llm.leakage import build_index, passage_terms, phrase_matches, proximity_matches
 from crumbtrail.llm.mixing import count_tokens, mixture, reachable_total, reached_shares
@@ -12,6 +11,8 @@ from crumbtrail.session import stage
 from crumbtrail.sources.tables import table
 
 RUN_WORDS = 12
+#: Words of a passage that must be close together, and within how many.
+NEAR_TERMS, NEAR_SPAN = 3, 30
 
 
 def _index(spark: SparkSession, folder: str) -> tuple[DataFrame, DataFrame]:
@@ -20,7 +21,7 @@ def _index(spark: SparkSession, folder: str) -> tuple[DataFrame, DataFrame]:
 
 
 def p8_runs(spark: SparkSession, folder: str) -> DataFrame:
-    return phrase_matches(*_index(spark, folder), RUN_WORDS).withColumns({c: F.col(c).cast("long") for c in ("ppos", "pos")})
+    return phrase_matches(*_index(spark, folder), RUN_WORDS)
 
 
 def p8_found(spark: SparkSession, folder: str) -> DataFrame:
@@ -28,7 +29,7 @@ def p8_found(spark: SparkSession, folder: str) -> DataFrame:
 
 
 def p8_proximity(spark: SparkSession, folder: str) -> DataFrame:
-    return proximity_matches(*_index(spark, folder), 3, 30)
+    return proximity_matches(*_index(spark, folder), NEAR_TERMS, NEAR_SPAN)
 
 
 def _mix(spark: SparkSession, folder: str) -> tuple[DataFrame, DataFrame, DataFrame]:
@@ -70,4 +71,20 @@ SQL = {
         dg AS (SELECT DISTINCT doc_id, list_slice(w, i, i + {RUN_WORDS - 1}) AS g FROM (SELECT doc_id, w, unnest(range(1, len(w) - {RUN_WORDS - 2})) AS i FROM d)),
         eg AS (SELECT DISTINCT item_id, list_slice(w, i, i + {RUN_WORDS - 1}) AS g FROM (SELECT item_id, w, unnest(range(1, len(w) - {RUN_WORDS - 2})) AS i FROM e))
         SELECT DISTINCT doc_id, item_id FROM dg JOIN eg USING (g)""",
+    "p8_runs": f"""
+        WITH d AS (SELECT doc_id, {_WORDS.format("text")} AS w FROM documents),
+        e AS (SELECT item_id, {_WORDS.format("passage")} AS w FROM eval_passages),
+        dg AS (SELECT doc_id, i - 1 AS pos, list_slice(w, i, i + {RUN_WORDS - 1}) AS g FROM (SELECT doc_id, w, unnest(range(1, len(w) - {RUN_WORDS - 2})) AS i FROM d)),
+        eg AS (SELECT item_id, i - 1 AS ppos, list_slice(w, i, i + {RUN_WORDS - 1}) AS g FROM (SELECT item_id, w, unnest(range(1, len(w) - {RUN_WORDS - 2})) AS i FROM e)),
+        m AS (SELECT doc_id, item_id, pos, ppos, ppos - row_number() OVER (PARTITION BY doc_id, item_id, pos - ppos ORDER BY ppos) AS run FROM dg JOIN eg USING (g))
+        SELECT doc_id, item_id, min(ppos) AS ppos, min(pos) AS pos, count(*) + {RUN_WORDS - 1} AS n_words FROM m GROUP BY doc_id, item_id, pos - ppos, run""",
+    "p8_proximity": f"""
+        WITH d AS (SELECT doc_id, i AS pos, w[i] AS word FROM (SELECT doc_id, w, unnest(range(1, len(w) + 1)) AS i FROM (SELECT doc_id, {_WORDS.format("text")} AS w FROM documents))),
+        f AS (SELECT word, count(*) AS df FROM d GROUP BY word),
+        e AS (SELECT DISTINCT item_id, unnest({_WORDS.format("passage")}) AS word FROM eval_passages),
+        k AS (SELECT item_id, word, row_number() OVER (PARTITION BY item_id ORDER BY df, word) AS k FROM e JOIN f USING (word)),
+        c AS (SELECT * FROM k WHERE k <= {NEAR_TERMS} AND item_id IN (SELECT item_id FROM k WHERE k = {NEAR_TERMS})),
+        p AS (SELECT item_id, doc_id, pos, {", ".join(f"max(CASE WHEN k = {k} THEN pos END) OVER w AS p{k}" for k in range(1, NEAR_TERMS + 1))} FROM c JOIN d USING (word) WINDOW w AS (PARTITION BY item_id, doc_id ORDER BY pos)),
+        s AS (SELECT doc_id, item_id, pos - least({", ".join(f"p{k}" for k in range(1, NEAR_TERMS + 1))}) + 1 AS span FROM p WHERE {" AND ".join(f"p{k} IS NOT NULL" for k in range(1, NEAR_TERMS + 1))})
+        SELECT doc_id, item_id, min(span) AS least_span FROM s GROUP BY doc_id, item_id HAVING min(span) <= {NEAR_SPAN}""",
 }
