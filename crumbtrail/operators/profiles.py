@@ -8,6 +8,7 @@ from pyspark.sql import functions as F
 from crumbtrail.functions.text import normalize, strip
 from crumbtrail.functions.vectors import mean_pool
 from crumbtrail.operators.similarity import components, similar_pairs
+from crumbtrail.session import stage
 
 TOP_TAGS = 5
 
@@ -19,7 +20,11 @@ def keyed(mentions: DataFrame) -> DataFrame:
 
 def group_names(mentions: DataFrame) -> DataFrame:
     """business_id, key, counts and first mention of each normalised name; neutral mentions only count as such."""
-    return keyed(mentions).groupBy("business_id", "key").agg(
+    return _groups(keyed(mentions))
+
+
+def _groups(named: DataFrame) -> DataFrame:
+    return named.groupBy("business_id", "key").agg(
         F.count("*").alias("mention_count"), F.count_if(F.col("sentiment") == "positive").alias("positive_count"), F.count_if(F.col("sentiment") == "negative").alias("negative_count"), F.min("id").alias("first_id")
     )
 
@@ -44,8 +49,12 @@ def canonical_names(mentions: DataFrame, clusters: DataFrame | None = None) -> D
 
     Ties go to the spelling met first when the members are gone through in the order of their first mention.
     """
-    members = _clusters(group_names(mentions), clusters)
-    spelled = keyed(mentions).groupBy("business_id", "key", "surface").agg(F.count("*").alias("n"), F.min("id").alias("pos"))
+    named = keyed(mentions)
+    return _names(named, _clusters(_groups(named), clusters))
+
+
+def _names(named: DataFrame, members: DataFrame) -> DataFrame:
+    spelled = named.groupBy("business_id", "key", "surface").agg(F.count("*").alias("n"), F.min("id").alias("pos"))
     order = F.struct("first_id", "pos")
     total = spelled.join(members, ["business_id", "key"]).groupBy("business_id", "cluster", "surface").agg(F.sum("n").alias("n"), F.min(order).alias("at"))
     return total.groupBy("business_id", "cluster").agg(F.max_by("surface", F.struct("n", (-F.col("at.first_id")).alias("a"), (-F.col("at.pos")).alias("b"))).alias("name"))
@@ -53,8 +62,12 @@ def canonical_names(mentions: DataFrame, clusters: DataFrame | None = None) -> D
 
 def top_tags(mentions: DataFrame, clusters: DataFrame | None = None, k: int = TOP_TAGS) -> DataFrame:
     """business_id, cluster, tags: up to ``k`` by frequency, as written, repeats within a mention counted; ties as for names."""
-    members = _clusters(group_names(mentions), clusters)
-    long = keyed(mentions).select("business_id", "key", "id", F.posexplode("tags").alias("at", "tag"))
+    named = keyed(mentions)
+    return _tags(named, _clusters(_groups(named), clusters), k)
+
+
+def _tags(named: DataFrame, members: DataFrame, k: int) -> DataFrame:
+    long = named.select("business_id", "key", "id", F.posexplode("tags").alias("at", "tag"))
     seen = long.groupBy("business_id", "key", "tag").agg(F.count("*").alias("n"), F.min(F.struct("id", "at")).alias("pos"))
     total = seen.join(members, ["business_id", "key"]).groupBy("business_id", "cluster", "tag").agg(F.sum("n").alias("n"), F.min(F.struct("first_id", "pos")).alias("pos"))
     w = Window.partitionBy("business_id", "cluster").orderBy(F.col("n").desc(), "pos")
@@ -68,13 +81,18 @@ def build_profiles(mentions: DataFrame, vectors: DataFrame | None = None, thresh
     With ``vectors`` (business_id, key, embedding), names within a cosine of ``threshold`` are one item, directly or
     through others; its embedding is the mean over its distinct names. ``cluster_rank`` is the order of first mention.
     """
-    groups = group_names(mentions)
-    clusters = None if vectors is None else cluster_names(groups, vectors, threshold)
-    members = _clusters(groups, clusters)
+    # Mentions and the clusters of their names are made once; names, tags and vectors read them.
+    named = stage(keyed(mentions), "mentions")
+    groups = _groups(named)
+    if vectors is not None:
+        groups = stage(groups, "groups")
+    members = _clusters(groups, None if vectors is None else cluster_names(groups, vectors, threshold))
+    if vectors is not None:
+        members = stage(members, "members")
     counts = groups.drop("first_id").join(members, ["business_id", "key"]).groupBy("business_id", "cluster").agg(
         *[F.sum(c).alias(c) for c in ("mention_count", "positive_count", "negative_count")], F.min("cluster_first").alias("cluster_rank")
     )
-    out = counts.join(canonical_names(mentions, clusters), ["business_id", "cluster"]).join(top_tags(mentions, clusters), ["business_id", "cluster"], "left")
+    out = counts.join(_names(named, members), ["business_id", "cluster"]).join(_tags(named, members, TOP_TAGS), ["business_id", "cluster"], "left")
     if vectors is None:
         out = out.withColumn("embedding", F.lit(None).cast("array<double>"))
     else:

@@ -11,6 +11,9 @@ from pyspark.sql import functions as F
 
 from crumbtrail.session import stage
 
+#: Edges that a task turns into stars at a time.
+FOREST_EDGES = 500_000
+
 
 def _cell_pairs(threshold: float, scope_type: pa.DataType, key_type: pa.DataType) -> Callable[[Iterator[pa.RecordBatch]], Iterator[pa.RecordBatch]]:
     """Matrix products of the cells of a partition; its rows come sorted by cell, and one cell is held at a time."""
@@ -71,28 +74,73 @@ def similar_pairs(df: DataFrame, scope: str, key: str, vector: str, threshold: f
     return met.select(F.col("s").alias(scope), "a", "b", "similarity")
 
 
+def local_groups(a: np.ndarray, b: np.ndarray, n: int) -> np.ndarray:
+    """The smallest number that edges tie each of the numbers 0 to n - 1 to."""
+    root = np.arange(n)
+    while True:
+        low, high = np.minimum(root[a], root[b]), np.maximum(root[a], root[b])
+        if (low == high).all():
+            return root
+        np.minimum.at(root, high, low)
+        while (root[root] != root).any():
+            root = root[root]
+
+
+def _forest(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    """The edges of a partition as stars: each vertex and the smallest that these edges tie it to, some batches at a time."""
+    held: list[pa.RecordBatch] = []
+
+    def stars() -> pa.RecordBatch:
+        table = pa.Table.from_batches(held).combine_chunks()
+        ends = pa.table({"s": pa.concat_arrays([table["s"].combine_chunks()] * 2), "k": pa.concat_arrays([table["a"].combine_chunks(), table["b"].combine_chunks()])})
+        vertices = ends.group_by(["s", "k"]).aggregate([]).sort_by([("s", "ascending"), ("k", "ascending")])
+        numbered = vertices.append_column("n", pa.array(np.arange(len(vertices))))
+        at = ends.append_column("_at", pa.array(np.arange(len(ends)))).join(numbered, ["s", "k"]).sort_by("_at")["n"].to_numpy()
+        root = local_groups(at[: len(table)], at[len(table) :], len(vertices))
+        out = np.flatnonzero(root != np.arange(len(root)))
+        a, b = vertices.take(pa.array(root[out])), vertices.take(pa.array(out))
+        return pa.RecordBatch.from_arrays([a["s"].combine_chunks(), a["k"].combine_chunks(), b["k"].combine_chunks()], names=["s", "a", "b"])
+
+    rows = 0
+    for batch in batches:
+        held.append(batch)
+        rows += batch.num_rows
+        if rows >= FOREST_EDGES:
+            yield stars()
+            held, rows = [], 0
+    if rows:
+        yield stars()
+
+
 def components(vertices: DataFrame, edges: DataFrame, scope: str, key: str) -> DataFrame:
     """scope, key, component: the smallest key that edges (scope, a, b) tie a vertex to, itself if none.
 
-    Labels spread over the edges, and each round every label also takes the label of the vertex it
-    names, so that long chains halve; it ends when no label changes. Rounds are written to the shared folder.
+    Each task first turns its own edges into stars, so that what is left of a vertex with very many edges is one
+    edge for each task. Then, round by round, each vertex takes the smallest of its neighbours as its parent, parents take theirs,
+    and edges are drawn between the parents; those inside a group fall away, until none is left. Rounds are written to the
+    shared folder. Smallest is by the key's order, in strings by bytes.
     """
-    both = edges.select(scope, "a", "b").union(edges.select(scope, F.col("b"), F.col("a"))).distinct()
-    both = stage(both.toDF("s", "a", "b"), "edges")
-    labels = both.select("s", F.col("a").alias("k"), F.col("a").alias("c")).distinct()
-
-    def spread(labels: DataFrame) -> DataFrame:
-        near = both.join(labels.select("s", F.col("k").alias("b"), "c"), ["s", "b"]).groupBy("s", F.col("a").alias("k")).agg(F.min("c").alias("m"))
-        low = labels.join(near, ["s", "k"]).select("s", "k", F.least("c", "m").alias("m"))
-        jump = low.select("s", F.col("k").alias("m"), F.col("m").alias("far"))
-        return low.join(jump, ["s", "m"]).select("s", "k", F.least("m", "far").alias("c"))
-
-    changed = True
-    while changed:
-        # Two rounds to a stage.
-        new = spread(spread(labels)).join(labels.select("s", "k", F.col("c").alias("old")), ["s", "k"])
-        new = stage(new, "labels")
-        changed = not new.where("old != c").isEmpty()
-        labels = new.select("s", "k", "c")
-    named = labels.select(F.col("s").alias(scope), F.col("k").alias(key), "c")
+    kinds = [vertices.schema[c].dataType.simpleString() for c in (scope, key)]
+    given = edges.select(F.col(scope).alias("s"), F.col("a").alias("a"), F.col("b").alias("b")).where("s IS NOT NULL AND a IS NOT NULL AND b IS NOT NULL AND a != b")
+    left = stage(given.mapInArrow(_forest, f"s {kinds[0]}, a {kinds[1]}, b {kinds[1]}"), "edges")
+    rounds: list[DataFrame] = []
+    while not left.isEmpty():
+        ends = left.select("s", F.col("a").alias("k"), F.col("b").alias("o")).union(left.select("s", F.col("b"), F.col("a")))
+        near = ends.groupBy("s", "k").agg(F.least(F.min("o"), F.first("k")).alias("p"))
+        far = near.select("s", F.col("k").alias("p"), F.col("p").alias("q"))
+        parents = stage(near.join(far, ["s", "p"]).select("s", "k", F.col("q").alias("p")), "parents")
+        up = parents.select("s", F.col("k").alias("a"), F.col("p").alias("pa"))
+        across = parents.select("s", F.col("k").alias("b"), F.col("p").alias("pb"))
+        moved = left.join(up, ["s", "a"]).join(across, ["s", "b"]).where("pa != pb").select("s", F.least("pa", "pb").alias("a"), F.greatest("pa", "pb").alias("b")).distinct()
+        left = stage(moved, "edges")
+        rounds.append(parents)
+    if not rounds:
+        return vertices.select(scope, key).distinct().withColumn("component", F.col(key))
+    found = rounds.pop()
+    while rounds:
+        up = found.select("s", F.col("k").alias("p"), F.col("p").alias("top"))
+        found = rounds.pop().join(up, ["s", "p"], "left").select("s", "k", F.coalesce("top", "p").alias("p"))
+    # A parent need not be its group's smallest: the smallest of all members names the group.
+    least = found.groupBy("s", "p").agg(F.least(F.min("k"), F.first("p")).alias("c"))
+    named = found.join(least, ["s", "p"]).select(F.col("s").alias(scope), F.col("k").alias(key), "c")
     return vertices.select(scope, key).distinct().join(named, [scope, key], "left").select(scope, key, F.coalesce("c", key).alias("component"))
