@@ -3,16 +3,19 @@
 from __future__ import annotations
 
 import re
+import time
 from collections.abc import Callable, Iterator
+from concurrent.futures import ThreadPoolExecutor
 from typing import Protocol
 
 import pandas as pd
 import xxhash
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from crumbtrail.functions.text import tags_text
 from crumbtrail.schemas import MENTIONS
+from crumbtrail.sources.sinks import append
 
 
 class Extractor(Protocol):
@@ -45,37 +48,61 @@ def lexicon_extractor(text: str) -> list[dict]:
     return out
 
 
-def extract(reviews: DataFrame, extractor: Extractor = lexicon_extractor, concurrency: int = 10, attempts: int = 4) -> DataFrame:
+def extract(reviews: DataFrame, extractor: Extractor = lexicon_extractor, concurrency: int = 10, attempts: int = 4, wait: tuple[float, float] = (2.0, 30.0)) -> DataFrame:
     """review_id, business_id, mentions, error: a review that fails ``attempts`` times has an error and no mentions.
 
-    ``concurrency`` is the number of partitions that call the extractor at a time, 1 to 50.
+    ``concurrency``, 1 to 50, is the number of calls that a task makes at a time; how many tasks there are follows the
+    data and the cluster. Between attempts a call waits ``wait[0]`` seconds, then twice as long each time, up to ``wait[1]``.
     """
     if not 1 <= concurrency <= 50:
         raise ValueError("concurrency must be 1 to 50")
 
+    def call(text: str) -> tuple[list[dict] | None, str | None]:
+        for attempt in range(attempts):
+            try:
+                return extractor(text), None
+            except Exception as problem:
+                if attempt == attempts - 1:
+                    return None, f"{type(problem).__name__}: {problem}"
+                time.sleep(min(wait[1], wait[0] * 2**attempt))
+        return None, "no attempt"
+
     def run(frames: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-        for frame in frames:
-            found, errors = [], []
-            for text in frame["review_text"]:
-                for attempt in range(attempts):
-                    try:
-                        found.append(extractor(text))
-                        errors.append(None)
-                        break
-                    except Exception as problem:
-                        if attempt == attempts - 1:
-                            found.append(None)
-                            errors.append(f"{type(problem).__name__}: {problem}")
-            yield pd.DataFrame({"review_id": frame["id"], "business_id": frame["business_id"], "mentions": found, "error": errors})
+        with ThreadPoolExecutor(concurrency) as calls:
+            for frame in frames:
+                done = list((calls.map if concurrency > 1 else map)(call, frame["review_text"]))
+                yield pd.DataFrame({"review_id": frame["id"], "business_id": frame["business_id"], "mentions": [d[0] for d in done], "error": [d[1] for d in done]})
 
     schema = f"review_id long, business_id long, mentions {MENTIONS.simpleString()}, error string"
-    return reviews.select("id", "business_id", "review_text").repartition(concurrency, "id").mapInPandas(run, schema)
+    return reviews.select("id", "business_id", "review_text").mapInPandas(run, schema)
+
+
+_DISH_CLAUSE = r"\b(?:the|our|my|a|this) ((?:[a-zñéèíáó'-]+ ){0,4}?[a-zñéèíáó'-]+) (?:was|were|is|are|came|tasted|felt|arrived)\b([^.!?\n]*)"
+
+
+def pattern_mentions(text: Column) -> Column:
+    """The same kind of mentions as an array Column: each ``the <dish> was ...`` with up to three words of praise or blame."""
+    low = F.lower(F.coalesce(text, F.lit("")))
+    names, rests = (F.regexp_extract_all(low, F.lit(_DISH_CLAUSE), F.lit(k)) for k in (1, 2))
+
+    def mention(name: Column, rest: Column) -> Column:
+        words = F.regexp_extract_all(rest, F.lit("[a-z]+"), F.lit(0))
+        good, bad = F.filter(words, lambda w: w.isin(*sorted(GOOD))), F.filter(words, lambda w: w.isin(*sorted(BAD)))
+        sentiment = F.when(F.size(good) > F.size(bad), "positive").when(F.size(bad) > 0, "negative").otherwise("neutral")
+        return F.struct(name.alias("dish"), sentiment.alias("sentiment"), F.slice(F.concat(good, bad), 1, 3).alias("tags"))
+
+    return F.zip_with(names, rests, mention)
+
+
+def extract_by_pattern(reviews: DataFrame) -> DataFrame:
+    """``extract`` without an external model: columns only, so that nothing leaves the JVM and nothing fails."""
+    return reviews.select(F.col("id").alias("review_id"), "business_id", pattern_mentions(F.col("review_text")).alias("mentions"), F.lit(None).cast("string").alias("error"))
 
 
 def mention_rows(extracted: DataFrame) -> DataFrame:
-    """review_id, business_id, dish_name, sentiment, tags: one row per mention of the reviews that didn't fail."""
-    long = extracted.where(F.col("error").isNull()).select("review_id", "business_id", F.explode("mentions").alias("m"))
-    return long.select("review_id", "business_id", F.col("m.dish").alias("dish_name"), F.col("m.sentiment").alias("sentiment"), F.coalesce("m.tags", F.array().cast("array<string>")).alias("tags"))
+    """review_id, business_id, dish_name, sentiment, tags, position: one row per mention of the reviews that didn't fail."""
+    long = extracted.where(F.col("error").isNull()).select("review_id", "business_id", F.posexplode("mentions").alias("position", "m"))
+    return long.select("review_id", "business_id", F.col("m.dish").alias("dish_name"), F.col("m.sentiment").alias("sentiment"), F.coalesce("m.tags", F.array().cast("array<string>")).alias("tags"), "position")
 
 
 def run_counts(extracted: DataFrame) -> DataFrame:
@@ -126,12 +153,29 @@ def template_blurb():
     return F.concat(F.col("name"), F.lit(": praised by "), F.col("positive_count").cast("string"), F.lit(" of "), (F.col("positive_count") + F.col("negative_count")).cast("string"), F.lit(" voters; "), tags_text(F.col("tags"), "no tags yet"), F.lit("."))
 
 
+def facts() -> Column:
+    """What a blurb was written from, as a number: counts and tags. If they change, the old blurb no longer holds."""
+    return F.xxhash64(F.col("mention_count").cast("long"), F.col("positive_count").cast("long"), F.col("negative_count").cast("long"), F.coalesce("tags", F.array().cast("array<string>")))
+
+
+def blurb_cache(profiles: DataFrame) -> DataFrame:
+    """The cache (business_id, name, facts, blurb) of profiles that hold a blurb; an empty or null one is none."""
+    return profiles.where("blurb != ''").select("business_id", "name", facts().alias("facts"), "blurb")
+
+
 def with_blurbs(ranked: DataFrame, cache: DataFrame, write=template_blurb) -> tuple[DataFrame, DataFrame]:
-    """(rows with ``blurb``, new cache rows): the cache (business_id, name, blurb) first, the writer for what it lacks.
+    """(rows with ``blurb``, new cache rows): the cache (business_id, name, facts, blurb) first, the writer for what it lacks.
 
-    An empty or null cached blurb is a miss.
+    An empty or null cached blurb is a miss, and so is one of other counts or tags. Where the cache has several, the
+    smallest text serves.
     """
-    held = cache.where("blurb IS NOT NULL AND blurb != ''").groupBy("business_id", "name").agg(F.first("blurb").alias("_held"))
-    rows = ranked.drop("blurb").join(held, ["business_id", "name"], "left")
+    keys = ["business_id", "name", "facts"]
+    held = cache.where("blurb != ''").groupBy(*keys).agg(F.min("blurb").alias("_held"))
+    rows = ranked.drop("blurb").withColumn("facts", facts()).join(held, keys, "left")
     out = rows.withColumn("blurb", F.coalesce("_held", write()))
-    return out.drop("_held"), out.where(F.col("_held").isNull()).select("business_id", "name", "blurb")
+    return out.drop("_held", "facts"), out.where(F.col("_held").isNull()).select(*keys, "blurb")
+
+
+def keep_blurbs(new: DataFrame, path: str) -> None:
+    """Appends the new rows of ``with_blurbs`` to the cache stored at ``path``."""
+    append(new, path)
