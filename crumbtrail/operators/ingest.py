@@ -15,6 +15,15 @@ def incoming_businesses(raw: DataFrame) -> DataFrame:
     )
 
 
+def incoming_reviews(raw: DataFrame) -> DataFrame:
+    """Delivered reviews in the table's columns (``business_id`` is still the source's): whole stars, and the date of a text.
+
+    A date-time text gives its date. A text that is no date, or a star that is no number, fails the job, as null is allowed only where
+    nothing was given.
+    """
+    return raw.select(F.col("review_id").alias("yelp_review_id"), "business_id", F.col("stars").cast("short").alias("stars"), F.col("text").alias("review_text"), F.col("date").cast("date").alias("review_date"))
+
+
 #: What a later delivery of a business changes; the rest stays as first written.
 UPDATED = ("name", "address", "postal_code", "yelp_stars", "yelp_review_count")
 KEPT = ("city", "state", "categories")

@@ -18,16 +18,22 @@ def longest_per_business(reviews: DataFrame, k: int) -> DataFrame:
     return reviews.withColumn("_r", F.row_number().over(w)).where(F.col("_r") <= k).drop("_r")
 
 
-def work_list(reviews: DataFrame, business_id: int | None = None, limit: int | None = None, max_per_business: int | None = None) -> DataFrame:
-    """id, business_id, review_text of what is to be extracted next, ordered; the limit applies last."""
+def work_list(reviews: DataFrame, business_id: int | None = None, limit: int | None = None, max_per_business: int | None = None, ordered: bool = True) -> DataFrame:
+    """id, business_id, review_text of what is to be extracted next; the limit applies last.
+
+    By id, or by business and id where a business is capped. Without ``ordered`` the whole list is not sorted, as extraction
+    needs no order; a limit always takes the first ones.
+    """
     todo = pending(reviews)
     if business_id is not None:
         todo = todo.where(F.col("business_id") == business_id)
     order = ["id"]
     if max_per_business is not None:
         todo, order = longest_per_business(todo, max_per_business), ["business_id", "id"]
-    todo = todo.select("id", "business_id", "review_text").orderBy(*order)
-    return todo if limit is None else todo.limit(limit)
+    todo = todo.select("id", "business_id", "review_text")
+    if limit is not None:
+        return todo.orderBy(*order).limit(limit)
+    return todo.orderBy(*order) if ordered else todo
 
 
 def stamps(review_ids: DataFrame) -> DataFrame:

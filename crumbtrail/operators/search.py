@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame
+from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from crumbtrail.functions.text import address_line
@@ -40,6 +40,32 @@ def name_of(businesses: DataFrame, business_id: int) -> str:
     return row["name"]
 
 
+def exists(businesses: DataFrame, business_id: int) -> bool:
+    return not businesses.where(F.col("id") == business_id).limit(1).isEmpty()
+
+
+def review_text(reviews: DataFrame, review_id: int) -> str:
+    """The text of one review, read by its id; an error if there is none."""
+    row = reviews.where(F.col("id") == review_id).select("review_text").first()
+    if row is None:
+        raise LookupError(f"no review {review_id}")
+    return row["review_text"]
+
+
+def suggestions(businesses: DataFrame, typed: str, least: int = 2) -> DataFrame:
+    """Matches of what is being typed: none before ``least`` letters, blanks at the ends not counted."""
+    text = typed.strip()
+    if len(text) < least:
+        return matches(businesses.limit(0))
+    return matches(find_businesses(businesses, text))
+
+
+def listing(profiles: DataFrame, order: str = "id") -> DataFrame:
+    """``profiles`` with ``position`` within their business: most mentioned first, then by ``order``."""
+    w = Window.partitionBy("business_id").orderBy(F.col("mention_count").desc(), order)
+    return profiles.withColumn("position", F.row_number().over(w))
+
+
 def pick(found: DataFrame, n: int) -> DataFrame:
     """The n-th match, from 1; an error outside of what is shown."""
     rows = found.orderBy("name", "id").limit(SHOWN).tail(SHOWN) if n >= 1 else []

@@ -9,13 +9,13 @@ from pyspark.sql import functions as F
 
 
 def parse_cities(raw: str) -> list[tuple[str, str]]:
-    """``City:ST, City:ST`` as pairs; an entry without a colon is an error."""
+    """``City:ST, City:ST`` as pairs; an entry without a city or without a state is an error."""
     pairs = []
     for entry in raw.split(","):
-        city, colon, state = entry.partition(":")
-        if not colon:
+        city, state = (part.strip() for part in entry.partition(":")[::2])
+        if not (city and state):
             raise ValueError(f"not City:ST: {entry.strip()!r}")
-        pairs.append((city.strip(), state.strip()))
+        pairs.append((city, state))
     return pairs
 
 

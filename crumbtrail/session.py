@@ -26,11 +26,14 @@ def local_session(cores: int = 8, partitions: int = 8) -> SparkSession:
 def shared_dir(spark: SparkSession) -> str:
     """The folder all executors share: ``spark.checkpoint.dir``.
 
-    Only where the session has none (tests, a laptop) is one made on this machine and set.
+    Where the session has none and all of Spark runs on this machine (tests, a laptop), one is made and set; on a
+    cluster that is an error, as executors would not see each other's files.
     """
     given = spark.conf.get("spark.checkpoint.dir", None)
     if not given:
         given = spark.sparkContext.getCheckpointDir()
+    if not given and not spark.sparkContext.master.startswith("local"):
+        raise RuntimeError("spark.checkpoint.dir must name a folder that all executors share")
     if not given:
         given = "file://" + tempfile.mkdtemp(prefix="spark-", dir=os.environ.get("TMPDIR", "/tmp"))
         spark.sparkContext.setCheckpointDir(given)

@@ -15,8 +15,8 @@ from crumbtrail.schemas import BUSINESS_JSON, REQUIRED, REVIEW_JSON
 def _checked(df: DataFrame, keys: tuple[str, ...]) -> DataFrame:
     """Rows as they are; a null in a required key fails the job when it is read."""
     missing = reduce(lambda a, b: a | b, [F.col(k).isNull() for k in keys])
-    first = keys[0]
-    return df.withColumn(first, F.when(missing, F.raise_error(F.lit(f"a row lacks one of {', '.join(keys)}"))).otherwise(F.col(first)))
+    # A filter, so that the check is made whatever columns are read.
+    return df.where(F.when(missing, F.raise_error(F.lit(f"a row lacks one of {', '.join(keys)}")).cast("boolean")).otherwise(F.lit(True)))
 
 
 def read_businesses(spark: SparkSession, path: str) -> DataFrame:

@@ -19,18 +19,34 @@ def append(df: DataFrame, path: str) -> None:
     df.write.mode("append").parquet(path)
 
 
+def _rename(files, source, target) -> None:
+    """Hadoop tells of a rename that failed by what it returns."""
+    if not files.rename(source, target):
+        raise OSError(f"{source} could not be renamed to {target}")
+
+
 def swap(df: DataFrame, path: str) -> None:
-    """``df``, which may read ``path``, takes its place: written beside it, then renamed."""
+    """``df``, which may read ``path``, takes its place: written beside it, then renamed.
+
+    The old table is deleted last; if the new one can't take its place, the old one is put back and the error goes on.
+    """
     spark: SparkSession = df.sparkSession
     jvm, conf = spark.sparkContext._jvm, spark.sparkContext._jsc.hadoopConfiguration()
     new, old = f"{path}.new-{uuid.uuid4().hex}", f"{path}.old-{uuid.uuid4().hex}"
     df.write.mode("error").parquet(new)
     here = jvm.org.apache.hadoop.fs.Path(path)
     files = here.getFileSystem(conf)
-    if files.exists(here):
-        files.rename(here, jvm.org.apache.hadoop.fs.Path(old))
-    files.rename(jvm.org.apache.hadoop.fs.Path(new), here)
-    files.delete(jvm.org.apache.hadoop.fs.Path(old), True)
+    before, after = jvm.org.apache.hadoop.fs.Path(old), jvm.org.apache.hadoop.fs.Path(new)
+    held = files.exists(here)
+    if held:
+        _rename(files, here, before)
+    try:
+        _rename(files, after, here)
+    except Exception:
+        if held:
+            _rename(files, before, here)
+        raise
+    files.delete(before, True)
     spark.catalog.refreshByPath(path)
 
 

@@ -7,7 +7,7 @@ from pyspark.sql import functions as F
 
 from crumbtrail.functions.text import address_line, highlight, normalize, split_csv, strip
 from crumbtrail.operators import ingest, pending, trim
-from crumbtrail.operators.search import find_businesses, first_matches, name_of, pick
+from crumbtrail.operators.search import exists, find_businesses, first_matches, listing, name_of, pick, review_text, suggestions
 from crumbtrail.sources import ndjson, sinks
 
 
@@ -42,8 +42,9 @@ def test_highlight(spark):
 
 def test_cities():
     assert trim.parse_cities("Philadelphia:PA, New Orleans:LA") == [("Philadelphia", "PA"), ("New Orleans", "LA")]
-    with pytest.raises(ValueError):
-        trim.parse_cities("Philadelphia")
+    for bad in ("Philadelphia", "Philadelphia:", ":PA", "Philadelphia:PA,", " : PA"):
+        with pytest.raises(ValueError):
+            trim.parse_cities(bad)
 
 
 BUSINESS = "id long, yelp_business_id string, name string, address string, city string, state string, postal_code string, categories array<string>, yelp_stars decimal(2,1), yelp_review_count int"
@@ -110,6 +111,21 @@ def test_malformed_and_incomplete_rows_fail(spark, tmp_path):
             ndjson.read_businesses(spark, _lines(tmp_path / f"{name}.json", [row])).collect()
 
 
+def test_a_missing_key_fails_whatever_is_read(spark, tmp_path):
+    path = _lines(tmp_path / "s.json", [{"business_id": "1", "name": "A", "city": "X"}, {"business_id": "2", "city": "Y"}])
+    with pytest.raises(Exception):  # noqa: B017
+        ndjson.read_businesses(spark, path).select("city").collect()
+
+
+def test_incoming_reviews(spark, tmp_path):
+    path = _lines(tmp_path / "v.json", [{"review_id": "r", "business_id": "1", "text": "t", "stars": 4.0, "date": "2019-05-02 18:20:00"}, {"review_id": "s", "business_id": "1", "text": "t"}])
+    rows = {r["yelp_review_id"]: r for r in ingest.incoming_reviews(ndjson.read_reviews(spark, path)).collect()}
+    assert rows["r"]["review_date"] == datetime.date(2019, 5, 2) and rows["r"]["stars"] == 4 and rows["s"]["review_date"] is None
+    bad = _lines(tmp_path / "w.json", [{"review_id": "r", "business_id": "1", "text": "t", "date": "soon"}])
+    with pytest.raises(Exception):  # noqa: B017
+        ingest.incoming_reviews(ndjson.read_reviews(spark, bad)).collect()
+
+
 def test_null_categories_are_none(spark, tmp_path):
     raw = ndjson.read_businesses(spark, _lines(tmp_path / "n.json", [{"business_id": "1", "name": "A", "categories": None, "stars": 4.5}]))
     row = ingest.incoming_businesses(raw).first()
@@ -124,6 +140,51 @@ def test_swap_may_read_what_it_replaces(spark, tmp_path):
     assert [p.name for p in tmp_path.iterdir()] == ["t"]
 
 
+def test_a_failed_swap_leaves_the_table(spark, tmp_path, monkeypatch):
+    path = str(tmp_path / "t")
+    spark.range(10).write.parquet(path)
+    rename = sinks._rename
+
+    def failing(files, source, target):
+        if ".new-" in source.toString():
+            raise OSError("no")
+        rename(files, source, target)
+
+    monkeypatch.setattr(sinks, "_rename", failing)
+    with pytest.raises(OSError):
+        sinks.swap(spark.read.parquet(path).where("id > 6"), path)
+    assert spark.read.parquet(path).count() == 10
+
+
+def test_a_rename_that_hadoop_refuses_is_an_error():
+    class Files:
+        def rename(self, source, target):
+            return False
+
+    with pytest.raises(OSError):
+        sinks._rename(Files(), "a", "b")
+
+
+def test_copy(spark, tmp_path):
+    spark.range(5).write.parquet(str(tmp_path / "a"))
+    sinks.copy_table(spark, str(tmp_path / "a"), str(tmp_path / "b"))
+    assert spark.read.parquet(str(tmp_path / "b")).count() == 5
+
+
+def test_scratch_folder_must_be_shared_on_a_cluster(tmp_path):
+    from types import SimpleNamespace
+
+    from crumbtrail.session import shared_dir
+
+    def session(master):
+        context = SimpleNamespace(master=master, getCheckpointDir=lambda: None, setCheckpointDir=lambda d: None)
+        return SimpleNamespace(conf=SimpleNamespace(get=lambda k, d: d), sparkContext=context)
+
+    with pytest.raises(RuntimeError):
+        shared_dir(session("spark://head:7077"))
+    assert shared_dir(session("local[4]")).startswith("file:")
+
+
 def test_overwrite_leaves_other_partitions(spark, tmp_path):
     path = str(tmp_path / "p")
     sinks.overwrite_partitions(spark.createDataFrame([(1, "a"), (2, "b")], "business_id long, name string"), path)
@@ -141,3 +202,21 @@ def test_search(spark):
             call()
     with pytest.raises(LookupError):
         name_of(df, 99)
+    assert exists(df, 4) and not exists(df, 99)
+
+
+def test_suggestions_need_two_letters(spark):
+    df = spark.createDataFrame([(1, "Annex", None, None, None, None)], "id long, name string, address string, city string, state string, postal_code string")
+    assert suggestions(df, " a ").count() == 0 and suggestions(df, " an ").count() == 1 and suggestions(df, "a", 1).count() == 1
+
+
+def test_review_text(spark):
+    df = spark.createDataFrame([(1, "good"), (2, None)], "id long, review_text string")
+    assert review_text(df, 1) == "good" and review_text(df, 2) is None
+    with pytest.raises(LookupError):
+        review_text(df, 3)
+
+
+def test_listing_order(spark):
+    df = spark.createDataFrame([(1, 7, 2), (2, 7, 5), (3, 7, 5), (4, 8, None)], "id long, business_id long, mention_count long")
+    assert {(r["id"], r["position"]) for r in listing(df).collect()} == {(2, 1), (3, 2), (1, 3), (4, 1)}
