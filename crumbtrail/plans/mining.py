@@ -10,7 +10,7 @@ from crumbtrail.functions import scores
 from crumbtrail.functions.categories import KEYWORDS, categories_of
 from crumbtrail.functions.text import address_line, counted, highlight, normalize, tags_text
 from crumbtrail.functions.vectors import mean_pool
-from crumbtrail.operators import ingest, pending, profiles, ranking, search, similarity, trim
+from crumbtrail.operators import ingest, on_demand, pending, profiles, ranking, search, similarity, trim
 from crumbtrail.sources.ndjson import business_condition
 from crumbtrail.sources.sinks import as_json, listing_line, ranked_line
 from crumbtrail.sources.tables import businesses, dishes, mentions, once, reviews, table
@@ -63,6 +63,17 @@ _M = f"""m AS (SELECT id, review_id, business_id, {_norm("dish_name")} AS key, {
     FROM (SELECT DISTINCT * FROM dish_extractions) WHERE business_id IS NOT NULL AND sentiment IN ('positive', 'negative', 'neutral') AND {_norm("dish_name")} <> '')"""
 
 
+#: The extraction table as it stood when only the reviews before this day were extracted: many businesses had none yet.
+EARLY = "2014-06-01"
+_E_EARLY = f"e AS (SELECT DISTINCT x.* FROM dish_extractions x JOIN reviews ON reviews.id = x.review_id WHERE review_date < DATE '{EARLY}')"
+
+
+def _early(spark: SparkSession, folder: str) -> DataFrame:
+    """Every business with any extraction is protected; taken early, so that the rules have something to remove."""
+    old = table(spark, folder, "reviews").where(F.col("review_date") < F.lit(EARLY).cast("date")).select(F.col("id").alias("review_id"))
+    return table(spark, folder, "dish_extractions").select("review_id", "business_id").join(old, "review_id", "left_semi")
+
+
 def _ranked(source: str) -> str:
     return f"""f AS (SELECT * FROM {source} WHERE mention_count >= 3 AND positive_count + negative_count > 0),
     p AS (SELECT business_id, CAST(sum(positive_count) AS DOUBLE) / CAST(sum(positive_count + negative_count) AS DOUBLE) AS prior FROM f GROUP BY business_id),
@@ -205,25 +216,38 @@ def dish_profiles(spark: SparkSession, folder: str) -> DataFrame:
     return built.select("business_id", "name", "mention_count", "positive_count", "negative_count", F.array_join("tags", "|").alias("tags"))
 
 
-@query(f"WITH {_D} SELECT name, mention_count, positive_count, negative_count, array_to_string(tags, '|') AS tags FROM d WHERE business_id = 1")
+@query(f"WITH {_D}, {_B} SELECT business_id, d.name, mention_count, positive_count, negative_count, array_to_string(tags, '|') AS tags FROM d WHERE business_id IN (SELECT id FROM b)")
 def profile_cache_read(spark: SparkSession, folder: str) -> DataFrame:
-    """One business's stored profiles: the predicate and the five columns reach the scan."""
-    d = table(spark, folder, "dishes").where(F.col("business_id") == 1)
-    d = once(d.select("id", *_DISH_COLUMNS[1:]))
-    none = F.array().cast("array<string>")
-    return d.select("name", *[F.coalesce(c, F.lit(0)).alias(c) for c in _DISH_COLUMNS[2:5]], F.array_join(F.coalesce("tags", none), "|").alias("tags"))
+    """The stored profiles of all businesses; vectors and blurbs are not read."""
+    d = dishes(spark, folder, *_DISH_COLUMNS).join(businesses(spark, folder).select(F.col("id").alias("business_id")), "business_id", "left_semi")
+    return d.select(*_DISH_COLUMNS[:5], F.array_join("tags", "|").alias("tags"))
+
+
+@query(f"WITH {_D} SELECT business_id, id, CAST(row_number() OVER (PARTITION BY business_id ORDER BY mention_count DESC, id) AS BIGINT) AS position FROM d")
+def listing_by_mentions(spark: SparkSession, folder: str) -> DataFrame:
+    """All stored dishes in listing order: most mentioned first."""
+    return _long(search.listing(dishes(spark, folder, "business_id", "mention_count")), "position").select("business_id", "id", "position")
 
 
 _BLURB = "name || ': praised by ' || positive_count || ' of ' || (positive_count + negative_count) || ' voters; ' || CASE WHEN len(tags) > 0 THEN array_to_string(tags, ', ') ELSE 'no tags yet' END || '.'"
 
 
-@query(f"""WITH {_D}, {_ranked('d')}, h AS (SELECT business_id, name, min_by(blurb, id) AS held FROM d WHERE blurb <> '' GROUP BY 1, 2)
-    SELECT business_id, id, coalesce(held, {_BLURB}) AS blurb FROM k LEFT JOIN h USING (business_id, name) WHERE rank <= 10""")
+@query(f"""WITH {_D}, {_ranked('d')}, h AS (SELECT business_id, name, mention_count, positive_count, negative_count, tags, min(blurb) AS held FROM d WHERE blurb <> '' GROUP BY ALL)
+    SELECT business_id, id, coalesce(held, {_BLURB}) AS blurb FROM k LEFT JOIN h USING (business_id, name, mention_count, positive_count, negative_count, tags) WHERE rank <= 10""")
 def blurb_cache_join(spark: SparkSession, folder: str) -> DataFrame:
-    """Blurbs of the ranked items: the stored one, else a new one for the ten best only."""
+    """Blurbs of the ranked items: the stored one of the same counts and tags, else a new one for the ten best only."""
+    d = dishes(spark, folder, *_DISH_COLUMNS, "blurb")
+    return providers.with_blurbs(ranking.rank_dishes(d), providers.blurb_cache(d))[0].select("business_id", "id", "blurb")
+
+
+@query(f"""WITH {_D}, {_ranked('d')}, h AS (SELECT DISTINCT business_id, name, mention_count + 1 AS mention_count, positive_count + 1 AS positive_count, negative_count, tags FROM d WHERE blurb <> '')
+    SELECT k.business_id, k.id FROM k LEFT JOIN h USING (business_id, name, mention_count, positive_count, negative_count, tags) WHERE rank <= 10 AND h.name IS NULL""")
+def blurbs_to_write(spark: SparkSession, folder: str) -> DataFrame:
+    """The ranked items without a valid blurb where each stored one was written before the last positive mention came in."""
     d = dishes(spark, folder, *_DISH_COLUMNS, "blurb")
-    cache = d.where("blurb != ''").groupBy("business_id", "name").agg(F.min_by("blurb", "id").alias("blurb"))
-    return providers.with_blurbs(ranking.rank_dishes(d), cache)[0].select("business_id", "id", "blurb")
+    older = d.withColumns({c: F.col(c) + 1 for c in ("mention_count", "positive_count")})
+    new = providers.with_blurbs(ranking.rank_dishes(d), providers.blurb_cache(older))[1]
+    return ranking.rank_dishes(d).withColumn("facts", providers.facts()).join(new, ["business_id", "name", "facts"], "left_semi").select("business_id", "id")
 
 
 @query(f"""WITH {_D}, {_B}, {_ranked('d')} SELECT k.id, 'Restaurant: ' || b.name || chr(10) || 'Dish: ' || k.name || chr(10) || 'Mentions: ' || mention_count || ' (' || positive_count || ' positive, ' || negative_count || ' negative)' || chr(10)
@@ -297,12 +321,12 @@ _LONGEST = "row_number() OVER (PARTITION BY business_id ORDER BY length(review_t
 
 @query(f"WITH {_R} SELECT id, business_id, review_text FROM r WHERE extracted_at IS NULL")
 def pending_reviews(spark: SparkSession, folder: str) -> DataFrame:
-    return pending.work_list(reviews(spark, folder))
+    return pending.work_list(reviews(spark, folder), ordered=False)
 
 
 @query(f"WITH {_R} SELECT id, business_id, review_text FROM (SELECT *, {_LONGEST} AS k FROM r WHERE extracted_at IS NULL) WHERE k <= 3")
 def longest_pending_per_business(spark: SparkSession, folder: str) -> DataFrame:
-    return pending.work_list(reviews(spark, folder), max_per_business=3)
+    return pending.work_list(reviews(spark, folder), max_per_business=3, ordered=False)
 
 
 @query(f"WITH {_R}, {_E} SELECT id, business_id FROM r WHERE id NOT IN (SELECT review_id FROM e WHERE review_id IS NOT NULL) AND extracted_at IS NULL")
@@ -321,15 +345,39 @@ def length_bucket_study(spark: SparkSession, folder: str) -> DataFrame:
     return _long(out, "bucket").withColumns({c: F.round(c, 6) for c in ("zero_rate", "mean_mentions")})
 
 
-@query()
+def _in(words: frozenset) -> str:
+    return f"w IN ({', '.join(repr(w) for w in sorted(words))})"
+
+
+# Mentions that the pattern finds in the reviews of q: x.
+_CLAUSE = providers._DISH_CLAUSE.replace("'", "''")
+_X = f"""x0 AS (SELECT id, business_id, unnest(regexp_extract_all(lower(coalesce(review_text, '')), '{_CLAUSE}', 1)) AS dish, unnest(regexp_extract_all(lower(coalesce(review_text, '')), '{_CLAUSE}', 2)) AS rest,
+        unnest(range(0, len(regexp_extract_all(lower(coalesce(review_text, '')), '{_CLAUSE}', 0)))) AS position FROM q),
+    x1 AS (SELECT *, list_filter(regexp_extract_all(rest, '[a-z]+'), lambda w: {_in(providers.GOOD)}) AS good, list_filter(regexp_extract_all(rest, '[a-z]+'), lambda w: {_in(providers.BAD)}) AS bad FROM x0),
+    x AS (SELECT id AS review_id, business_id, dish, position, CASE WHEN len(good) > len(bad) THEN 'positive' WHEN len(bad) > 0 THEN 'negative' ELSE 'neutral' END AS sentiment, list_concat(good, bad)[1:3] AS tags FROM x1)"""
+_Q = "q AS (SELECT id, business_id, review_text FROM r WHERE extracted_at IS NULL)"
+
+
+def _extracted(spark: SparkSession, folder: str) -> DataFrame:
+    return providers.extract_by_pattern(pending.work_list(reviews(spark, folder, "business_id", "review_text", "extracted_at"), ordered=False))
+
+
+@query(f"WITH {_R}, {_Q}, {_X} SELECT review_id, business_id, dish AS dish_name, sentiment, array_to_string(tags, '|') AS tags, position FROM x")
 def extract_mentions(spark: SparkSession, folder: str) -> DataFrame:
-    """Mentions by the offline extractor in all pending reviews."""
-    return providers.mention_rows(providers.extract(pending.work_list(reviews(spark, folder, "business_id", "review_text", "extracted_at"))))
+    """Mentions by pattern in all pending reviews."""
+    found = providers.mention_rows(_extracted(spark, folder))
+    return _long(found.withColumn("tags", F.array_join("tags", "|")), "position")
 
 
-@query()
+@query(f"WITH {_R}, {_Q}, {_X} SELECT (SELECT count(*) FROM q) AS processed, (SELECT count(*) FROM x) AS mentions, 0 AS failed")
 def extraction_counts(spark: SparkSession, folder: str) -> DataFrame:
-    return providers.run_counts(providers.extract(pending.work_list(reviews(spark, folder, "business_id", "review_text", "extracted_at"))))
+    return providers.run_counts(_extracted(spark, folder))
+
+
+@query()
+def extract_by_model(spark: SparkSession, folder: str) -> DataFrame:
+    """Mentions by an extractor that is called per text, as an external model would be; here the word list."""
+    return providers.mention_rows(providers.extract(pending.work_list(reviews(spark, folder, "business_id", "review_text", "extracted_at"), ordered=False), concurrency=1))
 
 
 @query()
@@ -339,6 +387,40 @@ def embed_names(spark: SparkSession, folder: str) -> DataFrame:
     return providers.embed(names, "key", providers.hashing_embedder(16))
 
 
+# ---- on demand ----------------------------------------------------------------------------------
+
+#: Reviews from this day on count as delivered since the last run; what was stored before has the businesses extracted early.
+SINCE = "2023-06-01"
+_STATES = f"""{_B}, {_R}, {_D}, h AS (SELECT DISTINCT x.business_id FROM dish_extractions x JOIN reviews v ON v.id = x.review_id WHERE review_date < DATE '{EARLY}' AND x.business_id IS NOT NULL),
+    q AS (SELECT id, business_id, review_text FROM r WHERE extracted_at IS NULL AND review_date >= DATE '{SINCE}'),
+    t AS (SELECT id AS business_id, CASE WHEN id IN (SELECT business_id FROM q WHERE business_id IS NOT NULL) THEN 'extract' WHEN id IN (SELECT business_id FROM d WHERE business_id IN (SELECT * FROM h)) THEN 'cached' ELSE 'aggregate' END AS state FROM b)"""
+
+
+def _delivered(spark: SparkSession, folder: str) -> tuple[DataFrame, DataFrame, DataFrame]:
+    """Businesses, the reviews delivered since the last run, and the profiles stored before."""
+    since = table(spark, folder, "reviews").where(F.col("review_date") >= F.lit(SINCE).cast("date")).select("id", "business_id", "review_text", "extracted_at")
+    stored = dishes(spark, folder, *_DISH_COLUMNS).join(_early(spark, folder).select("business_id").distinct(), "business_id", "left_semi")
+    return businesses(spark, folder), once(since), stored
+
+
+@query(f"WITH {_STATES} SELECT business_id, state FROM t")
+def business_states(spark: SparkSession, folder: str) -> DataFrame:
+    return on_demand.states(*_delivered(spark, folder))
+
+
+@query(f"""WITH {_STATES}, {_X}, {_M.replace("m AS (", "m0 AS (", 1)},
+    m AS (SELECT id, business_id, key, surface, sentiment, tags FROM m0 WHERE business_id IN (SELECT business_id FROM t WHERE state <> 'cached')
+        UNION ALL SELECT (SELECT max(id) FROM m0) + 1 + review_id * 1048576 + position, business_id, {_norm("dish")}, {_strip("dish")}, sentiment, tags FROM x WHERE business_id IN (SELECT business_id FROM t WHERE state = 'extract')),
+    {_G}, {_EXACT}, {_NAMES}, {_TAGS}
+    SELECT g.business_id, name, mention_count, positive_count, negative_count, coalesce(tags, '') AS tags, state FROM g JOIN nm ON nm.business_id = g.business_id AND nm.cluster = key LEFT JOIN tg ON tg.business_id = g.business_id AND tg.cluster = key JOIN t ON t.business_id = g.business_id
+    UNION ALL SELECT business_id, name, mention_count, positive_count, negative_count, array_to_string(tags, '|'), state FROM d JOIN t USING (business_id) WHERE state = 'cached'""")
+def profiles_on_demand(spark: SparkSession, folder: str) -> DataFrame:
+    """Profiles of all businesses: built where reviews wait or nothing is stored, read where all is done. Names are grouped exactly."""
+    there, since, stored = _delivered(spark, folder)
+    out = on_demand.profiles_on_demand(there, since, mentions(spark, folder), stored, lambda todo: providers.mention_rows(providers.extract_by_pattern(todo)))[0]
+    return out.withColumn("tags", F.array_join("tags", "|"))
+
+
 # ---- maintenance --------------------------------------------------------------------------------
 
 
@@ -353,35 +435,27 @@ _HELD = "id IN (SELECT business_id FROM e WHERE business_id IS NOT NULL)"
 _IN_CITIES = " OR ".join(f"(lower(city) = '{c.lower()}' AND lower(state) = '{s.lower()}')" for c, s in trim.parse_cities(CITIES))
 
 
-def _protected(spark: SparkSession, folder: str) -> DataFrame:
-    """Protected here: businesses with a mention that lacks its sentiment, so that the rules have something to remove."""
-    return table(spark, folder, "dish_extractions").where("sentiment IS NULL").select("business_id")
-
-
-_HELD_SOME = "id IN (SELECT business_id FROM e WHERE business_id IS NOT NULL AND sentiment IS NULL)"
-
-
-@query(f"WITH {_B}, {_E} SELECT id, name FROM b WHERE {_IN_CITIES} OR {_HELD}")
+@query(f"WITH {_B}, {_E_EARLY} SELECT id, name FROM b WHERE {_IN_CITIES} OR {_HELD}")
 def prune_cities(spark: SparkSession, folder: str) -> DataFrame:
-    return trim.keep_businesses(businesses(spark, folder), trim.in_cities(trim.parse_cities(CITIES)), table(spark, folder, "dish_extractions")).select("id", "name")
+    return trim.keep_businesses(businesses(spark, folder), trim.in_cities(trim.parse_cities(CITIES)), _early(spark, folder)).select("id", "name")
 
 
-@query(f"WITH {_B}, {_E}, {_R}, k AS (SELECT id FROM b WHERE {_IN_CITIES} OR {_HELD_SOME}) SELECT id FROM r WHERE business_id IN (SELECT id FROM k)")
+@query(f"WITH {_B}, {_E_EARLY}, {_R}, k AS (SELECT id FROM b WHERE {_IN_CITIES} OR {_HELD}) SELECT id FROM r WHERE business_id IN (SELECT id FROM k)")
 def prune_cities_reviews(spark: SparkSession, folder: str) -> DataFrame:
-    kept = trim.keep_businesses(businesses(spark, folder), trim.in_cities(trim.parse_cities(CITIES)), _protected(spark, folder))
+    kept = trim.keep_businesses(businesses(spark, folder), trim.in_cities(trim.parse_cities(CITIES)), _early(spark, folder))
     return trim.reviews_of(reviews(spark, folder, "business_id"), kept).select("id")
 
 
-@query(f"WITH {_B}, {_E} SELECT id, name FROM b WHERE yelp_stars IS NULL OR yelp_stars >= 3.5 OR {_HELD_SOME}")
+@query(f"WITH {_B}, {_E_EARLY} SELECT id, name FROM b WHERE yelp_stars IS NULL OR yelp_stars >= 3.5 OR {_HELD}")
 def prune_low_rated(spark: SparkSession, folder: str) -> DataFrame:
-    return trim.keep_businesses(businesses(spark, folder), trim.rated_at_least(3.5), _protected(spark, folder)).select("id", "name")
+    return trim.keep_businesses(businesses(spark, folder), trim.rated_at_least(3.5), _early(spark, folder)).select("id", "name")
 
 
-@query(f"""WITH {_B}, {_E}, k AS (SELECT id FROM b WHERE yelp_stars IS NULL OR yelp_stars >= 3.5 OR {_HELD_SOME})
+@query(f"""WITH {_B}, {_E_EARLY}, k AS (SELECT id FROM b WHERE yelp_stars IS NULL OR yelp_stars >= 3.5 OR {_HELD})
     SELECT count(*) AS n_before, (SELECT count(*) FROM k) AS n_after, count(*) - (SELECT count(*) FROM k) AS n_removed FROM b""")
 def rows_removed(spark: SparkSession, folder: str) -> DataFrame:
     all_ = businesses(spark, folder)
-    return trim.removed(all_, trim.keep_businesses(all_, trim.rated_at_least(3.5), _protected(spark, folder)))
+    return trim.removed(all_, trim.keep_businesses(all_, trim.rated_at_least(3.5), _early(spark, folder)))
 
 
 _THERE = "business_id IN (SELECT id FROM b) AND review_id IN (SELECT id FROM r)"
@@ -416,6 +490,15 @@ def referential_integrity(spark: SparkSession, folder: str) -> DataFrame:
     return out
 
 
+@query(f"WITH {_R} SELECT yelp_review_id, business_id AS source, CAST(stars AS BIGINT) AS stars, review_date, length(review_text) AS n FROM r WHERE yelp_review_id IS NOT NULL")
+def incoming_reviews(spark: SparkSession, folder: str) -> DataFrame:
+    """All reviews as a delivery has them, numbers as doubles and dates as text with a time, brought to the table's columns."""
+    r = reviews(spark, folder, "business_id", "yelp_review_id", "stars", "review_text", "review_date").where("yelp_review_id IS NOT NULL")
+    raw = r.select(F.col("yelp_review_id").alias("review_id"), "business_id", F.col("review_text").alias("text"), F.col("stars").cast("double").alias("stars"), F.concat(F.col("review_date").cast("string"), F.lit(" 12:30:00")).alias("date"))
+    out = ingest.incoming_reviews(raw)
+    return out.select("yelp_review_id", F.col("business_id").alias("source"), F.col("stars").cast("long").alias("stars"), "review_date", F.length("review_text").cast("long").alias("n"))
+
+
 @query("SELECT coalesce(max(id), 1) AS last_id FROM reviews")
 def last_review_id(spark: SparkSession, folder: str) -> DataFrame:
     return trim.next_id(table(spark, folder, "reviews"))
