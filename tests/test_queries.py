@@ -20,5 +20,14 @@ def test_entry(spark, folder):
     assert df.columns[0] == "business_id" and df.count() > 0
 
 
+def test_core_queries_survive_a_broken_subpackage(monkeypatch):
+    def broken(name):
+        raise ImportError(name)
+
+    monkeypatch.setattr(entry.importlib, "import_module", broken)
+    with pytest.warns(UserWarning):
+        assert set(entry.queries()) == set(registry.QUERIES)
+
+
 def test_registry_is_consistent():
     assert set(entry.oracle_sql()) <= set(entry.queries())
