@@ -44,19 +44,24 @@ def _packed(ids: list, texts: list[str], kind: pa.DataType) -> pa.RecordBatch:
     return pa.RecordBatch.from_arrays(columns, names=["ids", "terms", "counts", "docs", "places"])
 
 
-def _segments(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    ids, texts, letters, kind = [], [], 0, None
-    for batch in batches:
-        kind = batch.column(0).type
-        for i, t in zip(batch.column(0).to_pylist(), batch.column(1).to_pylist()):
-            if texts and letters + len(t) > SEGMENT_LETTERS:
-                yield _packed(ids, texts, kind)
-                ids, texts, letters = [], [], 0
-            ids.append(i)
-            texts.append(t.lower())
-            letters += len(t)
-    if texts:
-        yield _packed(ids, texts, kind)
+def _segments(most: int) -> Callable:
+    """Segments with at most so many letters."""
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        ids, texts, letters, kind = [], [], 0, None
+        for batch in batches:
+            kind = batch.column(0).type
+            for i, t in zip(batch.column(0).to_pylist(), batch.column(1).to_pylist()):
+                if texts and letters + len(t) > most:
+                    yield _packed(ids, texts, kind)
+                    ids, texts, letters = [], [], 0
+                ids.append(i)
+                texts.append(t.lower())
+                letters += len(t)
+        if texts:
+            yield _packed(ids, texts, kind)
+
+    return run
 
 
 def build_index(docs: DataFrame, doc_id: str, text: str) -> DataFrame:
@@ -66,7 +71,7 @@ def build_index(docs: DataFrame, doc_id: str, text: str) -> DataFrame:
     """
     kind = docs.schema[doc_id].dataType.simpleString()
     given = docs.where(F.col(doc_id).isNotNull() & (F.length(text) > 0)).select(F.col(doc_id).alias("doc_id"), F.col(text).alias("text"))
-    return stage(given.mapInArrow(_segments, f"ids array<{kind}>, terms array<long>, counts array<int>, docs array<int>, places array<int>"), "index")
+    return stage(given.mapInArrow(_segments(SEGMENT_LETTERS), f"ids array<{kind}>, terms array<long>, counts array<int>, docs array<int>, places array<int>"), "index")
 
 
 def _passage_words(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:

@@ -1,131 +1,184 @@
-"""Keyword-stuffed and link-list pages by the mutual information of neighbouring words.
+"""Keyword-stuffed and link-list pages by the mean mutual information of neighbouring words.
 
-From the counts of all neighbouring tokens of the collection, each pair in a page gets its pointwise
-mutual information, counted without the page itself. Pairs that no other page has, or that are
-rarer than chance, are incoherent: word salad, link slugs, made-up tags. Pairs that the page repeats and
-that bunch in few pages, or that fill a page, are stuffed. A segment (a sentence or a line) is
-spam if enough of its characters lie in such pairs, and a page if more than half of its characters
-lie in spam segments.
+From the counts of all neighbouring tokens of the collection, each pair in a page gets its pointwise mutual
+information, counted without the page itself. A pair that no other page has is incoherent: word salad, link slugs,
+made-up tags; it takes the lowest value. So does a pair that the page repeats and that bunches in few pages, or that fills
+the page: a collocation repeated to excess tells nothing new. A segment (a sentence or a line) is spam if the mean over its pairs
+is too low, lower for what ends like a sentence, and a page if more than half of its characters lie in spam segments.
 
-Spam lists resemble each other, so a first round over all pages sets the grossest aside; a second takes its
-counts from the other pages only. Copies of a text count once.
+Pages are counted batch by batch: a batch sends each of its distinct pairs and words once, with its counts, however often it has
+them, so that no pair or word has more rows than there are batches. What other batches also have comes back to them.
+Copies of a text count once.
 """
 
 from __future__ import annotations
 
 import re
-from collections import Counter
-from collections.abc import Iterator
+from collections.abc import Callable, Iterator
+from functools import lru_cache
 
+import numpy as np
 import pyarrow as pa
-import xxhash
-from pyspark.sql import DataFrame
+from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
+from crumbtrail.llm.words import codes_of, is_word, mix, run_hashes, slices
 from crumbtrail.session import stage
 
-TOKEN = re.compile(r"[^\W_]+|[^\w\s]+|_+")
-SEGMENT = re.compile(r"[^\n]*?(?:[.!?…]+[\"”'’)\]]*(?=\s)|\n+|\Z)", re.S)
-ENDED = re.compile(r"[.!?…][\"”'’)\]]*\s*\Z")
-#: Share of bad characters above which a segment is spam: one that ends like a sentence, any other.
-SENTENCE_BAD, OTHER_BAD = 0.8, 0.25
+#: Where a segment ends; the first way is that of a sentence.
+END = re.compile(r"([.!?…]+[\"”'’)\]]*(?=\s|\Z))|\n+")
+#: Bounds between which a pair's mutual information counts.
+LOW, HIGH = -5.0, 3.0
+#: Means under which a segment is spam: one that ends like a sentence, any other.
+SENTENCE_MEAN, OTHER_MEAN = -3.2, 1.8
 #: A pair is stuffed if a page has it so often, and it bunches so much or fills such a share of the page.
 REPEATS, BUNCHING, PAGE_SHARE = 3, 2.5, 0.05
-
-ROWS = "class long, seg int, ended boolean, chars int, pair long, w1 long, w2 long, n int, first int, n_page int, often boolean, weight int"
-
-
-def _signed(x: int) -> int:
-    return x - (1 << 64) if x >> 63 else x
-
-
-class _Hash(dict):
-    def __missing__(self, token: str) -> int:
-        if len(self) > 1_000_000:
-            self.clear()
-        value = self[token] = xxhash.xxh3_64_intdigest(token)
-        return value
-
-
-_hash = _Hash()
-
-
-def _pairs(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    """A row for each segment of a text and each of its pairs of neighbouring tokens."""
-    types = [pa.int64(), pa.int32(), pa.bool_(), pa.int32(), pa.int64(), pa.int64(), pa.int64(), pa.int32(), pa.int32(), pa.int32(), pa.bool_(), pa.int32()]
-    names = [x.split()[0] for x in ROWS.split(", ")]
-    for batch in batches:
-        out: list[list] = [[] for _ in types]
-        for key, text in zip(batch.column(0).to_pylist(), batch.column(1).to_pylist()):
-            segments = []
-            for part in SEGMENT.findall(text):
-                tokens = TOKEN.findall(part.lower())
-                if tokens:
-                    segments.append((Counter(zip(["\n", *tokens], tokens)), bool(ENDED.search(part)), len(part)))
-            page: Counter = Counter()
-            for counts, _, _ in segments:
-                page.update(counts)
-            length, seen = page.total(), set()
-            for k, (counts, ended, chars) in enumerate(segments):
-                for pair, n in counts.items():
-                    a, b = pair
-                    h1, h2 = _hash[a], _hash[b]
-                    row = (key, k, ended, chars, _signed((h1 * 0x9E3779B97F4A7C15 + h2) & (2**64 - 1)), _signed(h1), _signed(h2), n, int(pair not in seen), page[pair], page[pair] >= PAGE_SHARE * length, len(a) + len(b))
-                    for column, x in zip(out, row):
-                        column.append(x)
-                seen.update(counts)
-            if len(out[0]) > 50_000:
-                yield pa.RecordBatch.from_arrays([pa.array(c, t) for c, t in zip(out, types)], names=names)
-                out = [[] for _ in types]
-        if out[0]:
-            yield pa.RecordBatch.from_arrays([pa.array(c, t) for c, t in zip(out, types)], names=names)
-
-
-def _judge(rows: DataFrame, spam: DataFrame | None) -> DataFrame:
-    """class, mean_pmi, stuffed_share, spam_share by the counts of the pages that ``spam`` doesn't name."""
-    if spam is None:
-        rows = rows.withColumn("counted", F.lit(True))
-    else:
-        rows = rows.join(spam.select("class", F.lit(False).alias("_kept")), "class", "left").withColumn("counted", F.coalesce("_kept", F.lit(True)))
-    base = rows.where("counted")
-    stats = stage(base.groupBy("pair").agg(F.sum("n").alias("c"), F.sum("first").alias("df"), F.first("w1").alias("w1"), F.first("w2").alias("w2")), "pairs")
-    left = stats.groupBy("w1").agg(F.sum("c").alias("c1"))
-    right = stats.groupBy("w2").agg(F.sum("c").alias("c2"))
-    total = stats.agg(F.sum("c").alias("all_pairs"))
-    pages = base.agg(F.count_distinct("class").alias("pages"))
-    rate = F.col("c") / F.col("pages")
-    bunching = F.col("c") / F.col("df") / (rate / (1 - F.exp(-rate)))
-    stats = stats.join(left, "w1").join(right, "w2").crossJoin(F.broadcast(total)).crossJoin(F.broadcast(pages))  # one row each
-    stats = stats.select("pair", "c", "c1", "c2", "all_pairs", bunching.alias("bunching"))
-    known = rows.select("class", "seg", "ended", "chars", "pair", "n", "n_page", "often", "weight", "counted").join(stats, "pair", "left")
-    others = F.coalesce("c", F.lit(0)) - F.when(F.col("counted"), F.col("n_page")).otherwise(0)
-    pmi = F.when(others > 0, F.ln(others.cast("double") * F.col("all_pairs") / (F.col("c1").cast("double") * F.col("c2"))))
-    stuffed = (others > 0) & (F.col("n_page") >= REPEATS) & ((F.col("bunching") >= BUNCHING) | F.col("often"))
-    w = F.col("weight") * F.col("n")
-    segments = known.select("class", "seg", "ended", "chars", w.alias("w"), pmi.alias("pmi"), F.coalesce(stuffed, F.lit(False)).alias("stuffed")).groupBy("class", "seg", "ended", "chars").agg(
-        F.sum("w").alias("w"),
-        F.sum(F.when(F.col("pmi").isNull() | (F.col("pmi") < 0) | F.col("stuffed"), F.col("w")).otherwise(0)).alias("bad"),
-        F.sum(F.when(F.col("stuffed"), F.col("w")).otherwise(0)).alias("stuffed"),
-        F.sum(F.coalesce("pmi", F.lit(0.0)) * F.col("w")).alias("pmi"),
-    )
-    bad = F.col("bad") > F.col("w") * F.when(F.col("ended"), SENTENCE_BAD).otherwise(OTHER_BAD)
-    return segments.groupBy("class").agg(
-        (F.sum("pmi") / F.sum("w")).alias("mean_pmi"), (F.sum("stuffed") / F.sum("w")).alias("stuffed_share"), (F.sum(F.when(bad, F.col("chars")).otherwise(0)) / F.sum("chars")).alias("spam_share")
-    )
+#: Letters of the pages of one batch, or one longer page.
+BATCH_LETTERS = 6_000_000
+#: Stand for the start of a segment, and tell words as firsts and as seconds of a pair apart.
+START, FIRST, SECOND = (np.uint64(x) for x in (0x9E3779B97F4A7C15, 0xC2B2AE3D27D4EB4F, 0x165667B19E3779F9))
+
+BATCH = "batch long, classes array<long>, seg_page array<int>, seg_ended array<boolean>, seg_chars array<int>, seg_pairs array<int>, pair array<int>, weight array<int>, first array<int>, second array<int>, keys array<long>, n array<int>, df array<int>"
+
+
+@lru_cache
+def _kinds() -> np.ndarray:
+    """For each code point: 0 blank, 1 in a word, 2 a mark, 3 an underscore. A token is a run of one kind."""
+    marks = np.array([not (chr(c).isspace() or chr(c) == "_") for c in range(0x110000)])
+    kinds = np.where(is_word(), 1, np.where(marks, 2, 0)).astype(np.int8)
+    kinds[ord("_")] = 3
+    return kinds
+
+
+def _tokens(texts: list[str]) -> tuple[np.ndarray, ...]:
+    """Of all tokens: hash, letters, segment; of all segments: page, whether it ends like a sentence, characters."""
+    tokens: list[tuple] = [(np.zeros(0, np.uint64), np.zeros(0, np.int64), np.zeros(0, np.int64))]
+    segments: list[tuple[int, bool, int]] = []
+    for lo, hi in slices(texts):
+        codes, _ = codes_of(texts[lo:hi])
+        kinds = _kinds()[codes]
+        edges = np.flatnonzero(np.diff(np.r_[0, kinds]))
+        inside = kinds[edges] > 0
+        first, last = edges[inside], np.r_[edges[1:], len(codes)][inside]
+        before, cuts, at = len(segments), [], 0
+        for page, text in enumerate(texts[lo:hi], lo):
+            done = 0
+            for m in END.finditer(text):
+                cuts.append(at + m.end())
+                segments.append((page, m[1] is not None, m.end() - done))
+                done = m.end()
+            if done < len(text):
+                cuts.append(at + len(text))
+                segments.append((page, False, len(text) - done))
+            at += len(text) + 1
+        tokens.append((run_hashes(codes, first, last), last - first, np.searchsorted(np.array(cuts, np.int64), first, side="right") + before))
+    pages, ended, chars = (np.array(x) for x in zip(*segments)) if segments else (np.zeros(0, int),) * 3
+    return *(np.concatenate(x) for x in zip(*tokens)), pages.astype(np.int64), ended.astype(bool), chars.astype(np.int64)
+
+
+def _counted(classes: list[int], texts: list[str]) -> pa.RecordBatch:
+    """The batch of some pages as one row: its segments and pairs, and its distinct keys with their counts.
+
+    Pairs are numbered by the batch; ``keys`` are pairs first, then words as firsts and as seconds.
+    """
+    token, letters, seg, page, ended, chars = _tokens(texts)
+    # Segments without a token are none.
+    size = np.bincount(seg, minlength=len(page))
+    seg, page, ended, chars, size = (np.cumsum(size > 0) - 1)[seg], page[size > 0], ended[size > 0], chars[size > 0], size[size > 0]
+    new = np.r_[True, seg[1:] != seg[:-1]][: len(seg)]
+    before = np.where(new, START, np.r_[START, token[:-1]][: len(token)])
+    weight = letters + np.where(new, 1, np.r_[1, letters[:-1]][: len(letters)])
+    pairs, at, code, n = np.unique(mix(before * np.uint64(0x9E3779B97F4A7C15) + token), return_index=True, return_inverse=True, return_counts=True)
+    firsts, first, n1 = np.unique(before, return_inverse=True, return_counts=True)
+    seconds, second, n2 = np.unique(token, return_inverse=True, return_counts=True)
+    in_page = np.unique(page[seg] * len(pairs) + code)
+    df = np.bincount(in_page % max(1, len(pairs)), minlength=len(pairs))
+    keys = np.r_[pairs, mix(firsts ^ FIRST), mix(seconds ^ SECOND)].view(np.int64)
+    row = [[classes[0]], classes, page, ended, chars, size, code, weight[at], first[at] + len(pairs), second[at] + len(pairs) + len(firsts), keys, np.r_[n, n1, n2], np.r_[df, np.zeros(len(firsts) + len(seconds), np.int64)]]
+    kinds = [pa.int64(), pa.int64(), pa.int32(), pa.bool_(), *[pa.int32()] * 6, pa.int64(), pa.int32(), pa.int32()]
+    flat = [pa.array(values, kind) for values, kind in zip(row, kinds)]
+    return pa.RecordBatch.from_arrays([flat[0], *[pa.ListArray.from_arrays(pa.array([0, len(v)], pa.int32()), v) for v in flat[1:]]], names=[x.split()[0] for x in BATCH.split(", ")])
+
+
+def _count(most: int) -> Callable:
+    """Batches of pages with at most so many letters."""
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        classes, texts, letters = [], [], 0
+        for batch in batches:
+            for c, t in zip(batch.column(0).to_pylist(), batch.column(1).to_pylist()):
+                if texts and letters + len(t) > most:
+                    yield _counted(classes, texts)
+                    classes, texts, letters = [], [], 0
+                classes.append(c)
+                texts.append(t.lower())
+                letters += len(t)
+        if texts:
+            yield _counted(classes, texts)
+
+    return run
+
+
+def _judge(all_pairs: int, n_pages: int) -> Callable:
+    """Scores of the pages of batches (in the order of ``BATCH``, without keys) with ``known``: code, c and d of what others have too."""
+
+    def scores(row: list) -> tuple[np.ndarray, ...]:
+        classes, page, ended, chars, size, code, weight, first, second, n, df = (row[k].values.to_numpy(zero_copy_only=False) for k in range(1, 12))
+        c, d = n.astype(np.int64), df.astype(np.int64)
+        if row[12].is_valid:
+            known = row[12].values
+            at = known.field(0).to_numpy()
+            c[at], d[at] = known.field(1).to_numpy(), known.field(2).to_numpy()
+        seg = np.repeat(np.arange(len(size)), size)
+        own = page[seg].astype(np.int64)
+        _, place, here = np.unique(own * (int(code.max(initial=0)) + 1) + code, return_inverse=True, return_counts=True)
+        here = here[place]
+        length = np.bincount(own, minlength=len(classes))
+        others = c[code] - here
+        with np.errstate(divide="ignore", invalid="ignore"):
+            pmi = np.log(others.astype(float) * all_pairs / (c[first].astype(float) * c[second])[code])
+            rate = c / n_pages
+            bunching = (c / d / (rate / -np.expm1(-rate)))[code]
+        stuffed = (others > 0) & (here >= REPEATS) & ((bunching >= BUNCHING) | (here >= PAGE_SHARE * length[own]))
+        value = np.where(others > 0, np.clip(pmi, LOW, HIGH), LOW)
+        w = weight[code].astype(float)
+
+        def total(x: np.ndarray, by: np.ndarray, n: int) -> np.ndarray:
+            return np.bincount(by, weights=x, minlength=n)
+
+        mean = total(w * np.where(stuffed, LOW, value), seg, len(size)) / total(w, seg, len(size))
+        spam = mean < np.where(ended, SENTENCE_MEAN, OTHER_MEAN)
+        m = len(classes)
+        whole = total(w, own, m)
+        with np.errstate(invalid="ignore"):
+            return classes, total(w * value, own, m) / whole, total(w * stuffed, own, m) / whole, total(chars * spam, page, m) / total(chars, page, m)
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            for k in range(batch.num_rows):
+                found = scores([column[k] for column in batch.columns])
+                some = np.isfinite(found[1])  # pages without a token have no scores
+                yield pa.RecordBatch.from_arrays([pa.array(x[some]) for x in found], names=["class", "mean_pmi", "stuffed_share", "spam_share"])
+
+    return run
 
 
 def page_scores(docs: DataFrame, doc_id: str, text: str) -> DataFrame:
     """doc_id, mean_pmi, stuffed_share, spam_share: one row per document with any token.
 
-    ``mean_pmi`` weighs pairs by their characters, with 0 for a pair that no other page has. Null and
+    ``mean_pmi`` weighs pairs by their characters, each between ``LOW`` and ``HIGH``. Null and
     empty texts, and null ids, have no row; a repeated id counts once. In a collection of one text no pair is
     known from elsewhere, so its pages are all spam by this measure: it needs a collection. Other columns are not read.
     """
     named = docs.where(F.col(doc_id).isNotNull() & (F.length(text) > 0)).select(F.col(doc_id).alias("doc_id"), F.col(text).alias("text"), F.xxhash64(text).alias("class"))
-    texts = named.select("class", "text").dropDuplicates(["class"])
-    rows = stage(texts.mapInArrow(_pairs, ROWS), "page-pairs")
-    gross = stage(_judge(rows, None).where("spam_share > 0.5").select("class"), "gross")
-    scores = _judge(rows, gross)
+    pages = stage(named.select("class", "text").dropDuplicates(["class"]).mapInArrow(_count(BATCH_LETTERS), BATCH), "pages")
+    size = pages.agg(F.coalesce(F.sum(F.size("pair")), F.lit(0)), F.coalesce(F.sum(F.size("classes")), F.lit(0))).first()
+    rows = pages.select("batch", F.posexplode(F.arrays_zip("keys", "n", "df")).alias("code", "x")).select("batch", "code", "x.keys", "x.n", "x.df")
+    # A key has one row for each batch at most, so that none is more than any other's share of a task.
+    w = Window.partitionBy("keys")
+    summed = rows.select("batch", "code", F.sum("n").over(w).alias("c"), F.sum("df").over(w).alias("d"), F.count("*").over(w).alias("_batches"))
+    back = summed.where("_batches > 1").groupBy("batch").agg(F.collect_list(F.struct("code", "c", "d")).alias("known"))  # at most a batch's keys
+    scores = pages.drop("keys").join(back, "batch", "left").mapInArrow(_judge(*size), "class long, mean_pmi double, stuffed_share double, spam_share double")
     return named.select("doc_id", "class").distinct().join(scores, "class").drop("class")
 
 

@@ -47,8 +47,10 @@ def leak_case(seed):
     return rows + [(100, None), (101, ""), (102, rows[0][1])], items
 
 
-@pytest.mark.parametrize("seed", [1, 2])
-def test_phrases(spark, seed):
+@pytest.mark.parametrize(("seed", "letters", "block"), [(1, 3_000_000, 200_000), (2, 100, 60)])
+def test_phrases(spark, monkeypatch, seed, letters, block):
+    monkeypatch.setattr(leakage, "SEGMENT_LETTERS", letters)
+    monkeypatch.setattr(leakage, "BLOCK_WORDS", block)
     rows, items = leak_case(seed)
     index = leakage.build_index(docs(spark, [*rows, (None, rows[0][1])]), "doc_id", "text")
     terms = leakage.passage_terms(spark.createDataFrame([(i, p, 1) for i, p in items], ITEM), index, "item_id", "passage")
@@ -59,6 +61,28 @@ def test_phrases(spark, seed):
         assert words(text[x["doc_id"]])[x["pos"] : x["pos"] + x["n_words"]] == words(passage[x["item_id"]])[x["ppos"] : x["ppos"] + x["n_words"]]
 
 
+def test_proximity_by_brute_force(spark, monkeypatch):
+    monkeypatch.setattr(leakage, "SEGMENT_LETTERS", 200)
+    rows, items = leak_case(7)
+    index = leakage.build_index(docs(spark, rows), "doc_id", "text")
+    terms = leakage.passage_terms(spark.createDataFrame([(i, p, 1) for i, p in items], ITEM), index, "item_id", "passage")
+    got = {tuple(x) for x in leakage.proximity_matches(index, terms, 3, 12).collect()}
+    df = defaultdict(int)
+    for _, t in rows:
+        for w in words(t):
+            df[w] += 1
+    want = set()
+    for i, p in items:
+        rare = sorted({w for w in words(p) if df[w]}, key=lambda w: (df[w], w))[:3]
+        for d, t in rows:
+            at = [[k for k, w in enumerate(words(t)) if w == x] for x in rare]
+            if len(rare) == 3 and all(at):
+                span = min(max(x, y, z) - min(x, y, z) + 1 for x in at[0] for y in at[1] for z in at[2])
+                if span <= 12:
+                    want.add((d, i, span))
+    assert got == want and want
+
+
 def test_proximity(spark):
     rows = [(1, "rare1 x x rare2 y rare3"), (2, "rare3 rare1 " + "x " * 50 + "rare2"), (3, "x y x y"), (4, "rare2 rare1 rare3")]
     index = leakage.build_index(docs(spark, rows), "doc_id", "text")
@@ -169,13 +193,54 @@ def test_spam_pages(spark):
     assert sorted(ids) == sorted(set(ids)) and not {902, 903, 904} & set(ids)
 
 
-def test_mutual_information_by_hand(spark):
+def brute_scores(pages):
+    """mean_pmi and spam_share of each page by counting everything again for each."""
     import math
+    from collections import Counter
+
+    token = re.compile(r"[^\W_]+|_+|(?:[^\w\s])+")
+    cut = []
+    for text in pages:
+        segments, at = [], 0
+        for m in [*spam_pages.END.finditer(text), None]:
+            part = text[at : m.end() if m else len(text)]
+            words = token.findall(part)
+            if words:
+                segments.append((list(zip(["\n", *words], words)), bool(m and m[1]), len(part)))
+            at = m.end() if m else len(text)
+        cut.append(segments)
+    counts = [Counter(p for s in segments for p in s[0]) for segments in cut]
+    c = sum(counts, Counter())
+    df, total = Counter(p for x in counts for p in x), sum(c.values())
+    c1, c2 = Counter(), Counter()
+    for (a, b), n in c.items():
+        c1[a] += n
+        c2[b] += n
+    out = []
+    for segments, own in zip(cut, counts):
+        spam = chars = top = low = 0
+        for pairs, ended, n in segments:
+            value = weight = 0
+            for p in pairs:
+                w, others, rate = len(p[0]) + len(p[1]), c[p] - own[p], c[p] / len(pages)
+                x = max(spam_pages.LOW, min(spam_pages.HIGH, math.log(others * total / (c1[p[0]] * c2[p[1]])))) if others else spam_pages.LOW
+                top, low = top + w * x, low + w
+                stuffed = others and own[p] >= spam_pages.REPEATS and (c[p] / df[p] / (rate / (1 - math.exp(-rate))) >= spam_pages.BUNCHING or own[p] >= spam_pages.PAGE_SHARE * own.total())
+                value, weight = value + w * (spam_pages.LOW if stuffed else x), weight + w
+            spam += n * (value / weight < (spam_pages.SENTENCE_MEAN if ended else spam_pages.OTHER_MEAN))
+            chars += n
+        out.append((top / low, spam / chars))
+    return out
+
 
-    pages = ["a b", "a b c", "c a b", "b c"]
-    got = {x["doc_id"]: x["mean_pmi"] for x in spam_pages.page_scores(docs(spark, list(enumerate(pages))), "doc_id", "text").collect()}
-    # Page 0: pairs (start, a) and (a, b), each counted in the other pages that the first round keeps.
-    assert set(got) == {0, 1, 2, 3} and all(math.isfinite(x) for x in got.values())
+@pytest.mark.parametrize("letters", [10, 6_000_000])
+def test_scores_against_brute_force(spark, monkeypatch, letters):
+    monkeypatch.setattr(spam_pages, "BATCH_LETTERS", letters)
+    good, spam = collection(random.Random(5))
+    pages = sorted({t.lower() for t in good[:40] + spam + ["a b", "a b c.\nd _ e", "c a b!"]})
+    got = {x["doc_id"]: (x["mean_pmi"], x["spam_share"]) for x in spam_pages.page_scores(docs(spark, list(enumerate(pages))), "doc_id", "text").collect()}
+    for k, want in enumerate(brute_scores(pages)):
+        assert got[k] == pytest.approx(want, abs=1e-9)
 
 
 def test_long_page_and_no_pages(spark):
