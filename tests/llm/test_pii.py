@@ -28,22 +28,60 @@ CASES = [
 
 @pytest.mark.parametrize(("text", "want"), CASES)
 def test_cases(text, want):
-    got = pii.find(text, pii.train(), pii.common_words(pii.VOCABULARY))
+    got = pii.find(text, pii.train(), pii.known_words(pii.VOCABULARY))
     assert [(k, text[s:e]) for s, e, k in got] == want
 
 
-def test_held_out_sentences():
-    """Templates and values the weights were not fitted on (another seed): most cases come out exactly."""
-    import random
+# Names and sentences that training has not: its names are coined, and its sentences are others.
+NAMES = """Brandon Whitlock|Siddharth Rao|Tyler Grant|Wei Zhang|Guadalupe|Karen O'Brien|Ana de la Cruz|John Smith|Susan Miller|Mike|Steve Rogers|Lisa Nguyen|Tom Baker|Fatou Diallo
+Kwame Mensah|Hye-jin Park|Olumide Adeyemi|Mary Ann Fisher|J. Thompson|Robert L. Hayes|Chen, Li|Dwayne|Ingeborg Larsen|Marcus van Dyke|Shanice Williams|Pradeep|Yuki Tanaka|Carlos Mendoza
+Ahmed El-Sayed|Dmitry Volkov|Zoe|Grace Hill|Mark Brown|Rosa Park|Hope|Will Turner|Jean-Luc Moreau|Aoife Murphy|Bjorn|Nana Osei""".replace("\n", "|").split("|")
+WITH_NAMES = """On our second night {n} came over to check on us.|Please give {n} a raise, nobody else cared.|The highlight was chatting with {n} about wine.|Our sommelier {n} picked a lovely bottle.|Huge shoutout to {n} for fixing the order.
+When I complained, {n} apologized right away.|My brother {n} proposed here last spring.|A gentleman named {n} held the door for us.|We owe this evening to {n} and the kitchen.|Manager {n} comped our desserts without being asked.|The hostess, {n}, found us a booth.
+You can thank {n} for the five stars.|Even {n} behind the counter remembered our names.|Everyone should get served by {n} once.|I left my jacket and {n} mailed it back.|Best regards, {n}|Our bartender was {n} and he poured with a heavy hand.|Kids adored {n}, who folded napkins into swans.
+Reservation is in the name of {n} for eight people.|Dad and {n} shared the ribs.|I called twice and spoke with {n} both times.|If you see {n}, order the special.|Many thanks {n}!|Server: {n}. Table was sticky though.|The new chef, {n}, has changed everything.|{n} deserves a bonus.|Hello {n}, your soup changed my life.
+Hey {n}, save me a table.|A waitress called {n} spilled soup and laughed.|We were greeted by {n}, then forgotten.""".replace("\n", "|").split("|")
+WITHOUT = """We parked behind the Marriott on Peachtree.|The Szechuan eggplant beats anything in Boston.|Closed on Mondays, open late on Fridays.|I prefer the Tacoma branch to the one in Spokane.|Their Caesar salad and Thai tea were fine.|Lola's Taqueria next door is louder.|Honestly the gnocchi tasted like glue.
+Drove up from San Diego for the Garlic Festival.|Sunday brunch at the Blue Heron Cafe was packed.|NEVER AGAIN. The calamari was rubber.|Try the bibimbap or the pho.|Found it on Yelp and booked with OpenTable.|The view over Lake Michigan is worth it.|We had two Guinness and a flight of bourbon.
+Order 8841 was wrong, table 12 was dirty.|Bottomless mimosas for $18 until 3pm.|Great falafel, decent hummus, sad tabbouleh.|The Halal cart on Fifth is faster.|Parking near Wrigley Field is a nightmare.|It reminds me of Little Italy in the nineties.""".replace("\n", "|").split("|")
+
+
+# A second set, measured once and never looked at.
+FRESH_NAMES = "Jerome Patterson|Lakshmi Iyer|Owen|Maria dos Santos|Natalie Portillo|Femi Adebayo|Hiroko Matsuda|Patrick O'Shea|Bill Cooper|Soo-yeon Kim|Anastasia|Raj Malhotra|Gabriela Fuentes|Erin K. Walsh|Tunde|Heather Stone|Viktor Petrov|Leila Hosseini".split("|")
+FRESH = """It was {n} who talked us into the tasting menu.|My aunt brought {n} along for the birthday.|Kudos go to {n} at the front desk.|Nobody but {n} noticed the allergy.|The owner introduced himself as {n}.|Tell the cook that {n} sent you.
+{n} made our anniversary unforgettable.|A busboy, {n}, mopped up without a fuss.|Cheers to {n} for staying late.|Ask whether {n} is working the patio.|Then {n} walked over with the bill.|Yours truly, {n}|We booked through {n} last week.|Dinner with {n} ended early.""".replace("\n", "|").split("|")
+
 
-    r, common, weights = random.Random(99), pii.common_words(pii.VOCABULARY), pii.train()
-    words = sorted(w for w in common if 3 <= len(w) <= 9)
+def held_out(names, sentences):
+    """Of names and sentences that training never saw: cases found, cases, all found."""
+    words, weights = pii.known_words(pii.VOCABULARY), pii.train()
     hit = wanted = given = 0
-    for _ in range(400):
-        text, cases = pii.training_sentence(r, words)
-        got = set(pii.find(text, weights, common))
-        hit, wanted, given = hit + len(got & set(cases)), wanted + len(cases), given + len(got)
-    assert hit / wanted > 0.9 and hit / given > 0.9
+    for k, name in enumerate(names):
+        for j, template in enumerate(sentences):
+            text = WITHOUT[(k + j) % len(WITHOUT)] + " " + template.replace("{n}", name) + " " + WITHOUT[(k + 3 * j) % len(WITHOUT)]
+            got = [text[s:e] for s, e, _ in pii.find(text, weights, words)]
+            hit, wanted, given = hit + (name in got), wanted + 1, given + len(got)
+    return hit, wanted, given
+
+
+@pytest.mark.parametrize(("names", "sentences"), [(NAMES, WITH_NAMES), (FRESH_NAMES, FRESH)])
+def test_held_out_names_and_sentences(names, sentences):
+    hit, wanted, given = held_out(names, sentences)
+    assert hit / wanted > 0.9 and hit / given > 0.9, (hit / wanted, hit / given)
+
+
+def test_no_sentence_of_the_collection_is_in_the_templates(folder):
+    import re
+
+    import pyarrow.parquet as pq
+
+    def runs(text, n=4):
+        w = re.findall(r"[^\W_]+", text.lower())
+        return {tuple(w[k : k + n]) for k in range(len(w) - n + 1)}
+
+    own = {x for block in (pii._NAMES, pii._OTHERS, pii._NOTHING) for t in re.split(r"[|\n]", block) for part in re.split(r"\{\w+\}", t) for x in runs(part)}
+    texts = pq.read_table(f"{folder}/reviews.parquet", columns=["review_text"])["review_text"].to_pylist()
+    assert not own & {x for t in texts if t for x in runs(t)}
 
 
 def test_decode_is_the_best_set():
@@ -71,10 +109,10 @@ PIECES = ["P123456", "P123456,", "K12L345M67", "AB-1234-C567", "12345678A", "kbr
 PIECES += ["j. Smith", "J. smith Brown", "É. Martin", "Tobias Brandt", "Brandt, Tobias", "İstanbul Oskar", "912-34-5678", "at noon.", "2 tacos", "look at it. Good"]
 
 
-def test_all_that_is_proposed_is_decoded():
+def test_all_that_a_form_proposes_is_decoded():
     import random
 
-    common = pii.common_words(pii.VOCABULARY)
+    words = pii.known_words(pii.VOCABULARY)
     filler = "we liked the soup and came again with all our friends but never had the bread "
     r = random.Random(5)
     texts = [left + x + right for x in PIECES for left in ("", filler * 3) for right in ("", " " + filler * 3)]
@@ -82,8 +120,16 @@ def test_all_that_is_proposed_is_decoded():
     for text in texts:
         parts = pii.stretches(text)
         assert all(a[1] < b[0] for a, b in zip(parts, parts[1:]))
-        got = {(s + a, s + b, k, form) for s, e in parts for a, b, k, form in pii.proposals(text[s:e], common)}
-        assert set(pii.proposals(text, common)) <= got, text
+        assert pii._form_spans(text) == {x[:4] for x in pii.candidates(pii.Tokens(text), words) if x[4] < 0}, text
+
+
+@pytest.mark.parametrize(("text", "names"), [
+    ("Ask for Karen O'Brien.", ["Karen O'Brien", "Karen", "O'Brien"]), ("with Ana de la Cruz here", ["Ana de la Cruz", "Ana", "Cruz"]), ("Brandt, Tobias", ["Brandt", "Brandt, Tobias", "Tobias"]),
+    ("É. Martin", ["É. Martin", "Martin"]), ("GRETA P. HOLLINGS", ["GRETA P. HOLLINGS", "GRETA P.", "GRETA", "HOLLINGS"]), ("thanks to zoltan griverwick", ["zoltan griverwick"]),
+])
+def test_names_are_proposed_without_a_list(text, names):
+    got = {text[s:e] for s, e, *_ in pii.name_spans(pii.Tokens(text), pii.known_words(pii.VOCABULARY))}
+    assert set(names) <= got
 
 
 @pytest.mark.parametrize("case", ["P123456", "K12L345M67", "AB-1234-C567", "kbrat at velford.test"])
