@@ -30,7 +30,7 @@ def p4_found(spark: SparkSession, folder: str) -> DataFrame:
 
 def p5_groups(spark: SparkSession, folder: str) -> DataFrame:
     there = table(spark, folder, "businesses").select(F.col("id").alias("business_id")).distinct()
-    return name_groups(table(spark, folder, "dish_extractions").join(there, "business_id", "left_semi"), "business_id", "dish_name")
+    return name_groups(table(spark, folder, "dish_extractions").join(there, "business_id", "left_semi"), "business_id", "dish_name", "id")
 
 
 def p5_found(spark: SparkSession, folder: str) -> DataFrame:

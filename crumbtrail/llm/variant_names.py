@@ -15,8 +15,10 @@ from __future__ import annotations
 import re
 import unicodedata
 from collections.abc import Callable, Iterator
+from functools import lru_cache
 from itertools import combinations
 
+import numpy as np
 import pyarrow as pa
 import xxhash
 from pyspark.sql import DataFrame, Window
@@ -40,13 +42,18 @@ def _k(length: int) -> int:
     return 1 if length < 8 else 2 if length < 14 else 3
 
 
+@lru_cache(200_000)
+def _joining(word: str) -> str:
+    return "with" if 3 <= len(word) <= 5 and word != "with" and distance(word, "with", 1) == 1 else word
+
+
 def canonical(name: str) -> tuple[list[str], int]:
     """The words of a normalised name in canonical order, and how many of them come before its first joining word."""
     s = "".join(c for c in unicodedata.normalize("NFKD", name) if not unicodedata.combining(c))
     s = re.sub(r"\bw/\s*", " with ", s).replace("&", " with ")
     s = re.sub(r"\s[-–—]\s", " with ", s)
     # A joining word is still one with a letter wrong.
-    written = ["with" if 3 <= len(w) <= 5 and w != "with" and distance(w, "with", 1) == 1 else w for w in s.split()]
+    written = [_joining(w) for w in s.split()]
     while len(written) > 1 and written[0] in ARTICLES:
         written = written[1:]
     s = " ".join(written)
@@ -162,9 +169,25 @@ def name_cost(a: list[str], fa: list[int], b: list[str], fb: list[int], floor: i
     return best[0, 0]
 
 
-def _key(*parts: object) -> int:
-    x = xxhash.xxh3_64_intdigest("\x1f".join(map(str, parts)))
-    return x - (1 << 64) if x >> 63 else x
+def _key(text: str) -> int:
+    return xxhash.xxh3_64_intdigest(text)
+
+
+def _open(scope: object, words: list[str], places: tuple[int, ...]) -> int:
+    """The key of a name with the words at these places left open."""
+    return _key(f"{scope}\x1f" + "\x1f".join(["*" if i in places else w for i, w in enumerate(words)]))
+
+
+def _rows(keys: list[int], ids: list[int], most: list[int], bits: list[int], names: tuple[str, ...]) -> pa.RecordBatch:
+    return pa.RecordBatch.from_arrays([pa.array(np.array(keys, np.uint64).view(np.int64)), pa.array(ids, pa.int64()), pa.array(np.array(bits, np.uint64).view(np.int64)), pa.array(most, pa.int32())], names=names)
+
+
+def signature(words: list[str]) -> int:
+    """64 bits, one set by each word."""
+    bits = 0
+    for w in words:
+        bits |= 1 << (_key(w) & 63)
+    return bits
 
 
 def _canonical_rows(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -179,23 +202,25 @@ def _canonical_rows(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatc
 def _index_rows(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
     """Keys of an item: its k + 1 segments with place and length, and its words with one or two left open."""
     for batch in batches:
-        keys, ids = [], []
-        for scope, item, words in zip(*(c.to_pylist() for c in batch.columns)):
+        keys, ids, most, bits = [], [], [], []
+        for scope, item, words, rare in zip(*(c.to_pylist() for c in batch.columns)):
             s = "".join(words)
             k = _k(len(s))
             cuts = [len(s) * i // (k + 1) for i in range(k + 2)]
-            found = {_key(scope, len(s), i, s[cuts[i] : cuts[i + 1]]) for i in range(k + 1)}
+            found = {_key(f"{scope}\x1f{len(s)}\x1f{i}\x1f{s[cuts[i] : cuts[i + 1]]}") for i in range(k + 1)}
             for gaps in (1, 2):
-                found |= {_key(scope, *["*" if i in open_ else w for i, w in enumerate(words)]) for open_ in combinations(range(len(words)), gaps)}
+                found |= {_open(scope, words, places) for places in combinations(range(len(words)), gaps)}
             keys += found
             ids += [item] * len(found)
-        yield pa.RecordBatch.from_arrays([pa.array(keys, pa.int64()), pa.array(ids, pa.int64())], names=["key", "item"])
+            most += [max(1, len(rare))] * len(found)
+            bits += [signature(words)] * len(found)
+        yield _rows(keys, ids, most, bits, ("key", "item", "bits_b", "open_b"))
 
 
 def _probe_rows(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
     """Keys under which a name with rare words looks for items."""
     for batch in batches:
-        keys, ids = [], []
+        keys, ids, most, bits = [], [], [], []
         for scope, item, words, rare in zip(*(c.to_pylist() for c in batch.columns)):
             s = "".join(words)
             found = set()
@@ -207,12 +232,14 @@ def _probe_rows(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
                 for i in range(k + 1):
                     n = cuts[i + 1] - cuts[i]
                     low, high = cuts[i] - (k - extra) // 2, cuts[i] + (k + extra) // 2
-                    found |= {_key(scope, length, i, s[p : p + n]) for p in range(max(0, low), min(len(s) - n, high) + 1)}
+                    found |= {_key(f"{scope}\x1f{length}\x1f{i}\x1f{s[p : p + n]}") for p in range(max(0, low), min(len(s) - n, high) + 1)}
             if 0 < len(rare) <= 2:
-                found.add(_key(scope, *["*" if i in rare else w for i, w in enumerate(words)]))
+                found.add(_open(scope, words, tuple(rare)))
             keys += found
             ids += [item] * len(found)
-        yield pa.RecordBatch.from_arrays([pa.array(keys, pa.int64()), pa.array(ids, pa.int64())], names=["key", "probe"])
+            most += [len(rare)] * len(found)
+            bits += [signature([w for i, w in enumerate(words) if i not in rare])] * len(found)
+        yield _rows(keys, ids, most, bits, ("key", "probe", "bits_a", "open_a"))
 
 
 def _verify(floor: int) -> Callable:
@@ -237,26 +264,32 @@ def near_items(items: DataFrame, floor: int = 0) -> DataFrame:
     pairs within the edits that their letters allow, and all whose words pair up with at most two rare ones. Pairs of
     words that both occur ``floor`` times or more are spellings of one only if one is RATIO times as common.
     """
-    index = items.select("scope", "item", "words").mapInArrow(_index_rows, "key long, item long")
-    probes = items.where(F.size("rare") > 0).select("scope", "item", "words", "rare").mapInArrow(_probe_rows, "key long, probe long")
-    met = probes.join(index, "key").where("probe != item").select("probe", "item").distinct()
+    index = items.select("scope", "item", "words", "rare").mapInArrow(_index_rows, "key long, item long, bits_b long, open_b int")
+    probes = items.where(F.size("rare") > 0).select("scope", "item", "words", "rare").mapInArrow(_probe_rows, "key long, probe long, bits_a long, open_a int")
+    # At least so many common words does the item lack, by the bits that words set: a pair that lacks too many goes no further.
+    lacking = F.bit_count(F.col("bits_a").bitwiseAND(F.bitwise_not("bits_b")))
+    met = probes.join(index, "key").where((F.col("probe") != F.col("item")) & (lacking <= F.col("open_b"))).select("probe", "item").distinct()
     a = items.select(F.col("item").alias("probe"), F.col("words").alias("wa"), F.col("freqs").alias("fa"), F.col("common").alias("ca"))
     b = items.select("item", F.col("words").alias("wb"), F.col("freqs").alias("fb"), F.size("rare").alias("rb"))
     # A common word only stands for a rare one of the item, or is a piece of a cut word; so most must be met.
     lacks, more = F.size(F.array_except("ca", "wb")), F.size(F.array_except("wb", "wa"))
     alike = (lacks <= F.greatest(F.lit(1), "rb")) & (more <= F.size("wa") - F.size("ca") + lacks + 1)
-    return met.join(a, "probe").join(b, "item").where(alike).select("probe", "wa", "fa", "item", "wb", "fb").mapInArrow(_verify(floor), "probe long, item long, cost double")
+    # With as many words each is compared with its like; else all letters must be nearly the same (a swap counts twice here).
+    letters = (F.size("wa") == F.size("wb")) | (F.levenshtein(F.array_join("wa", ""), F.array_join("wb", ""), 2 * _k(1 << 20)) >= 0)
+    return met.join(a, "probe").join(b, "item").where(alike & letters).select("probe", "wa", "fa", "item", "wb", "fb").mapInArrow(_verify(floor), "probe long, item long, cost double")
 
 
-def name_groups(df: DataFrame, scope: str, name: str) -> DataFrame:
+def name_groups(df: DataFrame, scope: str, name: str, record_id: str | None = None) -> DataFrame:
     """scope, name (normalised), item: each distinct name with the canonical form of what it means.
 
     Null scopes and null and blank names are left out; repeated rows count as mentions but give
-    one row. A rare spelling means the nearest item, by mentions where both have rare words; where two items are equally
+    one row. With ``record_id``, a repeated id counts once, and a null one not at all. A rare spelling means the nearest item, by mentions where both have rare words; where two items are equally
     near it is left as it is. A name that means nothing else is its own item; names without letters or digits are only equal to
     themselves. No rows, no groups. Other columns are not read.
     """
     kind = df.schema[scope].dataType.simpleString()
+    if record_id is not None:
+        df = df.where(F.col(record_id).isNotNull()).select(record_id, scope, name).dropDuplicates([record_id])
     named = df.where(F.col(scope).isNotNull()).select(F.col(scope).alias("scope"), normalize(F.col(name)).alias("name")).where(F.col("name") != "")
     counted = named.groupBy("scope", "name").agg(F.count("*").alias("mentions"))
     forms = counted.mapInArrow(_canonical_rows, f"scope {kind}, name string, mentions long, words array<string>, n_head int")

@@ -124,8 +124,8 @@ def test_all_that_a_form_proposes_is_decoded():
 
 
 @pytest.mark.parametrize(("text", "names"), [
-    ("Ask for Karen O'Brien.", ["Karen O'Brien", "Karen", "O'Brien"]), ("with Ana de la Cruz here", ["Ana de la Cruz", "Ana", "Cruz"]), ("Brandt, Tobias", ["Brandt", "Brandt, Tobias", "Tobias"]),
-    ("É. Martin", ["É. Martin", "Martin"]), ("GRETA P. HOLLINGS", ["GRETA P. HOLLINGS", "GRETA P.", "GRETA", "HOLLINGS"]), ("thanks to zoltan griverwick", ["zoltan griverwick"]),
+    ("Ask for Karen O'Brien.", ["Karen O'Brien"]), ("with Ana de la Cruz here", ["Ana de la Cruz", "Ana"]), ("Brandt, Tobias", ["Brandt", "Brandt, Tobias", "Tobias"]),
+    ("É. Martin", ["É. Martin", "Martin"]), ("GRETA P. HOLLINGS", ["GRETA P. HOLLINGS", "GRETA P.", "GRETA"]), ("thanks to zoltan griverwick", ["zoltan griverwick"]),
 ])
 def test_names_are_proposed_without_a_list(text, names):
     got = {text[s:e] for s, e, *_ in pii.name_spans(pii.Tokens(text), pii.known_words(pii.VOCABULARY))}
