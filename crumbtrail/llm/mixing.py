@@ -72,6 +72,43 @@ def _seats(claims: DataFrame, within: list[str], weight: str, cap: str, seats: s
     return taken.groupBy(*within, "name").agg(F.count("*").alias("quota"))
 
 
+def _ahead(parts: DataFrame, span: int) -> DataFrame:
+    """``parts`` with the tokens of their source's shards before them: summed over spans of shards, and inside of one."""
+    parts = parts.withColumn("_span", F.floor(F.col("shard") / F.lit(span)))
+    inside = F.sum("held").over(Window.partitionBy("source", "_span").orderBy("shard").rowsBetween(Window.unboundedPreceding, -1))
+    before = F.sum("held").over(Window.partitionBy("source").orderBy("_span").rowsBetween(Window.unboundedPreceding, -1))
+    spans = parts.groupBy("source", "_span").agg(F.sum("held").alias("held")).select("source", "_span", F.coalesce(before, F.lit(0)).alias("_before"))
+    return parts.withColumn("_inside", F.coalesce(inside, F.lit(0))).join(spans, ["source", "_span"]).withColumn("ahead", F.col("_inside") + F.col("_before")).drop("_span", "_inside", "_before")
+
+
+def _goals(targets: DataFrame) -> DataFrame:
+    goals = targets.select(normalize(F.col("source")).alias("source"), F.col("target_share").alias("share"), F.col("max_repeats").cast("long").alias("repeats"))
+    return goals.where("source IS NOT NULL AND share > 0 AND NOT isnan(share) AND repeats > 0").groupBy("source").agg(F.max(F.struct("share", "repeats")).alias("g")).select("source", "g.*")
+
+
+def _block(wish: int, blocks: int, held: int, texts: int) -> int:
+    """A block holds some texts at least, or blocks could not be of one size."""
+    return max(1, -(-wish // blocks), 2 * -(-held // max(1, texts)))
+
+
+def _takes(stock: DataFrame, block: int, wish: int) -> DataFrame:
+    """source, have, quota, take: the tokens that each source (source, share, repeats, have) gives."""
+    stock = stock.withColumn("most", F.col("have") * F.col("repeats"))
+    cap = F.ceil(F.col("most").cast("decimal(38,0)") / F.lit(block)).cast("long")
+    claims = stock.select(F.lit(0).alias("_all"), F.col("source").alias("name"), F.col("share").alias("weight"), cap.alias("cap"), F.lit(-(-wish // block)).cast("long").alias("seats"), "most")
+    quotas = _seats(claims, ["_all"], "weight", "cap", "seats", "most", block, wish).select(F.col("name").alias("source"), "quota")
+    return stock.join(quotas, "source").select("source", "have", "quota", F.least(F.col("quota") * F.lit(block), "most").alias("take"))
+
+
+def quotas(counted: DataFrame, targets: DataFrame, total_tokens: int | None = None, blocks: int = BLOCKS) -> DataFrame:
+    """source, have, quota, take of ``mixture``: the tokens of each targeted source, its blocks, and the tokens it is to give."""
+    stock = counted.where(F.col("n_tokens") > 0).join(_goals(targets), "source").groupBy("source", "share", "repeats").agg(F.sum("n_tokens").alias("have"), F.count("*").alias("n"))
+    stock = stage(stock, "stock")
+    held, n = stock.agg(F.coalesce(F.sum("have"), F.lit(0)), F.coalesce(F.sum("n"), F.lit(0))).first()
+    wish = total_tokens if total_tokens is not None else held
+    return _takes(stock.drop("n"), _block(wish, blocks, held, n), wish)
+
+
 def mixture(counted: DataFrame, targets: DataFrame, total_tokens: int | None = None, blocks: int = BLOCKS, seed: int = 0) -> DataFrame:
     """doc_id, source, n_tokens, copies of the texts taken, by ``count_tokens`` and the targets.
 
@@ -82,14 +119,10 @@ def mixture(counted: DataFrame, targets: DataFrame, total_tokens: int | None = N
     one. A source named twice takes the first row by share and repeats. The apportionment handles
     at most ``blocks`` seats, whatever the size of the collection.
     """
-    goals = targets.select(normalize(F.col("source")).alias("source"), F.col("target_share").alias("share"), F.col("max_repeats").cast("long").alias("repeats"))
-    goals = goals.where("source IS NOT NULL AND share > 0 AND NOT isnan(share) AND repeats > 0").groupBy("source").agg(F.max(F.struct("share", "repeats")).alias("g")).select("source", "g.*")
-    texts = stage(counted.where(F.col("n_tokens") > 0).join(goals, "source").select("doc_id", "source", "n_tokens", "repeats", "share"), "texts")
+    texts = stage(counted.where(F.col("n_tokens") > 0).join(_goals(targets), "source").select("doc_id", "source", "n_tokens", "repeats", "share"), "texts")
     size = texts.agg(F.sum("n_tokens"), F.count("*")).first()
     wish = total_tokens if total_tokens is not None else (size[0] or 0)
-    # A block holds some texts at least, or blocks could not be of one size.
-    block = max(1, -(-wish // blocks), 2 * -(-(size[0] or 0) // max(1, size[1])))
-    seats = -(-wish // block)
+    block = _block(wish, blocks, size[0] or 0, size[1])
     shards = max(1, size[1] // SHARD_TEXTS)
     # Places: the seeded order within a shard of a source, behind all tokens of its shards before.
     key = F.xxhash64(F.lit(seed), "doc_id")
@@ -97,14 +130,9 @@ def mixture(counted: DataFrame, targets: DataFrame, total_tokens: int | None = N
     before = F.sum("n_tokens").over(Window.partitionBy("source", "shard").orderBy("_key", "doc_id").rowsBetween(Window.unboundedPreceding, -1))
     laid = stage(texts.withColumn("place", F.coalesce(before, F.lit(0))), "laid")
     parts = laid.groupBy("source", "shard", "share", "repeats").agg(F.sum("n_tokens").alias("held"))
-    ahead = F.sum("held").over(Window.partitionBy("source").orderBy("shard").rowsBetween(Window.unboundedPreceding, -1))
-    parts = parts.withColumn("ahead", F.coalesce(ahead, F.lit(0)))  # one row per shard
-    stock = parts.groupBy("source", "share", "repeats").agg(F.sum("held").alias("have")).withColumn("most", F.col("have") * F.col("repeats"))
-    cap = F.ceil(F.col("most").cast("decimal(38,0)") / F.lit(block)).cast("long")
-    claims = stock.select(F.lit(0).alias("_all"), F.col("source").alias("name"), F.col("share").alias("weight"), cap.alias("cap"), F.lit(seats).cast("long").alias("seats"), "most")
-    quotas = _seats(claims, ["_all"], "weight", "cap", "seats", "most", block, wish).select(F.col("name").alias("source"), "quota")
-    takes = stock.join(quotas, "source").select("source", "have", F.least(F.col("quota") * F.lit(block), "most").alias("take"))
-    takes = takes.select("source", F.expr("take div have").alias("rounds"), (F.col("take") % F.col("have")).alias("rest"))
+    parts = _ahead(parts, int(shards**0.5) + 1)
+    stock = parts.groupBy("source", "share", "repeats").agg(F.sum("held").alias("have"))
+    takes = _takes(stock, block, wish).select("source", F.expr("take div have").alias("rounds"), (F.col("take") % F.col("have")).alias("rest"))
     picked = laid.join(parts.select("source", "shard", "ahead").join(takes, "source"), ["source", "shard"])
     copies = F.col("rounds") + F.when(F.col("ahead") + F.col("place") < F.col("rest"), 1).otherwise(0)
     return picked.withColumn("copies", copies.cast("long")).where("copies > 0").select("doc_id", "source", "n_tokens", "copies")

@@ -47,9 +47,9 @@ def _tag_counts(spark: SparkSession, folder: str) -> DataFrame:
     odd = ~F.coalesce(F.col("sentiment").isin("positive", "negative", "neutral"), F.lit(False))
     first = records.select("id", F.when(~odd, F.col("tags")).alias("tags"))
     path = stage_path(spark, "tag-counts")
-    merge_counts(spark, path, signed_changes(None, first, "id", "tags"))
+    merge_counts(spark, path, signed_changes(None, first, "id", "tags"), 1)
     again = records.where(odd)
-    merge_counts(spark, path, signed_changes(first.join(again.select("id").distinct(), "id", "left_semi"), again, "id", "tags"))
+    merge_counts(spark, path, signed_changes(first.join(again.select("id").distinct(), "id", "left_semi"), again, "id", "tags"), 2)
     return read_counts(spark, path)
 
 

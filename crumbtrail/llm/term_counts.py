@@ -45,11 +45,14 @@ def signed_changes(old: DataFrame | None, new: DataFrame, record_id: str, tags:
     return long.groupBy("term").agg(F.sum("s").alias("occurrences"), F.sum("r").alias("records")).where("occurrences != 0 OR records != 0")
 
 
-def merge_counts(spark: SparkSession, path: str, changes: DataFrame, buckets: int = 32) -> None:
-    """Adds the changes to the counts stored at ``path``, which is made if it isn't there.
-
-    A term that falls to nothing stays with 0, so that its partition is rewritten. The merged partitions are written
-    aside before they take their places. ``buckets`` is the number of partitions, the same for each merge.
+def merge_counts(spark: SparkSession, path: str, changes: DataFrame, delivery: int, buckets: int = 32) -> None:
+    """Adds the changes of a delivery to the counts stored at ``path``, which is made if it isn't there.
+
+    Deliveries are numbered upwards. A partition holds the number of the last one that it took, and takes none twice and
+    no older one, so that a delivery may be merged again, also after a merge that broke off between partitions. A term that falls to
+    nothing stays with 0, so that its partition is rewritten. The merged partitions are written
+    aside before they take their places. ``buckets`` is the number of partitions, the same for each merge: as many as
+    make a partition of terms some 100 MB.
     """
     changes = stage(changes.select("term", "occurrences", "records").withColumn("bucket", F.pmod(F.xxhash64("term"), F.lit(buckets)).cast("int")), "changes")
     touched = [r["bucket"] for r in changes.select("bucket").distinct().collect()]  # at most ``buckets`` numbers
@@ -57,13 +60,20 @@ def merge_counts(spark: SparkSession, path: str, changes: DataFrame, buckets: in
     there = place.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration()).exists(place)
     if there and not touched:
         return
-    both = changes.unionByName(_stored(spark, path).where(F.col("bucket").isin(touched))) if there else changes
-    merged = stage(both.groupBy("bucket", "term").agg(F.sum("occurrences").alias("occurrences"), F.sum("records").alias("records")), "merged")
+    both = changes
+    if there:
+        stored = _stored(spark, path).where(F.col("bucket").isin(touched))
+        done = {r["bucket"] for r in stored.groupBy("bucket").agg(F.max("delivery").alias("last")).where(F.col("last") >= delivery).collect()}  # at most ``buckets`` numbers
+        if not set(touched) - done:
+            return
+        both = changes.unionByName(stored.drop("delivery")).where(~F.col("bucket").isin(sorted(done)))
+    merged = both.groupBy("bucket", "term").agg(F.sum("occurrences").alias("occurrences"), F.sum("records").alias("records"))
+    merged = stage(merged.withColumn("delivery", F.lit(delivery).cast("long")), "merged")
     merged.hint("rebalance", "bucket").write.mode("overwrite").option("partitionOverwriteMode", "dynamic").partitionBy("bucket").parquet(path)
 
 
 def _stored(spark: SparkSession, path: str) -> DataFrame:
-    return spark.read.schema("term string, occurrences long, records long, bucket int").parquet(path)
+    return spark.read.schema("term string, occurrences long, records long, delivery long, bucket int").parquet(path)
 
 
 def read_counts(spark: SparkSession, path: str) -> DataFrame:

@@ -159,6 +159,32 @@ def test_mixture_is_whole_over_many_shards(spark, monkeypatch):
         assert abs(tokens["small"] / want["small"] - 1) < 0.02
 
 
+def test_offsets_over_spans_of_shards(spark):
+    r = random.Random(4)
+    rows = [(s, k, r.randint(1, 9)) for s in "ab" for k in range(50) if r.random() < 0.8]
+    want = {(s, k): sum(h for t, j, h in rows if t == s and j < k) for s, k, _ in rows}
+    for span in (1, 7, 100):
+        got = mixing._ahead(spark.createDataFrame(rows, "source string, shard long, held long"), span).collect()
+        assert {(x["source"], x["shard"]): x["ahead"] for x in got} == want
+
+
+def test_shards_far_smaller_than_blocks(spark, monkeypatch):
+    monkeypatch.setattr(mixing, "SHARD_TEXTS", 3)
+    r = random.Random(9)
+    rows = [(i, f"s{i % 5}", r.randint(50, 150)) for i in range(2000)]
+    shares = {"s0": 0.5, "s1": 0.2, "s2": 0.15, "s3": 0.1, "s4": 0.05}
+    counted = spark.createDataFrame(rows, COUNTED)
+    targets = spark.createDataFrame([(s, w, 3) for s, w in shares.items()], TARGET)
+    held = sum(x[2] for x in rows)
+    block = -(-held // 32)
+    takes = {x["source"]: x for x in mixing.quotas(counted, targets, held, 32).collect()}
+    assert {s: x["quota"] for s, x in takes.items()} == quota(shares, dict.fromkeys(shares, 99), 32)
+    got = mixing.mixture(counted, targets, held, 32).collect()
+    tokens = {s: sum(x["n_tokens"] * x["copies"] for x in got if x["source"] == s) for s in shares}
+    assert abs(sum(tokens.values()) - held) <= 5 * block
+    assert all(0 <= tokens[s] - takes[s]["take"] < 150 for s in shares)
+
+
 def test_tokens(spark):
     rows = [(1, "Hello  World", " Web\tA", 1), (1, "Hello  World", " Web\tA", 1), (2, None, None, 1), (3, "", "b", 1), (None, "x", "b", 1), (4, "a" * 200_000, "b", 1)]
     got = {x["doc_id"]: (x["source"], x["n_tokens"]) for x in mixing.count_tokens(spark.createDataFrame(rows, "doc_id long, text string, source string, n_tokens int"), "doc_id", "text", "source").collect()}

@@ -91,7 +91,7 @@ def test_signed_changes(spark, tmp_path):
         old = spark.createDataFrame([(i, t, "x", 1) for i, t in state.items()], schema) if state else None
         rows = [(i, t, "x", 1, i in gone) for i, t in new.items()]
         df = spark.createDataFrame(rows + rows[:3] + [(None, ["hot"], "x", 1, False)], schema + ", _deleted boolean")
-        term_counts.merge_counts(spark, path, term_counts.signed_changes(old, df, "id", "tags"), buckets=4)
+        term_counts.merge_counts(spark, path, term_counts.signed_changes(old, df, "id", "tags"), step + 1, buckets=4)
         state = {i: t for i, t in (state | new).items() if i not in gone}
         assert {x["term"]: (x["occurrences"], x["records"]) for x in term_counts.read_counts(spark, path).collect()} == counted(state)
 
@@ -105,18 +105,36 @@ def test_marks(spark):
 def test_only_touched_partitions_are_rewritten(spark, tmp_path):
     path = tmp_path / "counts"
     schema = "term string, occurrences long, records long"
-    term_counts.merge_counts(spark, str(path), spark.createDataFrame([(f"t{i}", 2, 1) for i in range(50)], schema))
+    term_counts.merge_counts(spark, str(path), spark.createDataFrame([(f"t{i}", 2, 1) for i in range(50)], schema), 1)
     before = {p: p.stat().st_mtime_ns for p in path.rglob("*.parquet")}
-    term_counts.merge_counts(spark, str(path), spark.createDataFrame([("t3", -2, -1)], schema))
+    term_counts.merge_counts(spark, str(path), spark.createDataFrame([("t3", -2, -1)], schema), 2)
     after = {p: p.stat().st_mtime_ns for p in path.rglob("*.parquet")}
     assert len(before.items() - after.items()) == 1
     assert {x["term"] for x in term_counts.read_counts(spark, str(path)).collect()} == {f"t{i}" for i in range(50)} - {"t3"}
 
 
+def test_a_delivery_counts_once(spark, tmp_path):
+    import shutil
+
+    path, schema = str(tmp_path / "counts"), "term string, occurrences long, records long"
+    first, second = ([(f"t{i}", 2 * k, k) for i in range(40)] for k in (1, 3))
+    term_counts.merge_counts(spark, path, spark.createDataFrame(first, schema), 1, buckets=4)
+    shutil.copytree(path, tmp_path / "old")
+    for delivery, rows in ((2, second), (2, second), (1, first)):
+        term_counts.merge_counts(spark, path, spark.createDataFrame(rows, schema), delivery, buckets=4)
+        assert {(x["occurrences"], x["records"]) for x in term_counts.read_counts(spark, path).collect()} == {(8, 4)}
+    # A merge that broke off after some partitions is made good by merging again.
+    for bucket in ("bucket=0", "bucket=2"):
+        shutil.rmtree(f"{path}/{bucket}")
+        shutil.copytree(tmp_path / "old" / bucket, f"{path}/{bucket}")
+    term_counts.merge_counts(spark, path, spark.createDataFrame(second, schema), 2, buckets=4)
+    assert {(x["occurrences"], x["records"]) for x in term_counts.read_counts(spark, path).collect()} == {(8, 4)}
+
+
 def test_counts_of_nothing(spark, tmp_path):
     empty = spark.createDataFrame([], "id long, tags array<string>")
-    for _ in range(2):
-        term_counts.merge_counts(spark, str(tmp_path / "c"), term_counts.signed_changes(None, empty, "id", "tags"))
+    for n in range(2):
+        term_counts.merge_counts(spark, str(tmp_path / "c"), term_counts.signed_changes(None, empty, "id", "tags"), n)
     assert term_counts.read_counts(spark, str(tmp_path / "c")).count() == 0
 
 
