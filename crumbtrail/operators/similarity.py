@@ -11,6 +11,8 @@ from pyspark.sql import functions as F
 
 from crumbtrail.session import stage
 
+#: Scopes up to which a table of them is sent to every executor (some 20 bytes each).
+BROADCAST_ROWS = 500_000
 #: Edges that a task turns into stars at a time.
 FOREST_EDGES = 500_000
 
@@ -54,19 +56,21 @@ def _cell_pairs(threshold: float, scope_type: pa.DataType, key_type: pa.DataType
     return run
 
 
-def similar_pairs(df: DataFrame, scope: str, key: str, vector: str, threshold: float, block: int = 500) -> DataFrame:
+def similar_pairs(df: DataFrame, scope: str, key: str, vector: str, threshold: float, block: int = 2000) -> DataFrame:
     """scope, a, b (a < b), similarity: all pairs of a scope with a cosine of at least ``threshold``.
 
     Exact, in doubles. Zero and null vectors are similar to none, nor are vectors of different lengths. A large scope
     is cut into blocks of about ``block`` vectors; each pair of blocks is a cell, one matrix product, so that a scope's
-    pairs spread over many tasks.
+    pairs spread over many tasks. A vector is sent to as many cells as its scope has blocks.
     """
     from pyspark.sql.pandas.types import to_arrow_type
 
     kinds = [df.schema[c].dataType for c in (scope, key)]
     given = df.where(F.col(vector).isNotNull() & F.col(scope).isNotNull() & (F.size(vector) > 0)).select(F.col(scope).alias("s"), F.col(key).alias("k"), F.col(vector).cast("array<double>").alias("v"))
-    sizes = given.groupBy("s").agg(F.ceil(F.count("*") / block).cast("int").alias("blocks"))
-    cut = given.join(sizes, "s").withColumn("own", F.pmod(F.xxhash64("k"), F.col("blocks")).cast("int"))
+    # Only scopes of several blocks are looked up; where they are few they are sent to all tasks, so that no scope's vectors are shuffled for it.
+    large = stage(given.groupBy("s").agg(F.ceil(F.count("*") / block).cast("int").alias("blocks")).where("blocks > 1"), "large-scopes")
+    few = large.limit(BROADCAST_ROWS + 1).count() <= BROADCAST_ROWS
+    cut = given.join(F.broadcast(large) if few else large, "s", "left").withColumn("blocks", F.coalesce("blocks", F.lit(1))).withColumn("own", F.pmod(F.xxhash64("k"), F.col("blocks")).cast("int"))
     cells = cut.select("s", "own", "k", "v", F.explode(F.sequence(F.lit(0), F.col("blocks") - 1)).alias("other"))
     cells = cells.select("s", F.least("own", "other").alias("low"), F.greatest("own", "other").alias("high"), "own", "k", "v")
     sorted_cells = cells.repartition("s", "low", "high").sortWithinPartitions("s", "low", "high")
