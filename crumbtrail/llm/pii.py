@@ -130,6 +130,7 @@ def known_words(path: str) -> Words:
 
 #: Before a name that is written small, and what no such name ends at.
 _EXPECT = frozenset(["role", "kin", "title", "thanks", "called"])
+_NOT_AFTER = frozenset(["w", "u", "W", "U", "9", "does", "possessive", "determiner", "place", "spot", "day"])
 _GOES_ON = frozenset(["w", "u", "W", "U", "determiner", "possessive", "place", "spot", "role", "kin", "day"])
 #: So many characters that long a row of words in capitals has, at least.
 _NO_SMALL = re.compile(r"[^a-zß-öø-ÿ]{12}")
@@ -161,16 +162,43 @@ def _kind(word: str, words: Words, shouted: bool) -> str:
     return known + ("l" if shouted else "A" if word.isupper() else "T" if word[0].isupper() else "l")
 
 
+class _Classes(dict):
+    """The classes of words and marks, each made out once."""
+
+    def __init__(self, words: Words):
+        self.words = words
+
+    def __missing__(self, token: str) -> str:
+        if len(self) > 500_000:
+            self.clear()
+        low = token.lower()
+        if low in _CLASS:
+            value = _CLASS[low]
+        elif low[0].isdigit():
+            value = "9"
+        elif not low[0].isalpha():
+            value = low
+        else:
+            value = "w" if low in self.words.small else "u"
+            value = value.upper() if token[0].isupper() else value
+        self[token] = value
+        return value
+
+
+_classes_of = lru_cache(_Classes)
+
+
 class Tokens:
     """The words and marks of a text, with what features ask of them."""
 
-    def __init__(self, text: str):
+    def __init__(self, text: str, words: Words):
         self.text = text
-        spans = [m.span() for m in _TOKEN.finditer(text)]
-        self.starts, self.ends = zip(*spans) if spans else ((), ())
-        self.written = [text[s:e] for s, e in spans]
+        self.written = _TOKEN.findall(text)
         self.low = [w.lower() for w in self.written]
-        self._classes: dict[int, str] = {}
+        at = 0
+        self.ends = [(at := text.index(w, at) + len(w)) for w in self.written]  # only blanks are between tokens
+        self.starts = [e - len(w) for e, w in zip(self.ends, self.written)]
+        self._classes = _classes_of(words)
         #: Words in capitals among so many others that capitals tell nothing there.
         self.shouted: set[int] = set()
         if not _NO_SMALL.search(text):
@@ -187,25 +215,11 @@ class Tokens:
         if len(run) > NAME_WORDS + 1:
             self.shouted.update(run)
 
-    def around(self, k: int, words: Words) -> str:
+    def around(self, k: int) -> str:
         """The class of a word, the mark itself, ``w`` or ``W`` for other words, unknown ones as ``u`` and ``U``, ``9`` for numbers, ``<`` outside."""
-        found = self._classes.get(k)
-        if found is None:
-            found = self._classes[k] = self._around(k, words)
-        return found
-
-    def _around(self, k: int, words: Words) -> str:
         if not 0 <= k < len(self.low):
             return "<"
-        low = self.low[k]
-        if low in _CLASS:
-            return _CLASS[low]
-        if low[0].isdigit():
-            return "9"
-        if not low[0].isalpha():
-            return low
-        kind = "w" if low in words.small else "u"
-        return kind.upper() if self.written[k][0].isupper() and k not in self.shouted else kind
+        return self._classes[self.low[k] if k in self.shouted else self.written[k]]
 
     def opens(self, k: int) -> bool:
         """Whether a sentence may begin here: after a mark that ends one or an odd one, and after more than one blank."""
@@ -242,16 +256,14 @@ def name_spans(t: Tokens, words: Words) -> list[tuple[int, int, str, int, int]]:
             continue
         pattern, j, n, comma, joined = "", k, 0, False, 0
         case = first[1]
-        if case != "l" and kinds.get(k - 1, "ll")[1] != "l" and starts[k] - ends[k - 1] == 1 and not t.opens(k - 1) and t.around(k - 1, words) not in _EXPECT:
+        if case != "l" and kinds.get(k - 1, "ll")[1] != "l" and starts[k] - ends[k - 1] == 1 and not t.opens(k - 1) and t.around(k - 1) not in _EXPECT:
             continue
         weak = case == "l" or (first == "kT" and t.opens(k))
         if case == "l":
-            before = t.around(k - 1, words)
-            if before not in _EXPECT:
-                if before[0] in "wWuU9" or before in ("does", "possessive", "determiner", "place", "spot", "day"):
-                    continue
-            else:
-                weak = False
+            before = t.around(k - 1)
+            if before in _NOT_AFTER:
+                continue
+            weak = before not in _EXPECT
         while True:
             kind = kinds.get(j)
             pattern += kind
@@ -263,7 +275,7 @@ def name_spans(t: Tokens, words: Words) -> list[tuple[int, int, str, int, int]]:
                 j += 1
                 end = t.ends[j]
             # An initial alone is no name, nor is an ordinary word written small or one in capitals among others.
-            if (n > 1 or (kind[0] != "i" and kind != "kl")) and not (case == "l" and not ("u" in pattern or "p" in pattern or "i" in pattern)) and not (weak and (n == 1 or case == "l") and t.around(j + 1, words) in _GOES_ON) and (
+            if (n > 1 or (kind[0] != "i" and kind != "kl")) and not (case == "l" and not ("u" in pattern or "p" in pattern or "i" in pattern)) and not (weak and (n == 1 or case == "l") and t.around(j + 1) in _GOES_ON) and (
                 case == "l" or j == last or kinds.get(j + 1, "kl")[1] == "l" or kinds[j + 1][0] == "k" or starts[j + 1] - end != 1
             ):
                 found.append((t.starts[k], end, pattern, k, j))
@@ -294,15 +306,15 @@ def _shape_of(pattern: str) -> str:
     return "".join(c for c in pattern if c in "TlA ,")
 
 
-def _name_features(t: Tokens, words: Words, pattern: str, k: int, j: int) -> list[str]:
-    before, before2, after, after2 = t.around(k - 1, words), t.around(k - 2, words), t.around(j + 1, words), t.around(j + 2, words)
+def _name_features(t: Tokens, pattern: str, k: int, j: int) -> list[str]:
+    before, before2, after, after2 = t.around(k - 1), t.around(k - 2), t.around(j + 1), t.around(j + 2)
     w1, w2, a1 = (t.low[x] if 0 <= x < len(t.low) else "<" for x in (k - 1, k - 2, j + 1))
     glued = "'" if a1 in ("'", "’") else a1 if j + 1 < len(t.low) and t.starts[j + 1] == t.ends[j] else ""
     opens = "^" if t.opens(k) else ""
     shape = _shape_of(pattern)
     out = [
         f"n|{pattern}", f"n|{pattern}{opens}", f"n|{shape}|{before}", f"n|{shape}{opens}|{after}", f"n|{pattern[:2]}|{before}", f"n|{pattern[-2:]}|{after}", f"n|-1 {w1}", f"n|+1 {a1}",
-        f"n|-2 {w2} {before}", f"n|of {t.around(k, words)} {t.around(j, words) if j > k else ''}", f"n|{before2} {before}{opens}", f"n|{after} {after2}", f"n|{before} {after}{opens}", f"n|{glued}{after2 if glued else ''}", f"n|{opens}{before}{glued}{len(shape)}",
+        f"n|-2 {w2} {before}", f"n|of {t.around(k)} {t.around(j) if j > k else ''}", f"n|{before2} {before}{opens}", f"n|{after} {after2}", f"n|{before} {after}{opens}", f"n|{glued}{after2 if glued else ''}", f"n|{opens}{before}{glued}{len(shape)}",
     ]
     if pattern[0] == "k":
         out.append(f"n|word {t.low[k]}{opens}")
@@ -311,7 +323,7 @@ def _name_features(t: Tokens, words: Words, pattern: str, k: int, j: int) -> lis
 
 def proposals(text: str, words: Words) -> list[tuple[int, int, str, str]]:
     """(start, end, type, form) of all candidate segments of a text."""
-    return [s[:4] for s in candidates(Tokens(text), words)]
+    return [s[:4] for s in candidates(Tokens(text, words), words)]
 
 
 def _form_spans(text: str) -> set[tuple[int, int, str, str]]:
@@ -329,9 +341,9 @@ def _shape(token: str) -> str:
     return "9" if token[0].isdigit() else "@" if not token[0].isalnum() else "l"
 
 
-def features(t: Tokens, words: Words, spans: list[tuple]) -> list[list[str]]:
+def features(t: Tokens, spans: list[tuple]) -> list[list[str]]:
     """The features of each candidate: of the whole span, and of the words before and after it."""
-    return [_name_features(t, words, s[3], s[4], s[5]) if s[4] >= 0 else _form_features(t, *s[:4]) for s in spans]
+    return [_name_features(t, s[3], s[4], s[5]) if s[4] >= 0 else _form_features(t, *s[:4]) for s in spans]
 
 
 def _form_features(t: Tokens, start: int, end: int, kind: str, form: str) -> list[str]:
@@ -553,10 +565,10 @@ def train(vocabulary: str = VOCABULARY, sentences: int = TRAINING, passes: int =
         text, cases = maker.sentence()
         if len(text) != len(text.lower()):
             continue
-        t = Tokens(text)
+        t = Tokens(text, words)
         if spans := candidates(t, words):
             gold = set(cases)
-            data.append((spans, features(t, words, spans), [s[:3] in gold for s in spans]))
+            data.append((spans, features(t, spans), [s[:3] in gold for s in spans]))
     weights: dict[str, float] = {}
     squares: dict[str, float] = {}
     for _ in range(passes):
@@ -610,10 +622,10 @@ def stretches(text: str) -> list[tuple[int, int]]:
 
 def find(text: str, weights: dict[str, float], words: Words) -> list[tuple[int, int, str]]:
     """(start, end, type) of the personal information in a text, in order."""
-    t = Tokens(text)
+    t = Tokens(text, words)
     spans, scores = [], []
     for span in candidates(t, words):
-        score = sum(map(weights.get, _name_features(t, words, span[3], span[4], span[5]) if span[4] >= 0 else _form_features(t, *span[:4]), repeat(0.0)))
+        score = sum(map(weights.get, _name_features(t, span[3], span[4], span[5]) if span[4] >= 0 else _form_features(t, *span[:4]), repeat(0.0)))
         if span[4] >= 0:
             score -= SMALL_PRIOR if "l" in span[3] else ORDINARY_PRIOR if span[3] == "kT" else 0
         if score > 0:  # what lowers the sum is in no best set
