@@ -250,8 +250,8 @@ def blurbs_to_write(spark: SparkSession, folder: str) -> DataFrame:
     return ranking.rank_dishes(d).withColumn("facts", providers.facts()).join(new, ["business_id", "name", "facts"], "left_semi").select("business_id", "id")
 
 
-@query(f"""WITH {_D}, {_B}, {_ranked('d')} SELECT k.id, 'Restaurant: ' || b.name || chr(10) || 'Dish: ' || k.name || chr(10) || 'Mentions: ' || mention_count || ' (' || positive_count || ' positive, ' || negative_count || ' negative)' || chr(10)
-    || 'Common tags from reviewers: ' || CASE WHEN len(tags) > 0 THEN array_to_string(tags, ', ') ELSE 'no specific tags recorded' END AS prompt FROM k JOIN b ON b.id = k.business_id WHERE rank <= 10""")
+@query(f"""WITH {_D}, {_B}, {_ranked('d')} SELECT k.id, 'Write one sentence on ' || k.name || ' at ' || b.name || '. It came up ' || mention_count || ' times; ' || positive_count || ' liked it, ' || negative_count || ' did not. Guests wrote: '
+    || CASE WHEN len(tags) > 0 THEN array_to_string(tags, ', ') ELSE 'nothing in particular' END || '.' AS prompt FROM k JOIN b ON b.id = k.business_id WHERE rank <= 10""")
 def blurb_prompts(spark: SparkSession, folder: str) -> DataFrame:
     named = businesses(spark, folder).select(F.col("id").alias("business_id"), F.col("name").alias("business_name"))
     return ranking.rank_dishes(dishes(spark, folder, *_DISH_COLUMNS)).join(named, "business_id").select("id", providers.prompt().alias("prompt"))

@@ -143,8 +143,8 @@ def embed(names: DataFrame, text: str, embedder: Callable[[list[str]], list[list
 def prompt(business: str = "business_name"):
     """The facts handed to a blurb writer, as text."""
     return F.concat(
-        F.lit("Restaurant: "), F.col(business), F.lit("\nDish: "), F.col("name"), F.lit("\nMentions: "), F.col("mention_count").cast("string"), F.lit(" ("), F.col("positive_count").cast("string"), F.lit(" positive, "),
-        F.col("negative_count").cast("string"), F.lit(" negative)\nCommon tags from reviewers: "), tags_text(F.col("tags"), "no specific tags recorded"),
+        F.lit("Write one sentence on "), F.col("name"), F.lit(" at "), F.col(business), F.lit(". It came up "), F.col("mention_count").cast("string"), F.lit(" times; "), F.col("positive_count").cast("string"), F.lit(" liked it, "),
+        F.col("negative_count").cast("string"), F.lit(" did not. Guests wrote: "), tags_text(F.col("tags"), "nothing in particular"), F.lit("."),
     )
 
 
