@@ -14,7 +14,7 @@ from __future__ import annotations
 
 import re
 import unicodedata
-from collections.abc import Callable, Iterator
+from collections.abc import Callable, Iterator, Sequence
 from functools import lru_cache
 from itertools import combinations
 
@@ -35,6 +35,8 @@ RARE_SHARE, RARE_LEAST = 0.1, 3
 #: How many times as common the right spelling is, at least.
 RATIO = 4
 SHORT_INITIALS, LONG_INITIALS = 3, 8
+#: Distinct words up to which they are sent to every executor (some 50 bytes each).
+BROADCAST_ROWS = 300_000
 
 
 def _k(length: int) -> int:
@@ -173,20 +175,32 @@ def _key(text: str) -> int:
     return xxhash.xxh3_64_intdigest(text)
 
 
-def _open(scope: object, words: list[str], places: tuple[int, ...]) -> int:
-    """The key of a name with the words at these places left open."""
-    return _key(f"{scope}\x1f" + "\x1f".join(["*" if i in places else w for i, w in enumerate(words)]))
+@lru_cache(500_000)
+def _part(place: int, word: str) -> int:
+    return _key(f"{place}\x1f{word}")
+
+
+def _open(scope: object, words: list[str]) -> Callable[[Sequence[int]], int]:
+    """Gives the key of a name with the words at some places left open: a sum over its places."""
+    parts = [_part(i, w) for i, w in enumerate(words)]
+    whole, less = _key(f"{scope}\x1f{len(words)}") + sum(parts), [p - _part(i, "*") for i, p in enumerate(parts)]
+    return lambda places: (whole - sum([less[i] for i in places])) & (2**64 - 1)
 
 
 def _rows(keys: list[int], ids: list[int], most: list[int], bits: list[int], names: tuple[str, ...]) -> pa.RecordBatch:
     return pa.RecordBatch.from_arrays([pa.array(np.array(keys, np.uint64).view(np.int64)), pa.array(ids, pa.int64()), pa.array(np.array(bits, np.uint64).view(np.int64)), pa.array(most, pa.int32())], names=names)
 
 
+@lru_cache(500_000)
+def _bit(word: str) -> int:
+    return 1 << (_key(word) & 63)
+
+
 def signature(words: list[str]) -> int:
     """64 bits, one set by each word."""
     bits = 0
     for w in words:
-        bits |= 1 << (_key(w) & 63)
+        bits |= _bit(w)
     return bits
 
 
@@ -208,8 +222,9 @@ def _index_rows(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
             k = _k(len(s))
             cuts = [len(s) * i // (k + 1) for i in range(k + 2)]
             found = {_key(f"{scope}\x1f{len(s)}\x1f{i}\x1f{s[cuts[i] : cuts[i + 1]]}") for i in range(k + 1)}
+            opened = _open(scope, words)
             for gaps in (1, 2):
-                found |= {_open(scope, words, places) for places in combinations(range(len(words)), gaps)}
+                found.update(map(opened, combinations(range(len(words)), gaps)))
             keys += found
             ids += [item] * len(found)
             most += [max(1, len(rare))] * len(found)
@@ -234,7 +249,7 @@ def _probe_rows(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
                     low, high = cuts[i] - (k - extra) // 2, cuts[i] + (k + extra) // 2
                     found |= {_key(f"{scope}\x1f{length}\x1f{i}\x1f{s[p : p + n]}") for p in range(max(0, low), min(len(s) - n, high) + 1)}
             if 0 < len(rare) <= 2:
-                found.add(_open(scope, words, tuple(rare)))
+                found.add(_open(scope, words)(rare))
             keys += found
             ids += [item] * len(found)
             most += [len(rare)] * len(found)
@@ -297,13 +312,17 @@ def name_groups(df: DataFrame, scope: str, name: str, record_id: str | None = No
     # The compact form is the item: names that differ in spaces and order only share it.
     forms = stage(forms.withColumn("compact", F.array_join("words", "")).withColumn("item", F.xxhash64("scope", "compact")), "names")
 
-    terms = stage(forms.select(F.explode(F.array_distinct("words")).alias("word")).groupBy("word").agg(F.count("*").alias("df")), "words")
-    middle = forms.select(F.explode("words").alias("word")).join(terms, "word").agg(F.percentile_approx("df", 0.5, 1000)).first()[0]
+    # Each word's names, and how often it stands in any; the median word is that of all places.
+    seen = forms.select(F.posexplode("words").alias("at", "word"), "words").select("word", (F.array_position("words", F.col("word")) == F.col("at") + 1).cast("long").alias("first"))
+    terms = stage(seen.groupBy("word").agg(F.sum("first").alias("df"), F.count("*").alias("places")), "words")
+    middle = terms.agg(F.percentile("df", 0.5, F.col("places"))).first()[0]
     floor = max(RARE_LEAST, int(RARE_SHARE * (middle or 0)))
     # An item's words: those of its most mentioned name.
     best = F.max_by(F.struct("words", "n_head"), F.struct("mentions", F.size("words"), "name"))
     items = forms.groupBy("scope", "item").agg(best.alias("b"), F.sum("mentions").alias("mentions")).select("scope", "item", "b.*", "mentions")
-    long = items.select("item", F.posexplode("words").alias("pos", "word")).join(terms, "word")
+    dfs = terms.select("word", "df")
+    few = dfs.limit(BROADCAST_ROWS + 1).count() <= BROADCAST_ROWS
+    long = items.select("item", F.posexplode("words").alias("pos", "word")).join(F.broadcast(dfs) if few else dfs, "word")
     freqs = long.groupBy("item").agg(F.transform(F.sort_array(F.collect_list(F.struct("pos", "df"))), lambda x: x["df"]).alias("freqs"))
     items = items.join(freqs, "item").withColumn("rare", F.filter(F.transform("freqs", lambda f, i: F.when(f < floor, i)), lambda i: i.isNotNull()))
     items = items.withColumn("common", F.array_compact(F.zip_with("words", "freqs", lambda w, f: F.when(f >= floor, w))))

@@ -3,6 +3,7 @@ import re
 from collections import Counter, defaultdict
 
 import pytest
+from pyspark.sql import functions as F
 
 from crumbtrail.llm import grid_components, score_bands, term_counts, variant_names
 
@@ -233,6 +234,23 @@ def test_no_names(spark):
     assert re.fullmatch(r"[a-z]+", "".join(variant_names.canonical("x" * 5000)[0]))
 
 
+def test_a_mention_delivered_twice_counts_once(spark):
+    # The spelling with more mentions stands for the dish; the second one's rows are one mention delivered three times.
+    rows = [(1, 1, "zarzuela"), (2, 1, "zarzuela"), (3, 1, "zarzuella"), (3, 1, "zarzuella"), (3, 1, "zarzuella"), (None, 1, "zarzuella"), (None, 1, "zarzuella")]
+    df = spark.createDataFrame(rows, "id long, business_id long, dish_name string")
+
+    def means(**how):
+        got = {r["name"]: r["item"] for r in variant_names.name_groups(df, "business_id", "dish_name", **how).collect()}
+        assert got["zarzuela"] == got["zarzuella"]
+        return got["zarzuela"]
+
+    assert means(record_id="id") == variant_names_item(spark, "zarzuela") and means() == variant_names_item(spark, "zarzuella")
+
+
+def variant_names_item(spark, compact):
+    return spark.range(1).select(F.xxhash64(F.lit(1).cast("long"), F.lit(compact))).first()[0]
+
+
 def test_rare_words_are_spellings_whatever_their_frequencies(spark):
     rows = [(1, "zarzuela"), (1, "zarzuela"), (1, "zarzuela with rice"), (1, "zarzeula"), (2, "old cachupa"), (2, "old cachupa"), (2, "old cachuppa"), (3, "zarzeula")]
     df = spark.createDataFrame(rows, "business_id long, dish_name string")
