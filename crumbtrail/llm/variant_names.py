@@ -289,8 +289,15 @@ def near_items(items: DataFrame, floor: int = 0) -> DataFrame:
     # A common word only stands for a rare one of the item, or is a piece of a cut word; so most must be met.
     lacks, more = F.size(F.array_except("ca", "wb")), F.size(F.array_except("wb", "wa"))
     alike = (lacks <= F.greatest(F.lit(1), "rb")) & (more <= F.size("wa") - F.size("ca") + lacks + 1)
-    # With as many words each is compared with its like; else all letters must be nearly the same (a swap counts twice here).
-    letters = (F.size("wa") == F.size("wb")) | (F.levenshtein(F.array_join("wa", ""), F.array_join("wb", ""), 2 * _k(1 << 20)) >= 0)
+    # With as many words, each must be near its like or may shorten it; else all letters must be nearly the same (a swap counts twice here).
+    def like(pair):
+        x, y = pair["wa"], pair["wb"]
+        short, long = F.when(F.length(x) <= F.length(y), x).otherwise(y), F.when(F.length(x) <= F.length(y), y).otherwise(x)
+        cut = (F.length(short) >= 3) & (F.length(short) <= 0.8 * F.length(long)) & ((F.substring(short, 1, 1) == F.substring(long, 1, 1)) | F.endswith(long, short))
+        return (x == y) | cut | (F.levenshtein(x, y, 4) >= 0)
+
+    each = (F.size("wa") == F.size("wb")) & F.forall(F.arrays_zip("wa", "wb"), like)
+    letters = each | (F.levenshtein(F.array_join("wa", ""), F.array_join("wb", ""), 2 * _k(1 << 20)) >= 0)
     return met.join(a, "probe").join(b, "item").where(alike & letters).select("probe", "wa", "fa", "item", "wb", "fb").mapInArrow(_verify(floor), "probe long, item long, cost double")
 
 
