@@ -80,7 +80,7 @@ SQL = {
         dg AS (SELECT DISTINCT doc_id, list_slice(w, i, i + {RUN_WORDS - 1}) AS g FROM (SELECT doc_id, w, unnest(range(1, len(w) - {RUN_WORDS - 2})) AS i FROM d)),
         eg AS (SELECT DISTINCT item_id, list_slice(w, i, i + {RUN_WORDS - 1}) AS g FROM (SELECT item_id, w, unnest(range(1, len(w) - {RUN_WORDS - 2})) AS i FROM e))
         SELECT DISTINCT doc_id, item_id FROM dg JOIN eg USING (g)""",
-    "p9_quotas": f"""
+    "p9_quotas": rf"""
         WITH c AS (SELECT lower(trim(regexp_replace(source, '\s+', ' ', 'g'))) AS source, len({_WORDS.format("coalesce(text, '')")}) AS n FROM documents),
         g AS (SELECT source, g.share AS share, g.repeats AS repeats FROM (SELECT lower(trim(regexp_replace(source, '\s+', ' ', 'g'))) AS source, max({{'share': target_share, 'repeats': max_repeats}}) AS g FROM mix_targets WHERE target_share > 0 AND max_repeats > 0 GROUP BY 1)),
         t AS (SELECT source, share, repeats, n FROM c JOIN g USING (source) WHERE n > 0),
