@@ -34,4 +34,11 @@ SQL = {
         n AS (SELECT id, count(*) AS n FROM g GROUP BY id),
         o AS (SELECT a.id AS id_a, b.id AS id_b, count(*) AS hits FROM g a JOIN g b ON a.t = b.t AND a.id < b.id GROUP BY 1, 2)
         SELECT id_a, id_b FROM o JOIN n x ON x.id = id_a JOIN n y ON y.id = id_b WHERE 2 * hits >= x.n + y.n - hits""",
+    "p1_links": r"""
+        WITH r AS (SELECT id, any_value(regexp_extract_all(lower(review_text), '[\p{L}\p{N}]+')) AS w FROM reviews GROUP BY id),
+        c AS (SELECT min(id) AS id, w FROM r WHERE len(w) >= 20 GROUP BY w),
+        g AS (SELECT DISTINCT id, w[i] || ' ' || w[i + 1] || ' ' || w[i + 2] AS t FROM (SELECT id, w, unnest(range(1, len(w) - 1)) AS i FROM c)),
+        n AS (SELECT id, count(*) AS n FROM g GROUP BY id),
+        o AS (SELECT a.id AS a, b.id AS b, count(*) AS hits FROM g a JOIN g b ON a.t = b.t AND a.id < b.id GROUP BY 1, 2)
+        SELECT a, b, CAST(hits AS DOUBLE) / (x.n + y.n - hits) AS similarity FROM o JOIN n x ON x.id = a JOIN n y ON y.id = b WHERE 2 * hits >= x.n + y.n - hits""",
 }
