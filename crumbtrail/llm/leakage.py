@@ -71,7 +71,7 @@ def build_index(docs: DataFrame, doc_id: str, text: str) -> DataFrame:
     """
     kind = docs.schema[doc_id].dataType.simpleString()
     given = docs.where(F.col(doc_id).isNotNull() & (F.length(text) > 0)).select(F.col(doc_id).alias("doc_id"), F.col(text).alias("text"))
-    return stage(given.mapInArrow(_segments(SEGMENT_LETTERS), f"ids array<{kind}>, terms array<long>, counts array<int>, docs array<int>, places array<int>"), "index")
+    return stage(given.mapInArrow(_segments(SEGMENT_LETTERS), f"ids array<{kind}>, terms array<long>, counts array<int>, docs array<int>, places array<int>"), "index", group_rows=1)
 
 
 def _passage_words(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:

@@ -49,16 +49,19 @@ def stage_path(spark: SparkSession, name: str) -> str:
     return path
 
 
-def stage(df: DataFrame, name: str, partition_by: str | None = None) -> DataFrame:
+def stage(df: DataFrame, name: str, partition_by: str | None = None, group_rows: int | None = None) -> DataFrame:
     """``df`` written to the shared folder and read back.
 
     This cuts the lineage, keeps the rows through the loss of any executor, and lets later
-    reads prune columns and partitions.
+    reads prune columns and partitions. Spark decodes thousands of rows at a time, but never beyond a row group: a table
+    whose rows are large needs ``group_rows``, the rows of a row group at most.
     """
     spark = df.sparkSession
     path = stage_path(spark, name)
     writer = df.write.mode("error").option("compression", "zstd")
     if partition_by:
         writer = writer.partitionBy(partition_by)
+    if group_rows:
+        writer = writer.option("parquet.block.row.count.limit", group_rows)
     writer.parquet(path)
     return spark.read.schema(df.schema).parquet(path)
