@@ -19,6 +19,7 @@ from functools import lru_cache
 
 import numpy as np
 import pyarrow as pa
+import zstandard
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
@@ -38,7 +39,24 @@ BATCH_LETTERS = 6_000_000
 #: Stand for the start of a segment, and tell words as firsts and as seconds of a pair apart.
 START, FIRST, SECOND = (np.uint64(x) for x in (0x9E3779B97F4A7C15, 0xC2B2AE3D27D4EB4F, 0x165667B19E3779F9))
 
-BATCH = "batch long, classes array<long>, seg_page array<int>, seg_ended array<boolean>, seg_chars array<int>, seg_pairs array<int>, pair array<int>, weight array<int>, first array<int>, second array<int>, keys array<long>, n array<int>, df array<int>"
+BATCH = "batch long, n_classes long, n_tokens long, packed binary, keys array<long>, n array<int>, df array<int>"
+#: What is packed: classes; page, end, characters and tokens of segments; pairs of tokens; weights, firsts and seconds of pairs.
+PACKED = (np.int64, np.int32, np.bool_, np.int32, np.int32, np.int32, np.int32, np.int32, np.int32)
+
+
+def _pack(parts: list) -> bytes:
+    arrays = [np.asarray(x).astype(kind) for x, kind in zip(parts, PACKED)]
+    head = np.array([len(a) for a in arrays], np.int64)
+    return zstandard.compress(b"".join(a.tobytes() for a in [head, *arrays]), 1)
+
+
+def _unpack(packed: bytes) -> list[np.ndarray]:
+    raw = zstandard.decompress(packed)
+    at, out = 8 * len(PACKED), []
+    for kind, n in zip(PACKED, np.frombuffer(raw, np.int64, len(PACKED)).tolist()):
+        out.append(np.frombuffer(raw, kind, n, at))
+        at += out[-1].nbytes
+    return out
 
 
 @lru_cache
@@ -77,9 +95,9 @@ def _tokens(texts: list[str]) -> tuple[np.ndarray, ...]:
 
 
 def _counted(classes: list[int], texts: list[str]) -> pa.RecordBatch:
-    """The batch of some pages as one row: its segments and pairs, and its distinct keys with their counts.
+    """The batch of some pages as one row: its segments and pairs, packed, and its distinct keys with their counts.
 
-    Pairs are numbered by the batch; ``keys`` are pairs first, then words as firsts and as seconds.
+    Packed, a row stays small in Java's memory, where rows are held by the task. Pairs are numbered by the batch; ``keys`` are pairs first, then words as firsts and as seconds.
     """
     token, letters, seg, page, ended, chars = _tokens(texts)
     # Segments without a token are none.
@@ -94,10 +112,10 @@ def _counted(classes: list[int], texts: list[str]) -> pa.RecordBatch:
     in_page = np.unique(page[seg] * len(pairs) + code)
     df = np.bincount(in_page % max(1, len(pairs)), minlength=len(pairs))
     keys = np.r_[pairs, mix(firsts ^ FIRST), mix(seconds ^ SECOND)].view(np.int64)
-    row = [[classes[0]], classes, page, ended, chars, size, code, weight[at], first[at] + len(pairs), second[at] + len(pairs) + len(firsts), keys, np.r_[n, n1, n2], np.r_[df, np.zeros(len(firsts) + len(seconds), np.int64)]]
-    kinds = [pa.int64(), pa.int64(), pa.int32(), pa.bool_(), *[pa.int32()] * 6, pa.int64(), pa.int32(), pa.int32()]
-    flat = [pa.array(values, kind) for values, kind in zip(row, kinds)]
-    return pa.RecordBatch.from_arrays([flat[0], *[pa.ListArray.from_arrays(pa.array([0, len(v)], pa.int32()), v) for v in flat[1:]]], names=[x.split()[0] for x in BATCH.split(", ")])
+    packed = _pack([classes, page, ended, chars, size, code, weight[at], first[at] + len(pairs), second[at] + len(pairs) + len(firsts)])
+    lists = [(keys, pa.int64()), (np.r_[n, n1, n2], pa.int32()), (np.r_[df, np.zeros(len(firsts) + len(seconds), np.int64)], pa.int32())]
+    single = [pa.array([classes[0]], pa.int64()), pa.array([len(classes)], pa.int64()), pa.array([len(code)], pa.int64()), pa.array([packed], pa.binary())]
+    return pa.RecordBatch.from_arrays([*single, *[pa.ListArray.from_arrays(pa.array([0, len(v)], pa.int32()), pa.array(v, kind)) for v, kind in lists]], names=[x.split()[0] for x in BATCH.split(", ")])
 
 
 def _count(most: int) -> Callable:
@@ -120,13 +138,13 @@ def _count(most: int) -> Callable:
 
 
 def _judge(all_pairs: int, n_pages: int) -> Callable:
-    """Scores of the pages of batches (in the order of ``BATCH``, without keys) with ``known``: code, c and d of what others have too."""
+    """Scores of the pages of batches: packed, n and df (as in ``BATCH``), and ``known``: code, c and d of what others have too."""
 
     def scores(row: list) -> tuple[np.ndarray, ...]:
-        classes, page, ended, chars, size, code, weight, first, second, n, df = (row[k].values.to_numpy(zero_copy_only=False) for k in range(1, 12))
-        c, d = n.astype(np.int64), df.astype(np.int64)
-        if row[12].is_valid:
-            known = row[12].values
+        classes, page, ended, chars, size, code, weight, first, second = _unpack(row[0].as_py())
+        c, d = (row[k].values.to_numpy().astype(np.int64) for k in (1, 2))
+        if row[3].is_valid:
+            known = row[3].values
             at = known.field(0).to_numpy()
             c[at], d[at] = known.field(1).to_numpy(), known.field(2).to_numpy()
         seg = np.repeat(np.arange(len(size)), size)
@@ -171,14 +189,14 @@ def page_scores(docs: DataFrame, doc_id: str, text: str) -> DataFrame:
     known from elsewhere, so its pages are all spam by this measure: it needs a collection. Other columns are not read.
     """
     named = docs.where(F.col(doc_id).isNotNull() & (F.length(text) > 0)).select(F.col(doc_id).alias("doc_id"), F.col(text).alias("text"), F.xxhash64(text).alias("class"))
-    pages = stage(named.select("class", "text").dropDuplicates(["class"]).mapInArrow(_count(BATCH_LETTERS), BATCH), "pages")
-    size = pages.agg(F.coalesce(F.sum(F.size("pair")), F.lit(0)), F.coalesce(F.sum(F.size("classes")), F.lit(0))).first()
+    pages = stage(named.select("class", "text").dropDuplicates(["class"]).mapInArrow(_count(BATCH_LETTERS), BATCH), "pages", group_rows=1)
+    size = pages.agg(F.coalesce(F.sum("n_tokens"), F.lit(0)), F.coalesce(F.sum("n_classes"), F.lit(0))).first()
     rows = pages.select("batch", F.posexplode(F.arrays_zip("keys", "n", "df")).alias("code", "x")).select("batch", "code", "x.keys", "x.n", "x.df")
     # A key has one row for each batch at most, so that none is more than any other's share of a task.
     w = Window.partitionBy("keys")
     summed = rows.select("batch", "code", F.sum("n").over(w).alias("c"), F.sum("df").over(w).alias("d"), F.count("*").over(w).alias("_batches"))
     back = summed.where("_batches > 1").groupBy("batch").agg(F.collect_list(F.struct("code", "c", "d")).alias("known"))  # at most a batch's keys
-    scores = pages.drop("keys").join(back, "batch", "left").mapInArrow(_judge(*size), "class long, mean_pmi double, stuffed_share double, spam_share double")
+    scores = pages.select("batch", "packed", "n", "df").join(back, "batch", "left").drop("batch").mapInArrow(_judge(*size), "class long, mean_pmi double, stuffed_share double, spam_share double")
     return named.select("doc_id", "class").distinct().join(scores, "class").drop("class")
 
 
