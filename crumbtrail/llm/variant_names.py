@@ -15,7 +15,7 @@ from __future__ import annotations
 import re
 import unicodedata
 from collections.abc import Callable, Iterator, Sequence
-from functools import lru_cache
+from functools import lru_cache, reduce
 from itertools import combinations
 
 import numpy as np
@@ -37,6 +37,8 @@ RATIO = 4
 SHORT_INITIALS, LONG_INITIALS = 3, 8
 #: Distinct words up to which they are sent to every executor (some 50 bytes each).
 BROADCAST_ROWS = 300_000
+#: Items whose keys are joined at a time (some 600 bytes of disk each), or those of one larger scope.
+ROUND_ITEMS = 500_000
 
 
 def _k(length: int) -> int:
@@ -326,7 +328,7 @@ def name_groups(df: DataFrame, scope: str, name: str, record_id: str | None = No
     floor = max(RARE_LEAST, int(RARE_SHARE * (middle or 0)))
     # An item's words: those of its most mentioned name.
     best = F.max_by(F.struct("words", "n_head"), F.struct("mentions", F.size("words"), "name"))
-    items = forms.groupBy("scope", "item").agg(best.alias("b"), F.sum("mentions").alias("mentions")).select("scope", "item", "b.*", "mentions")
+    items = stage(forms.groupBy("scope", "item").agg(best.alias("b"), F.sum("mentions").alias("mentions")).select("scope", "item", "b.*", "mentions"), "item-words")
     dfs = terms.select("word", "df")
     few = dfs.limit(BROADCAST_ROWS + 1).count() <= BROADCAST_ROWS
     long = items.select("item", F.posexplode("words").alias("pos", "word")).join(F.broadcast(dfs) if few else dfs, "word")
@@ -335,7 +337,10 @@ def name_groups(df: DataFrame, scope: str, name: str, record_id: str | None = No
     items = items.withColumn("common", F.array_compact(F.zip_with("words", "freqs", lambda w, f: F.when(f >= floor, w))))
     items = stage(items, "items")
 
-    near = near_items(items, floor)
+    # Keys hold their scope, so scopes are joined in rounds: only one round's keys are on disk at a time.
+    rounds = -(-items.count() // ROUND_ITEMS)
+    of = F.pmod(F.xxhash64("scope", F.lit("round")), F.lit(max(1, rounds)))
+    near = reduce(DataFrame.unionByName, [stage(near_items(items.where(of == k), floor), "near") for k in range(max(1, rounds))])
     # A rare spelling means the nearest item; of items with rare words themselves, only a more common one.
     side = items.select("item", F.size("rare").alias("n_rare"), "mentions")
     own = items.select(F.col("item").alias("probe"), F.size("rare").alias("own_rare"), F.col("mentions").alias("own"))
@@ -363,5 +368,6 @@ def name_groups(df: DataFrame, scope: str, name: str, record_id: str | None = No
 
 def name_pairs(groups: DataFrame, scope: str) -> DataFrame:
     """scope, name_a, name_b (name_a < name_b): all pairs of names that mean one item."""
+    groups = stage(groups, "groups")  # both sides read it
     a, b = groups.select(scope, "item", F.col("name").alias("name_a")), groups.select(scope, "item", F.col("name").alias("name_b"))
     return a.join(b, [scope, "item"]).where("name_a < name_b").select(scope, "name_a", "name_b")

@@ -8,6 +8,8 @@ import uuid
 
 from pyspark.sql import DataFrame, SparkSession
 
+CLEANUP = "spark.sql.classic.shuffleDependency.fileCleanup.enabled"
+
 
 def local_session(cores: int = 8, partitions: int = 8) -> SparkSession:
     """A session for tests and the bench; a cluster brings its own settings."""
@@ -53,7 +55,8 @@ def stage(df: DataFrame, name: str, partition_by: str | None = None, group_rows:
     """``df`` written to the shared folder and read back.
 
     This cuts the lineage, keeps the rows through the loss of any executor, and lets later
-    reads prune columns and partitions. Spark decodes thousands of rows at a time, but never beyond a row group: a table
+    reads prune columns and partitions. The shuffle files of this job are removed with its end, as nothing reads them
+    again; else they stay until the driver collects its garbage. Spark decodes thousands of rows at a time, but never beyond a row group: a table
     whose rows are large needs ``group_rows``, the rows of a row group at most.
     """
     spark = df.sparkSession
@@ -63,5 +66,10 @@ def stage(df: DataFrame, name: str, partition_by: str | None = None, group_rows:
         writer = writer.partitionBy(partition_by)
     if group_rows:
         writer = writer.option("parquet.block.row.count.limit", group_rows)
-    writer.parquet(path)
+    before = spark.conf.get(CLEANUP, "false")
+    spark.conf.set(CLEANUP, "true")
+    try:
+        writer.parquet(path)
+    finally:
+        spark.conf.set(CLEANUP, before)
     return spark.read.schema(df.schema).parquet(path)
