@@ -1,5 +1,8 @@
 """What a job has on disk at a time: shuffle files go with their stage, and large joins run in rounds."""
 
+import random
+
+from crumbtrail.llm import near_duplicates as module
 from crumbtrail.llm import variant_names
 from crumbtrail.session import stage
 
@@ -31,3 +34,20 @@ def test_rounds_give_the_same_groups(spark, monkeypatch):
     monkeypatch.setattr(variant_names, "near_items", lambda items, floor: joined.append(items.count()) or near(items, floor))
     assert groups() == whole
     assert len(joined) > 3 and max(joined) < sum(joined) / 2
+
+
+def test_rounds_give_the_same_links(spark, monkeypatch):
+    r = random.Random(3)
+    texts = [[f"w{r.randrange(300)}" for _ in range(40)] for _ in range(60)]
+    texts += [[*t[:20], "other", *t[21:]] for t in texts[:20]]
+    df = spark.createDataFrame([(i, " ".join(t)) for i, t in enumerate(texts)], "id long, text string")
+
+    def links():
+        return sorted(map(tuple, module.near_duplicates(df, "id", "text")[1].collect()))
+
+    whole, parts = links(), []
+    monkeypatch.setattr(module, "ROUND_BUCKETS", 5)
+    emit = module._emit
+    monkeypatch.setattr(module, "_emit", lambda *args: parts.append(args[-1]) or emit(*args))
+    assert links() == whole and len(whole) == 20
+    assert parts == [(0, 3), (1, 3), (2, 3)]
