@@ -18,10 +18,11 @@ import math
 import random
 import re
 from bisect import bisect_left, bisect_right
-from collections.abc import Iterator
+from collections.abc import Callable, Iterator
 from dataclasses import dataclass
-from functools import lru_cache
-from itertools import repeat
+from functools import cached_property, lru_cache
+from itertools import accumulate, chain, repeat
+from operator import itemgetter
 
 import pyarrow as pa
 from pyspark.sql import DataFrame
@@ -104,7 +105,10 @@ _NUMBER = re.compile(r"\d[\d\-. ()/]*")
 _LEAST_NUMBER, _LEAST_MIXED = 5, 7
 _ROAD_AFTER = re.compile(rf"[a-z]?\s+(?:[^\W\d_][\w'’.-]*\s+){{1,3}}(?:{_STREET})\b(?:\.?,?\s+{_UNIT})?", re.IGNORECASE)
 _MIXED = re.compile(r"\d[a-z0-9-]*", re.IGNORECASE)
-_AT_WORD = re.compile(r"@|(?<=[\s\[(])at(?!\w)", re.IGNORECASE)
+_AT_WORD = re.compile(r"[@aA](?:(?<=@)|(?<=[\s\[(][aA])[tT](?!\w))")
+# Without either, no place follows.
+_POINT = re.compile(r"\.[\w-]")
+_DIGIT = re.compile(r"\d")
 _PLACE_AFTER = re.compile(rf"\s*[\])]?\s*[\w-]+(?:{_DOT}[\w-]*\w)+", re.IGNORECASE)
 
 
@@ -133,24 +137,27 @@ _EXPECT = frozenset(["role", "kin", "title", "thanks", "called"])
 _NOT_AFTER = frozenset(["w", "u", "W", "U", "9", "does", "possessive", "determiner", "place", "spot", "day"])
 _GOES_ON = frozenset(["w", "u", "W", "U", "determiner", "possessive", "place", "spot", "role", "kin", "day"])
 #: So many characters that long a row of words in capitals has, at least.
-_NO_SMALL = re.compile(r"[^a-zß-öø-ÿ]{12}")
+_NO_SMALL = re.compile(r"[^a-zß-öø-ÿ][^a-zß-öø-ÿ]{11}")
+#: The kinds of words in capitals.
+_CAPITALS = frozenset(["iT", "kA", "uA", "pA"])
 _CLASS = {w: c for c, words in AROUND_NAMES.items() for w in words.split()}
 
 
-class _Kinds(dict):
-    """The kinds of words, each made out once."""
+class _Made(dict):
+    """What a function makes of each key, made once; it begins anew when there are too many, and keeps nothing of keys above a length."""
 
-    def __init__(self, words: Words):
-        self.words = words
-
-    def __missing__(self, key: tuple[str, bool]) -> str:
-        if len(self) > 500_000:
-            self.clear()
-        value = self[key] = _kind(key[0], self.words, key[1])
-        return value
+    MOST, LONGEST = 50_000, 80
 
+    def __init__(self, make: Callable):
+        self.make = make
 
-_kinds_of = lru_cache(_Kinds)
+    def __missing__(self, key):
+        value = self.make(key)
+        if len(key if isinstance(key, str) else "".join(map(str, key))) <= self.LONGEST:
+            if len(self) >= self.MOST:
+                self.clear()
+            self[key] = value
+        return value
 
 
 def _kind(word: str, words: Words, shouted: bool) -> str:
@@ -162,68 +169,114 @@ def _kind(word: str, words: Words, shouted: bool) -> str:
     return known + ("l" if shouted else "A" if word.isupper() else "T" if word[0].isupper() else "l")
 
 
-class _Classes(dict):
-    """The classes of words and marks, each made out once."""
+def _class(token: str, words: Words) -> str:
+    """The class of a word, the mark itself, ``w`` or ``W`` for other words, unknown ones as ``u`` and ``U``, ``9`` for numbers."""
+    low = token.lower()
+    if low in _CLASS:
+        return _CLASS[low]
+    if low[0].isdigit():
+        return "9"
+    if not low[0].isalpha():
+        return low
+    value = "w" if low in words.small else "u"
+    return value.upper() if token[0].isupper() else value
+
+
+class Token:
+    """A word or mark: as written and in small letters, its class, its kind (none for marks and ordinary words written small), whether it is an ordinary word, and one without a class of its own."""
+
+    __slots__ = ("written", "low", "group", "kind", "size", "ordinary", "plain")
+
+    def __init__(self, written: str, words: Words, shouted: bool = False):
+        self.written, self.low, self.size = written, written.lower(), len(written)
+        self.ordinary = self.low in words.small
+        self.plain = self.ordinary and self.low not in _CLASS
+        known = (self.low if shouted else written) in words.small
+        self.group = _class(self.low if shouted else written, words)
+        self.kind = _kind(written, words, shouted) if not known and written[0].isalpha() else ""
+
+
+#: What is outside of a text.
+_OUTSIDE = object.__new__(Token)
+_OUTSIDE.written = _OUTSIDE.low = _OUTSIDE.group = "<"
+_OUTSIDE.kind, _OUTSIDE.size, _OUTSIDE.ordinary, _OUTSIDE.plain = "", 0, False, False
+
+
+class _Pieces(_Made):
+    """What lies between two blanks: its tokens, and the steps from the end of each to the end of the next, from the blank before on. No token has a blank in it."""
 
     def __init__(self, words: Words):
-        self.words = words
-
-    def __missing__(self, token: str) -> str:
-        if len(self) > 500_000:
-            self.clear()
-        low = token.lower()
-        if low in _CLASS:
-            value = _CLASS[low]
-        elif low[0].isdigit():
-            value = "9"
-        elif not low[0].isalpha():
-            value = low
-        else:
-            value = "w" if low in self.words.small else "u"
-            value = value.upper() if token[0].isupper() else value
-        self[token] = value
-        return value
+        super().__init__(self._read)
+        self.tokens = _Made(lambda written: Token(written, words))
+
+    def _read(self, piece: str) -> tuple[tuple[Token, ...], tuple[int, ...]]:
+        found = [(m.group(), m.end()) for m in _TOKEN.finditer(piece)]
+        ends = [-1] + [end for _, end in found]
+        return tuple([self.tokens[w] for w, _ in found]), tuple([end - before for before, end in zip(ends, ends[1:])])
 
 
-_classes_of = lru_cache(_Classes)
+_pieces_of = lru_cache(_Pieces)
+_TOKENS, _STEPS = itemgetter(0), itemgetter(1)
 
 
 class Tokens:
-    """The words and marks of a text, with what features ask of them."""
+    """The words and marks of a text, with what features ask of them: the class of a word, the mark itself, ``<`` outside."""
 
     def __init__(self, text: str, words: Words):
         self.text = text
-        self.written = _TOKEN.findall(text)
-        self.low = [w.lower() for w in self.written]
-        at = 0
-        self.ends = [(at := text.index(w, at) + len(w)) for w in self.written]  # only blanks are between tokens
-        self.starts = [e - len(w) for e, w in zip(self.ends, self.written)]
-        self._classes = _classes_of(words)
-        #: Words in capitals among so many others that capitals tell nothing there.
-        self.shouted: set[int] = set()
-        if not _NO_SMALL.search(text):
-            return
+        written = text.split(" ")
+        pieces = list(map(_pieces_of(words).__getitem__, written))
+        self.all: list[Token] = list(chain.from_iterable(map(_TOKENS, pieces)))
+        self.ends = list(accumulate(chain.from_iterable(map(_STEPS, pieces)), initial=-1))
+        if self.ends[-1] == len(text):
+            del self.ends[0]
+        else:
+            # Steps know nothing of white space behind the last token of a piece.
+            self.ends, at = [], -1
+            for piece, (_, steps) in zip(written, pieces):
+                self.ends += list(accumulate(steps, initial=at))[1:]
+                at += len(piece) + 1
+        #: The kinds of all but marks and ordinary words written small.
+        self.kinds = {k: token.kind for k, token in enumerate(self.all) if token.kind}
+        if len([kind for kind in self.kinds.values() if kind in _CAPITALS]) > NAME_WORDS + 1 and _NO_SMALL.search(text):
+            for k in self._shouted():
+                self.all[k] = token = Token(self.all[k].written, words, shouted=True)
+                self.kinds[k] = token.kind
+            self.kinds = {k: kind for k, kind in self.kinds.items() if kind}
+        # Found at -1 and -2, and beyond the last.
+        self.all += [_OUTSIDE, _OUTSIDE]
+
+    def _shouted(self) -> list[int]:
+        """Words in capitals among so many others that capitals tell nothing there."""
+        found: list[int] = []
         run: list[int] = []
-        for k, w in enumerate(self.written):
-            if w[0].isalpha():
-                if w.isupper():
+        for k, token in enumerate(self.all):
+            if token.written[0].isalpha():
+                if token.kind in _CAPITALS:
                     run.append(k)
                 else:
                     if len(run) > NAME_WORDS + 1:
-                        self.shouted.update(run)
+                        found += run
                     run = []
-        if len(run) > NAME_WORDS + 1:
-            self.shouted.update(run)
+        return found + run if len(run) > NAME_WORDS + 1 else found
+
+    @cached_property
+    def low(self) -> list[str]:
+        return [token.low for token in self.all[:-2]]
 
-    def around(self, k: int) -> str:
-        """The class of a word, the mark itself, ``w`` or ``W`` for other words, unknown ones as ``u`` and ``U``, ``9`` for numbers, ``<`` outside."""
-        if not 0 <= k < len(self.low):
-            return "<"
-        return self._classes[self.low[k] if k in self.shouted else self.written[k]]
+    @cached_property
+    def starts(self) -> list[int]:
+        return [end - token.size for end, token in zip(self.ends, self.all)]
+
+    def start(self, k: int) -> int:
+        return self.ends[k] - self.all[k].size
 
     def opens(self, k: int) -> bool:
         """Whether a sentence may begin here: after a mark that ends one or an odd one, and after more than one blank."""
-        return k == 0 or self.starts[k] - self.ends[k - 1] > 1 or "\n" == self.text[self.ends[k - 1]] or not (self.low[k - 1][0].isalnum() or self.low[k - 1] in ",;:'’&-–—(\"“/@#$")
+        if k == 0:
+            return True
+        before, end = self.all[k - 1].low, self.ends[k - 1]
+        return self.ends[k] - self.all[k].size - end > 1 or "\n" == self.text[end] or not (before[0].isalnum() or before in ",;:'’&-–—(\"“/@#$")
 
 
 def name_spans(t: Tokens, words: Words) -> list[tuple[int, int, str, int, int]]:
@@ -235,60 +288,56 @@ def name_spans(t: Tokens, words: Words) -> list[tuple[int, int, str, int, int]]:
     Of a row of words with capitals, only what opens a sentence or calls people can stand before the name, and only an ordinary word, which may open
     the next sentence, behind it.
     """
-    text, small, found, memo = t.text, words.small, [], _kinds_of(words)
-    kinds: dict[int, str] = {}
-    for k, word in enumerate(t.written):
-        if word not in small and word[0].isalpha():
-            shouted = k in t.shouted
-            if not shouted or t.low[k] not in small:
-                kinds[k] = memo[word, shouted]
-    low, last, starts, ends = t.low, len(t.low) - 1, t.starts, t.ends
-    for k in [k for k, kind in kinds.items() if kind == "ul" or kind == "pl"]:
-        # An ordinary word beside one that isn't.
-        if k < last and k + 1 not in kinds and low[k + 1] in small:
-            kinds[k + 1] = "kl"
-        if k and k - 1 not in kinds and low[k - 1] in small and low[k - 1] not in _CLASS:
-            kinds[k - 1] = "kl"
+    text, found, tokens, ends = t.text, [], t.all, t.ends
+    kinds, last = dict(t.kinds), len(ends) - 1
+    for k, kind in t.kinds.items():
+        if kind == "ul" or kind == "pl":
+            # An ordinary word beside one that isn't.
+            if tokens[k + 1].ordinary and k + 1 not in kinds:
+                kinds[k + 1] = "kl"
+            if tokens[k - 1].plain and k - 1 not in kinds:
+                kinds[k - 1] = "kl"
     for k, first in kinds.items():
         if first == "kl" and k + 1 not in kinds:
             continue
-        if first[0] == "i" and (k == last or low[k + 1] != "."):
+        if first[0] == "i" and tokens[k + 1].low != ".":
             continue
-        pattern, j, n, comma, joined = "", k, 0, False, 0
         case = first[1]
-        if case != "l" and kinds.get(k - 1, "ll")[1] != "l" and starts[k] - ends[k - 1] == 1 and not t.opens(k - 1) and t.around(k - 1) not in _EXPECT:
-            continue
-        weak = case == "l" or (first == "kT" and t.opens(k))
         if case == "l":
-            before = t.around(k - 1)
+            before = tokens[k - 1].group
             if before in _NOT_AFTER:
                 continue
             weak = before not in _EXPECT
+        else:
+            if kinds.get(k - 1, "ll")[1] != "l" and t.start(k) - ends[k - 1] == 1 and not t.opens(k - 1) and tokens[k - 1].group not in _EXPECT:
+                continue
+            weak = first == "kT" and t.opens(k)
+        pattern, j, n, comma, joined = "", k, 0, False, 0
         while True:
             kind = kinds.get(j)
             pattern += kind
             n += 1
-            end = t.ends[j]
+            end = ends[j]
             if kind[0] == "i":
-                if j == last or low[j + 1] != ".":
+                if tokens[j + 1].low != ".":
                     break
                 j += 1
-                end = t.ends[j]
+                end = ends[j]
             # An initial alone is no name, nor is an ordinary word written small or one in capitals among others.
-            if (n > 1 or (kind[0] != "i" and kind != "kl")) and not (case == "l" and not ("u" in pattern or "p" in pattern or "i" in pattern)) and not (weak and (n == 1 or case == "l") and t.around(j + 1) in _GOES_ON) and (
-                case == "l" or j == last or kinds.get(j + 1, "kl")[1] == "l" or kinds[j + 1][0] == "k" or starts[j + 1] - end != 1
+            if (n > 1 or (kind[0] != "i" and kind != "kl")) and not (case == "l" and not ("u" in pattern or "p" in pattern or "i" in pattern)) and not (weak and (n == 1 or case == "l") and tokens[j + 1].group in _GOES_ON) and (
+                case == "l" or j == last or kinds.get(j + 1, "kl")[1] == "l" or kinds[j + 1][0] == "k" or t.start(j + 1) - end != 1
             ):
-                found.append((t.starts[k], end, pattern, k, j))
+                found.append((t.start(k), end, pattern, k, j))
             if n == NAME_WORDS or comma:
                 break
             j += 1
-            if n == 1 and kind[0] != "i" and j <= last and low[j] == ",":
+            if n == 1 and kind[0] != "i" and j <= last and tokens[j].low == ",":
                 pattern, comma = pattern + ",", True
                 j += 1
-            while j <= last and low[j] in PARTICLES and joined < JOINING and not comma and case != "A" and kinds.get(j, "kl")[1] == "l":
+            while j <= last and tokens[j].low in PARTICLES and joined < JOINING and not comma and case != "A" and kinds.get(j, "kl")[1] == "l":
                 pattern, joined = pattern + "+", joined + 1
                 j += 1
-            if j not in kinds or text[t.ends[j - 1] : t.starts[j]] not in (" ", "\u00a0"):
+            if j not in kinds or text[ends[j - 1] : t.start(j)] not in (" ", "\u00a0"):
                 break
             # All words of a name are written alike; an initial may be a capital anywhere.
             if kinds[j][1] != case and kinds[j][0] != "i" and first[0] != "i":
@@ -306,19 +355,47 @@ def _shape_of(pattern: str) -> str:
     return "".join(c for c in pattern if c in "TlA ,")
 
 
+def _name_keys(t: Tokens, pattern: str, k: int, j: int) -> tuple:
+    """What the features of a name ask, for each of ``_NAME_PARTS``."""
+    tokens, opens = t.all, "^" if t.opens(k) else ""
+    first, before, behind, after2 = tokens[k], tokens[k - 1], tokens[j + 1], tokens[j + 2].group
+    group, after = before.group, behind.group
+    glued = "'" if behind.low in ("'", "’") else behind.low if behind is not _OUTSIDE and t.start(j + 1) == t.ends[j] else ""
+    return (
+        (pattern, opens, group, tokens[k - 2].group), (pattern, opens, after, after2), (opens, group, after, glued, after2 if glued else "", len(_shape_of(pattern))), before.low, behind.low,
+        (tokens[k - 2].low, group), (first.group, tokens[j].group if j > k else ""), (first.low if pattern[0] == "k" else "", opens),
+    )
+
+
+#: The features of a name, those together that ask the same things.
+_NAME_PARTS: tuple[Callable[..., tuple[str, ...]], ...] = (
+    lambda key: (f"n|{key[0]}", f"n|{key[0]}{key[1]}", f"n|{_shape_of(key[0])}|{key[2]}", f"n|{key[0][:2]}|{key[2]}", f"n|{key[3]} {key[2]}{key[1]}"),
+    lambda key: (f"n|{_shape_of(key[0])}{key[1]}|{key[2]}", f"n|{key[0][-2:]}|{key[2]}", f"n|{key[2]} {key[3]}"),
+    lambda key: (f"n|{key[1]} {key[2]}{key[0]}", f"n|{key[3]}{key[4]}", f"n|{key[0]}{key[1]}{key[3]}{key[5]}"),
+    lambda word: (f"n|-1 {word}",),
+    lambda word: (f"n|+1 {word}",),
+    lambda key: (f"n|-2 {key[0]} {key[1]}",),
+    lambda key: (f"n|of {key[0]} {key[1]}",),
+    lambda key: (f"n|word {key[0]}{key[1]}",) if key[0] else (),
+)
+
+
 def _name_features(t: Tokens, pattern: str, k: int, j: int) -> list[str]:
-    before, before2, after, after2 = t.around(k - 1), t.around(k - 2), t.around(j + 1), t.around(j + 2)
-    w1, w2, a1 = (t.low[x] if 0 <= x < len(t.low) else "<" for x in (k - 1, k - 2, j + 1))
-    glued = "'" if a1 in ("'", "’") else a1 if j + 1 < len(t.low) and t.starts[j + 1] == t.ends[j] else ""
-    opens = "^" if t.opens(k) else ""
-    shape = _shape_of(pattern)
-    out = [
-        f"n|{pattern}", f"n|{pattern}{opens}", f"n|{shape}|{before}", f"n|{shape}{opens}|{after}", f"n|{pattern[:2]}|{before}", f"n|{pattern[-2:]}|{after}", f"n|-1 {w1}", f"n|+1 {a1}",
-        f"n|-2 {w2} {before}", f"n|of {t.around(k)} {t.around(j) if j > k else ''}", f"n|{before2} {before}{opens}", f"n|{after} {after2}", f"n|{before} {after}{opens}", f"n|{glued}{after2 if glued else ''}", f"n|{opens}{before}{glued}{len(shape)}",
-    ]
-    if pattern[0] == "k":
-        out.append(f"n|word {t.low[k]}{opens}")
-    return out
+    return [f for part, key in zip(_NAME_PARTS, _name_keys(t, pattern, k, j)) for f in part(key)]
+
+
+class Weights(dict):
+    """The weights of features, and their sums over the parts of a name's features, each made once."""
+
+    def __init__(self, weights: dict[str, float]):
+        super().__init__(weights)
+        self.parts = [_Made(lambda key, part=part: sum(self.get(f, 0.0) for f in part(key))) for part in _NAME_PARTS]
+
+    def __reduce__(self):
+        return Weights, (dict(self),)
+
+    def of_name(self, t: Tokens, pattern: str, k: int, j: int) -> float:
+        return sum([sums[key] for sums, key in zip(self.parts, _name_keys(t, pattern, k, j))])
 
 
 def proposals(text: str, words: Words) -> list[tuple[int, int, str, str]]:
@@ -333,8 +410,9 @@ def _form_spans(text: str) -> set[tuple[int, int, str, str]]:
 
 def candidates(t: Tokens, words: Words) -> list[tuple[int, int, str, str, int, int]]:
     """The candidate segments of a text in order, with the tokens of names (-1 for other types)."""
-    found = {(a + s, b + s, kind, form, -1, -1) for s, e in stretches(t.text) for a, b, kind, form in _form_spans(t.text[s:e])}
-    return sorted(found) + [(s, e, "person_name", pattern, k, j) for s, e, pattern, k, j in name_spans(t, words)]
+    parts = stretches(t.text)
+    found = sorted({(a + s, b + s, kind, form, -1, -1) for s, e in parts for a, b, kind, form in _form_spans(t.text[s:e])}) if parts else []
+    return found + [(s, e, "person_name", pattern, k, j) for s, e, pattern, k, j in name_spans(t, words)]
 
 
 def _shape(token: str) -> str:
@@ -556,7 +634,7 @@ class _Maker:
 
 
 @lru_cache
-def train(vocabulary: str = VOCABULARY, sentences: int = TRAINING, passes: int = PASSES, seed: int = SEED) -> dict[str, float]:
+def train(vocabulary: str = VOCABULARY, sentences: int = TRAINING, passes: int = PASSES, seed: int = SEED) -> Weights:
     """Feature weights by adaptive gradient steps on the conditional likelihood."""
     r, words = random.Random(seed), known_words(vocabulary)
     maker = _Maker(r, words)
@@ -586,7 +664,7 @@ def train(vocabulary: str = VOCABULARY, sentences: int = TRAINING, passes: int =
                 for f in fs:
                     squares[f] = squares.get(f, 0.3) + g * g
                     weights[f] = weights.get(f, 0.0) * 0.9995 + 0.25 * g / math.sqrt(squares[f])
-    return {f: w for f, w in weights.items() if abs(w) > 0.01}
+    return Weights({f: w for f, w in weights.items() if abs(w) > 0.01})
 
 
 # ---- decoding ---------------------------------------------------------------------------------
@@ -595,15 +673,17 @@ def train(vocabulary: str = VOCABULARY, sentences: int = TRAINING, passes: int =
 def stretches(text: str) -> list[tuple[int, int]]:
     """The parts of a text in which forms are tried: around each thing that can begin a segment of one, merged."""
     spots = []
-    for m in _NUMBER.finditer(text):
+    digits = bool(_DIGIT.search(text))
+    for m in _NUMBER.finditer(text) if digits else ():
         first, end = m.span()
         if road := _ROAD_AFTER.match(text, end - (text[end - 1] == " ")):
             # A unit may stand before it.
             spots.append((len(text[:first].rstrip()), road.end()))
         elif end - first >= _LEAST_NUMBER:
             spots.append((first, end))
-    spots += [m.span() for m in _MIXED.finditer(text) if m.end() - m.start() >= _LEAST_MIXED and sum(c.isdigit() for c in m.group()) >= _LEAST_MIXED]
-    for m in _AT_WORD.finditer(text):
+    if digits:
+        spots += [m.span() for m in _MIXED.finditer(text) if m.end() - m.start() >= _LEAST_MIXED and sum(c.isdigit() for c in m.group()) >= _LEAST_MIXED]
+    for m in _AT_WORD.finditer(text) if _POINT.search(text) or "dot" in text.lower() else ():
         if place := _PLACE_AFTER.match(text, m.end()):
             spots.append((len(text[: m.start()].rstrip(" \t\n[(")), place.end()))
     merged: list[list[int]] = []
@@ -620,18 +700,18 @@ def stretches(text: str) -> list[tuple[int, int]]:
     return [(s, e) for s, e in merged]
 
 
-def find(text: str, weights: dict[str, float], words: Words) -> list[tuple[int, int, str]]:
+def find(text: str, weights: Weights, words: Words) -> list[tuple[int, int, str]]:
     """(start, end, type) of the personal information in a text, in order."""
     t = Tokens(text, words)
     spans, scores = [], []
     for span in candidates(t, words):
-        score = sum(map(weights.get, _name_features(t, span[3], span[4], span[5]) if span[4] >= 0 else _form_features(t, *span[:4]), repeat(0.0)))
+        score = weights.of_name(t, span[3], span[4], span[5]) if span[4] >= 0 else sum(map(weights.get, _form_features(t, *span[:4]), repeat(0.0)))
         if span[4] >= 0:
             score -= SMALL_PRIOR if "l" in span[3] else ORDINARY_PRIOR if span[3] == "kT" else 0
         if score > 0:  # what lowers the sum is in no best set
             spans.append(span)
             scores.append(score)
-    return [spans[n][:3] for n in decode(spans, scores)]
+    return [spans[n][:3] for n in decode(spans, scores)] if spans else []
 
 
 def _prepared(df: DataFrame, vocabulary: str):
@@ -665,7 +745,7 @@ def mask_pii(df: DataFrame, record_id: str, text: str, vocabulary: str = VOCABUL
     model = _prepared(df, vocabulary)
     kind = df.schema[record_id].dataType.simpleString()
 
-    def masked(t: str | None, weights: dict, words: Words) -> str | None:
+    def masked(t: str | None, weights: Weights, words: Words) -> str | None:
         if not t:
             return t
         out, at = [], 0

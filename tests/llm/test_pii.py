@@ -136,3 +136,40 @@ def test_names_are_proposed_without_a_list(text, names):
 def test_cases_that_stand_alone_reach_the_field(case):
     text = "the soup was warm and the bread was good " * 4 + "it was " + case
     assert any(s <= text.index(case) and e >= len(text) for s, e in pii.stretches(text))
+
+
+class _Unused:
+    def __getattr__(self, name):
+        raise AssertionError("a text is cut into tokens again")
+
+
+def test_what_was_met_before_is_not_cut_again(monkeypatch):
+    words, weights = pii.known_words(pii.VOCABULARY), pii.train()
+    first = "The soup was warm. Kudos, Priyanka! We came again on payday."
+    assert [first[s:e] for s, e, _ in pii.find(first, weights, words)] == ["Priyanka"]
+    monkeypatch.setattr(pii, "_TOKEN", _Unused())
+    other = "We came again on payday. The soup was warm.  Kudos, Priyanka!"
+    assert [other[s:e] for s, e, _ in pii.find(other, weights, words)] == ["Priyanka"]
+
+
+ODD = ["", " ", "  a  b ", "a\n\nb \n c\n", "\tTobias Brandt's  'soup'", "x" * 200 + " Tobias's", "the cook, J. P.O'Brien-Lee's", "İstanbul ǅ é. 3D B2B _x x_ ...", "THANKS TO OSKAR FENWORTH FOR THE SOUP WE HAD. Kudos, Priyanka!", "I I I I I I I met Greta"]
+
+
+@pytest.mark.parametrize("most", [2, 50_000])
+@pytest.mark.parametrize("text", [*ODD, *(t for t, _ in CASES)])
+def test_tokens_and_sums_are_those_of_the_whole_text(text, most, monkeypatch):
+    monkeypatch.setattr(pii._Made, "MOST", most)
+    words, weights = pii.known_words(pii.VOCABULARY), pii.train()
+    t = pii.Tokens(text, words)
+    assert [(m.start(), m.end(), m.group().lower()) for m in pii._TOKEN.finditer(text)] == list(zip(t.starts, t.ends, t.low, strict=True))
+    for _, _, pattern, k, j in pii.name_spans(t, words):
+        assert weights.of_name(t, pattern, k, j) == pytest.approx(sum(weights.get(f, 0.0) for f in pii._name_features(t, pattern, k, j)), abs=1e-9)
+
+
+def test_weights_can_be_sent_to_tasks():
+    import pickle
+
+    weights = pii.train()
+    again = pickle.loads(pickle.dumps(weights))
+    text, words = "Ask for Greta P. Hollings, who kept our coats.", pii.known_words(pii.VOCABULARY)
+    assert again == weights and pii.find(text, again, words) == pii.find(text, weights, words)
